@@ -13,13 +13,13 @@ projection whose code Spark splits into small methods.  Measured: 28 -> 10 us pe
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
+from ledgerloom.functions import sqltext as sql
 
 _SPLIT = re.compile(r"\|(?![^(]*\))")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -40,23 +40,23 @@ def _parts(rule: str) -> tuple[list[str], list[str], list[str] | None]:
     return literal, pattern, sorted(guards)
 
 
-def _any_contains(text: Column, words: list[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+def _any_contains(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(_text, {sql.text(w)})" for w in words) + ")"
 
 
-def _any_contains_array(text: Column, words: list[str]) -> Column:
-    return F.exists(F.lit(words), lambda word: F.contains(text, word))
+def _any_contains_array(words: list[str]) -> str:
+    return f"exists(array({sql.texts(words)}), word -> contains(_text, word))"
 
 
-def matches(text: Column, rule: str, contains_any=_any_contains) -> Column:
-    """True where any alternative of ``rule`` occurs in ``text`` (already lower case)."""
+def _matches(rule: str, contains_any=_any_contains) -> str:
+    """SQL test: any alternative of ``rule`` occurs in ``_text`` (already lower case)."""
     literal, pattern, guards = _parts(rule)
-    tests = [contains_any(text, literal)] if literal else []
+    tests = [contains_any(literal)] if literal else []
     if pattern:
         # d: only \n ends a line, U: Unicode whitespace and word boundaries
-        searched = text.rlike("(?dU)" + "|".join(pattern))
-        tests.append(searched if guards is None else contains_any(text, guards) & searched)
-    return reduce(or_, tests)
+        searched = f"_text RLIKE {sql.pattern('(?dU)' + '|'.join(pattern))}"
+        tests.append(searched if guards is None else f"({contains_any(guards)} AND {searched})")
+    return "(" + " OR ".join(tests) + ")"
 
 
 def is_inflow(amount: Column) -> Column:
@@ -64,60 +64,64 @@ def is_inflow(amount: Column) -> Column:
     return F.coalesce(amount > 0, F.lit(False))
 
 
-def category(text: Column, inflow: Column) -> Column:
-    """Category of a lower-cased description and a flag for ``amount > 0``."""
-    fallback = F.when(inflow, dims.OTHER_REVENUE).otherwise(dims.OTHER_EXPENSES)
-    case = F.when(
-        matches(text, dims.TRANSFER_RULE, _any_contains_array), dims.TRANSFER,
-    ).when(
-        ~inflow & matches(text, dims.PAYMENT_APP_RULE), dims.PAYMENT_APP_CATEGORY)
+@cache
+def _category_sql() -> str:
+    """Category from ``_text`` and the flag ``_inflow``."""
+    def by_direction(inflow: str, outflow: str) -> str:
+        return f"CASE WHEN _inflow THEN {sql.text(inflow)} ELSE {sql.text(outflow)} END"
+
+    branches = [
+        f"WHEN {_matches(dims.TRANSFER_RULE, _any_contains_array)} THEN {sql.text(dims.TRANSFER)}",
+        f"WHEN NOT _inflow AND {_matches(dims.PAYMENT_APP_RULE)} "
+        f"THEN {sql.text(dims.PAYMENT_APP_CATEGORY)}",
+    ]
     for name, rule in dims.CATEGORY_RULES:
-        decided = (F.when(inflow, name).otherwise(dims.OTHER_EXPENSES)
-                   if dims.kind_of(name) == "Revenue"
-                   else F.when(inflow, dims.OTHER_REVENUE).otherwise(name))
-        case = case.when(matches(text, rule), decided)
-    return case.otherwise(fallback)
+        decided = (by_direction(name, dims.OTHER_EXPENSES) if dims.kind_of(name) == "Revenue"
+                   else by_direction(dims.OTHER_REVENUE, name))
+        branches.append(f"WHEN {_matches(rule)} THEN {decided}")
+    fallback = by_direction(dims.OTHER_REVENUE, dims.OTHER_EXPENSES)
+    return "CASE " + "\n".join(branches) + f"\nELSE {fallback} END"
 
 
 def with_category(df: DataFrame) -> DataFrame:
     """Add ``category`` to a frame with ``description`` and an ``amount`` or ``inflow``."""
     inflow = F.col("inflow") if "inflow" in df.columns else is_inflow(F.col("amount"))
-    lowered = df.withColumn("_text", F.lower(F.coalesce("description", F.lit(""))))
-    return lowered.withColumn("category", category(F.col("_text"), inflow)).drop("_text")
+    prepared = df.withColumns({
+        "_text": F.lower(F.coalesce("description", F.lit(""))), "_inflow": inflow})
+    return prepared.select(*df.columns, F.expr(_category_sql()).alias("category"))
 
 
-def _lookup(key: Column, values: dict[str, str], default: Column) -> Column:
+def _lookup(column: str, values: dict[str, str], default: str) -> Column:
     by_value: dict[str, list[str]] = {}
     for name, value in values.items():
         by_value.setdefault(value, []).append(name)
-    case = F
-    for value, names in by_value.items():
-        case = case.when(key.isin(names), F.lit(value))
-    return case.otherwise(default)
+    branches = " ".join(f"WHEN {column} IN ({sql.texts(names)}) THEN {sql.text(value)}"
+                        for value, names in by_value.items())
+    return F.expr(f"CASE {branches} ELSE {default} END")
 
 
-def functional_class(name: Column) -> Column:
+def functional_class(column: str = "category") -> Column:
     """Functional class of a category; unknown ones count as the default function."""
     known = {c: dims.function_of(c) for c in dims.REVENUE_CATEGORIES + dims.EXPENSE_CATEGORIES}
-    return _lookup(name, known, F.lit(dims.DEFAULT_FUNCTION))
+    return _lookup(column, known, sql.text(dims.DEFAULT_FUNCTION))
 
 
-def category_type(name: Column) -> Column:
+def category_type(column: str = "category") -> Column:
     known = {c: dims.kind_of(c) for c in dims.REVENUE_CATEGORIES + dims.EXPENSE_CATEGORIES}
-    return _lookup(name, known, F.lit("Expense"))
+    return _lookup(column, known, sql.text("Expense"))
 
 
-def parent_category(name: Column) -> Column:
+def parent_category(column: str = "category") -> Column:
     known = {c: dims.parent_of(c) for c in dims.REVENUE_CATEGORIES + dims.EXPENSE_CATEGORIES
              if dims.parent_of(c) != c}
-    return _lookup(name, known, name)
+    return _lookup(column, known, column)
 
 
 def with_dimensions(df: DataFrame) -> DataFrame:
     """Add ``functional`` and ``category_type`` next to ``category``."""
     return df.withColumns({
-        "functional": functional_class(F.col("category")),
-        "category_type": category_type(F.col("category")),
+        "functional": functional_class(),
+        "category_type": category_type(),
     })
 
 

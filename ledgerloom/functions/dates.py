@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import sqltext as sql
+
 # --- fixed values: accepted date shapes and their formats, month-first before day-first --
 _FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
@@ -34,36 +38,37 @@ _FORMATS = (
 )
 
 
-def _try_format(text: Column, fmt: str) -> Column:
-    parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+def _try_format(fmt: str) -> str:
+    parsed = f"cast(try_to_timestamp(t, {sql.pattern(fmt)}) as timestamp_ntz)"
     if "yyyy" in fmt:
         return parsed
     # a two-digit year is read within 50 years of today
-    far = F.year(parsed) >= F.year(F.current_date()) + 50
-    return F.when(far, parsed - F.make_ym_interval(F.lit(100))).otherwise(parsed)
+    return (f"if(year({parsed}) >= year(current_date()) + 50, "
+            f"{parsed} - INTERVAL '100' YEAR, {parsed})")
 
 
-def _parse_trimmed(text: Column) -> Column:
-    parsed = F
-    for shape, formats in _FORMATS:
-        parsed = parsed.when(text.rlike(shape), F.coalesce(*(_try_format(text, f) for f in formats)))
-    return parsed
+@cache
+def _parse_sql() -> str:
+    return "CASE " + " ".join(
+        f"WHEN t RLIKE {sql.pattern(shape)} THEN coalesce({', '.join(map(_try_format, formats))})"
+        for shape, formats in _FORMATS) + " END"
 
 
-def parse_dates(text: Column) -> Column:
+def parse_dates(text: str) -> Column:
     """Array holding the parsed TIMESTAMP_NTZ, empty where no accepted shape matches.
 
-    The shape test picks the formats worth trying, so a row pays for one or two parse
-    attempts, and formats Spark reads more loosely than intended never see the text.
-    Month names are matched without regard to case.  The one-element array binds the text,
-    so that it is computed once and not spelled out again in every branch; exploding the
-    result drops unreadable rows without parsing a second time in a pushed-down filter.
+    ``text`` is a SQL expression.  The shape test picks the formats worth trying, so a row
+    pays for one or two parse attempts, and formats Spark reads more loosely than intended
+    never see the text.  Month names are matched without regard to case.  The one-element
+    array binds the text, so that it is computed once and not spelled out again in every
+    branch; exploding the result drops unreadable rows without parsing a second time in a
+    pushed-down filter.
     """
-    bound = F.array(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    return F.filter(F.transform(bound, _parse_trimmed), lambda d: d.isNotNull())
+    bound = rf'array(regexp_replace({text}, r"(?U)^\s+|\s+$", ""))'
+    return F.expr(f"filter(transform({bound}, t -> {_parse_sql()}), d -> d IS NOT NULL)")
 
 
-def parse_date(text: Column) -> Column:
+def parse_date(text: str) -> Column:
     """Statement date text to TIMESTAMP_NTZ, null where no accepted shape matches."""
     return F.get(parse_dates(text), F.lit(0))
 

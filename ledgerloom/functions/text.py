@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: words marking a total line ---------------------------------------------
+TOTAL_WORDS = r"(?i)total|change in|ending|net change"
+
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace at both ends (``trim`` only drops U+0020)."""
@@ -27,7 +30,7 @@ def short_label(label: Column) -> Column:
 
 
 def is_total_label(label: Column) -> Column:
-    return label.rlike(r"(?i)total|change in|ending|net change")
+    return label.rlike(TOTAL_WORDS)
 
 
 def line_number(line_key: Column) -> Column:

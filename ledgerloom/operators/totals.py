@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
+from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.classify import functional_class, is_inflow, with_category
 
 Keys = Sequence[str]
@@ -74,7 +75,7 @@ def summary(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
     known = F.col("category").isin(*dims.REVENUE_CATEGORIES, *dims.EXPENSE_CATEGORIES)
     sums = F.struct("money_in", "money_out")
     moved = F.coalesce(F.col("category") == dims.TRANSFER, F.lit(False))
-    function = functional_class(F.col("category"))
+    function = functional_class()
 
     def total(condition: Column, column: str) -> Column:
         return sum_when(condition, F.col(column))
@@ -93,17 +94,14 @@ def summary(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
-def money(category: str, column: str) -> Column:
-    """``money_in`` or ``money_out`` of a category on a :func:`summary` row."""
-    return F.coalesce(F.try_element_at("by_category", F.lit(category))[column], _zero())
+def money(category: str, column: str) -> str:
+    """SQL: ``money_in`` or ``money_out`` of a category on a :func:`summary` row."""
+    return f"coalesce(try_element_at(by_category, {sql.text(category)}).{column}, 0BD)"
 
 
-def net(category: str) -> Column:
-    return money(category, "money_in") - money(category, "money_out")
+def net(category: str) -> str:
+    return f"({money(category, 'money_in')} - {money(category, 'money_out')})"
 
 
-def money_of(categories: Sequence[str], column: str) -> Column:
-    total = money(categories[0], column)
-    for category in categories[1:]:
-        total = total + money(category, column)
-    return total
+def money_of(categories: Sequence[str], column: str) -> str:
+    return "(" + " + ".join(money(c, column) for c in categories) + ")"

@@ -19,6 +19,11 @@ def _not_transfer() -> Column:
     return ~F.col("category").eqNullSafe(dims.TRANSFER)
 
 
+# Conditions on the category are written into the amounts and rows are dropped by amount.
+# A filter on the category itself would be pushed below the aggregation, where Spark would
+# evaluate all text rules once more per row.
+
+
 def headline(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Revenue, expenses and net without transfers; the count has every row."""
     totals = category_totals(ledger, keys).groupBy(*keys).agg(
@@ -41,13 +46,17 @@ def account_counts(ledger: DataFrame) -> DataFrame:
 
 
 def revenue_by_category(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return (category_totals(ledger, keys).where(_not_transfer() & (F.col("money_in") > 0))
-            .select(*keys, "category", report_money(F.col("money_in")).alias("amount")))
+    received = F.when(_not_transfer(), F.col("money_in"))
+    return (category_totals(ledger, keys).select(*keys, "category", received.alias("amount"))
+            .where(F.col("amount") > 0)
+            .withColumn("amount", report_money(F.col("amount"))))
 
 
 def expense_by_category(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return (category_totals(ledger, keys).where(_not_transfer() & (F.col("money_out") > 0))
-            .select(*keys, "category", report_money(F.col("money_out")).alias("amount")))
+    spent = F.when(_not_transfer(), F.col("money_out"))
+    return (category_totals(ledger, keys).select(*keys, "category", spent.alias("amount"))
+            .where(F.col("amount") > 0)
+            .withColumn("amount", report_money(F.col("amount"))))
 
 
 def monthly_cash_flow(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,11 +74,11 @@ def monthly_cash_flow(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def functional_allocation(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Outflows per function with their share in percent; ``N/A`` is left out."""
+    function = functional_class()
+    counted = F.when(function != dims.NOT_APPLICABLE, F.col("money_out"))
     spent = (
-        category_totals(ledger, keys).where(F.col("money_out") > 0)
-        .groupBy(*keys, functional_class(F.col("category")).alias("functional"))
-        .agg(F.sum("money_out").alias("spent"))
-        .where(F.col("functional") != dims.NOT_APPLICABLE)
+        category_totals(ledger, keys).groupBy(*keys, function.alias("functional"))
+        .agg(F.sum(counted).alias("spent")).where(F.col("spent") > 0)
     )
     # at most three rows per group reach this window
     everything = F.sum("spent").over(Window.partitionBy(*keys))
@@ -80,7 +89,7 @@ def functional_allocation(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def program_ratio(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Program share of functional expenses and its tier; no row without expenses."""
-    function = functional_class(F.col("category"))
+    function = functional_class()
     totals = category_totals(ledger, keys).groupBy(*keys).agg(
         sum_when(function == "Program Services", F.col("money_out")).alias("program"),
         sum_when(function != dims.NOT_APPLICABLE, F.col("money_out")).alias("spent"),

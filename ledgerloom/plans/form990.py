@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
+from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.classify import is_inflow, with_category
 from ledgerloom.functions.money import report_money
 from ledgerloom.operators.totals import money, money_of, sum_when, summary
-from ledgerloom.plans.lines import explode_lines, line, report_lines, total
+from ledgerloom.plans.lines import Line, explode_lines, report_lines
 
-Money = float | int | Decimal | Column
+Money = float | int | Decimal
 
 PROGRAM_REVENUE = "Program Service Revenue"
 LABEL_LENGTH = 50
@@ -29,43 +30,43 @@ def _summary_of(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ledger if "by_category" in ledger.columns else summary(ledger, keys)
 
 
-def _received(*names: str) -> Column:
-    return report_money(money_of(dims.with_subcategories(*names), "money_in"))
+def _received(*names: str) -> str:
+    return sql.cents(money_of(dims.with_subcategories(*names), "money_in"))
 
 
-def _spent(*names: str) -> Column:
-    return report_money(money_of(dims.with_subcategories(*names), "money_out"))
+def _spent(*names: str) -> str:
+    return sql.cents(money_of(dims.with_subcategories(*names), "money_out"))
 
 
-def _part1_lines(beginning_net_assets: Money) -> Column:
+def _part1_lines(beginning_net_assets: Money) -> str:
     contributions = _received("Donations & Contributions", "Grants")
     program = _received(PROGRAM_REVENUE)
     investment = _received("Investment Income")
     other = _received("Fundraising Event Revenue", dims.OTHER_REVENUE)
-    revenue = contributions + program + investment + other
-    expenses = report_money(F.col("spent_0") + F.col("spent_1") + F.col("spent_2"))
-    change = revenue - expenses
-    opening = report_money(beginning_net_assets)
+    revenue = f"({contributions} + {program} + {investment} + {other})"
+    expenses = sql.cents("spent_0 + spent_1 + spent_2")
+    opening = sql.cents(sql.number(beginning_net_assets))
     # --- fixed values: Part I line keys and labels ---------------------------------------
     return report_lines("part1", [
-        line("revenue", "line_1", "Contributions, gifts, grants", contributions),
-        line("revenue", "line_2", "Program service revenue", program),
-        line("revenue", "line_3", "Investment income", investment),
-        line("revenue", "line_4", "Other revenue", other),
-        line("revenue", "line_5_to_9", "Other gains", 0),
-        line("revenue", "line_12", "Total revenue", revenue),
-        line("expenses", "line_13", "Grants and similar amounts paid", 0),
-        line("expenses", "line_14", "Benefits paid to members", 0),
-        line("expenses", "line_15", "Salaries, other compensation, employee benefits",
+        Line("revenue", "line_1", "Contributions, gifts, grants", contributions),
+        Line("revenue", "line_2", "Program service revenue", program),
+        Line("revenue", "line_3", "Investment income", investment),
+        Line("revenue", "line_4", "Other revenue", other),
+        Line("revenue", "line_5_to_9", "Other gains", "0BD"),
+        Line("revenue", "line_12", "Total revenue", revenue),
+        Line("expenses", "line_13", "Grants and similar amounts paid", "0BD"),
+        Line("expenses", "line_14", "Benefits paid to members", "0BD"),
+        Line("expenses", "line_15", "Salaries, other compensation, employee benefits",
              _spent("Salaries & Benefits")),
-        line("expenses", "line_16a", "Professional fundraising fees", 0),
-        line("expenses", "line_16b", "Fundraising expenses", 0),
-        line("expenses", "line_17", "Other expenses", expenses),
-        line("expenses", "line_18", "Total expenses", expenses),
-        line("net_assets", "line_19", "Revenue less expenses", change),
-        line("net_assets", "line_20", "Net assets at beginning of year", opening),
-        line("net_assets", "line_21", "Other changes", 0),
-        line("net_assets", "line_22", "Net assets at end of year", opening + change),
+        Line("expenses", "line_16a", "Professional fundraising fees", "0BD"),
+        Line("expenses", "line_16b", "Fundraising expenses", "0BD"),
+        Line("expenses", "line_17", "Other expenses", expenses),
+        Line("expenses", "line_18", "Total expenses", expenses),
+        Line("net_assets", "line_19", "Revenue less expenses", f"{revenue} - {expenses}"),
+        Line("net_assets", "line_20", "Net assets at beginning of year", opening),
+        Line("net_assets", "line_21", "Other changes", "0BD"),
+        Line("net_assets", "line_22", "Net assets at end of year",
+             f"{opening} + {revenue} - {expenses}"),
     ], column="part")
 
 
@@ -110,139 +111,131 @@ def _by_label(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def program_revenue_by_description(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``description`` (first 50 characters) and ``amount`` of program revenue received."""
-    return _by_label(ledger, keys).where(F.col("label").isNotNull()).select(
+    # filter on the aggregate, not on the label: that one would be pushed below the text rules
+    return _by_label(ledger, keys).where(F.col("reported").isNotNull()).select(
         *keys, F.col("label").alias("description"), report_money(F.col("reported")).alias("amount"))
 
 
 def part8_revenue(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Fixed lines of Part VIII; program revenue is the total of its reported labels."""
-    def received(*names: str) -> Column:
+    def flow(column: str, *names: str) -> Column:
         wanted = F.col("category").isin(dims.with_subcategories(*names))
-        return report_money(sum_when(wanted, F.col("money_in")))
+        return report_money(sum_when(wanted, F.col(column)))
 
-    spent_on_events = report_money(sum_when(
-        F.col("category").isin(dims.with_subcategories("Fundraising")), F.col("money_out")))
     totals = _by_label(ledger, keys).groupBy(*keys).agg(
-        received("Donations & Contributions").alias("gifts"),
-        received("Grants").alias("grants"),
+        flow("money_in", "Donations & Contributions").alias("gifts"),
+        flow("money_in", "Grants").alias("grants"),
         F.coalesce(F.sum(report_money(F.col("reported"))), F.lit(Decimal(0))).alias("program"),
-        received("Investment Income").alias("investment"),
-        received("Fundraising Event Revenue").alias("events"),
-        spent_on_events.alias("event_costs"),
-        received(dims.OTHER_REVENUE).alias("other"),
+        flow("money_in", "Investment Income").alias("investment"),
+        flow("money_in", "Fundraising Event Revenue").alias("events"),
+        flow("money_out", "Fundraising").alias("costs"),
+        flow("money_in", dims.OTHER_REVENUE).alias("other"),
     )
-    gifts, grants, program, investment, events, costs, other = (
-        report_money(F.col(c)) for c in
-        ("gifts", "grants", "program", "investment", "events", "event_costs", "other"))
     # --- fixed values: Part VIII line keys ------------------------------------------------
     lines = [
-        line("contributions", "1a_federated_campaigns", "Federated campaigns", 0),
-        line("contributions", "1b_membership_dues", "Membership dues", 0),
-        line("contributions", "1c_fundraising_events", "Fundraising events", 0),
-        line("contributions", "1d_related_organizations", "Related organizations", 0),
-        line("contributions", "1e_govt_grants", "Government grants (contributions)", grants),
-        line("contributions", "1f_all_other_contributions", "All other contributions", gifts),
-        line("contributions", "1h_total_contributions", "Total contributions", gifts + grants),
-        line("program", "2a_total", "Total program service revenue", program),
-        line("other", "3_investment_income", "Investment income", investment),
-        line("other", "4_income_from_investment_of_tax_exempt_bonds",
-             "Income from tax-exempt bond proceeds", 0),
-        line("other", "5_royalties", "Royalties", 0),
-        line("other", "6a_gross_rents", "Gross rents", 0),
-        line("other", "7a_gross_from_sales", "Gross amount from sales of assets", 0),
-        line("other", "8a_fundraising_events_gross", "Fundraising events (gross)", events),
-        line("other", "8b_fundraising_expenses", "Less: direct expenses", costs),
-        line("other", "8c_fundraising_net", "Net income from fundraising", events - costs),
-        line("other", "9a_gaming_gross", "Gross income from gaming", 0),
-        line("other", "10a_gross_sales_of_inventory", "Gross sales of inventory", 0),
-        line("other", "11_other_revenue", "Other revenue", other),
-        line("total", "12_total_revenue", "Total revenue",
-             gifts + grants + program + investment + events - costs + other),
+        Line("contributions", "1a_federated_campaigns", "Federated campaigns", "0BD"),
+        Line("contributions", "1b_membership_dues", "Membership dues", "0BD"),
+        Line("contributions", "1c_fundraising_events", "Fundraising events", "0BD"),
+        Line("contributions", "1d_related_organizations", "Related organizations", "0BD"),
+        Line("contributions", "1e_govt_grants", "Government grants (contributions)", "grants"),
+        Line("contributions", "1f_all_other_contributions", "All other contributions", "gifts"),
+        Line("contributions", "1h_total_contributions", "Total contributions", "gifts + grants"),
+        Line("program", "2a_total", "Total program service revenue", "program"),
+        Line("other", "3_investment_income", "Investment income", "investment"),
+        Line("other", "4_income_from_investment_of_tax_exempt_bonds",
+             "Income from tax-exempt bond proceeds", "0BD"),
+        Line("other", "5_royalties", "Royalties", "0BD"),
+        Line("other", "6a_gross_rents", "Gross rents", "0BD"),
+        Line("other", "7a_gross_from_sales", "Gross amount from sales of assets", "0BD"),
+        Line("other", "8a_fundraising_events_gross", "Fundraising events (gross)", "events"),
+        Line("other", "8b_fundraising_expenses", "Less: direct expenses", "costs"),
+        Line("other", "8c_fundraising_net", "Net income from fundraising", "events - costs"),
+        Line("other", "9a_gaming_gross", "Gross income from gaming", "0BD"),
+        Line("other", "10a_gross_sales_of_inventory", "Gross sales of inventory", "0BD"),
+        Line("other", "11_other_revenue", "Other revenue", "other"),
+        Line("total", "12_total_revenue", "Total revenue",
+             "gifts + grants + program + investment + events - costs + other"),
     ]
     return explode_lines(totals, keys, report_lines("part8", lines, column="part"))
 
 
-def _part9_rows() -> list[tuple[str, list[Column]]]:
+def _part9_rows() -> list[tuple[str, list[str]]]:
     rows, columns = [], {f: [] for f in dims.FUNCTIONS}
     for key, categories in dims.EXPENSE_LINES:
         cells = []
         for function in dims.FUNCTIONS:
             amounts = [money(c, "money_out") for c in categories
                        if dims.function_of(c) == function]
-            cells.append(total(amounts) if amounts else report_money(0))
+            cells.append(sql.cents_sum(amounts or ["0BD"]))
             columns[function] += amounts
         rows.append((key, cells))
-    rows.append(("25_total", [total(columns[f]) for f in dims.FUNCTIONS]))
+    rows.append(("25_total", [sql.cents_sum(columns[f]) for f in dims.FUNCTIONS]))
     return rows
 
 
 def part9_expenses(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Part IX, wide: line by function.  Lines without a category stay at zero."""
-    structs = [
-        F.struct(F.lit(i).alias("ord"), F.lit(key).alias("line_key"),
-                 report_money(cells[0] + cells[1] + cells[2]).alias("total"),
-                 report_money(cells[0]).alias("program_services"),
-                 report_money(cells[1]).alias("management_general"),
-                 report_money(cells[2]).alias("fundraising"))
-        for i, (key, cells) in enumerate(_part9_rows())
-    ]
-    return _summary_of(ledger, keys).select(*keys, F.inline(F.array(*structs)))
+    structs = ", ".join(
+        f"named_struct('ord', {i}, 'line_key', {sql.text(key)}, "
+        f"'total', {sql.cents(' + '.join(cells))}, 'program_services', {sql.cents(cells[0])}, "
+        f"'management_general', {sql.cents(cells[1])}, 'fundraising', {sql.cents(cells[2])})"
+        for i, (key, cells) in enumerate(_part9_rows()))
+    return _summary_of(ledger, keys).select(*keys, F.expr(f"inline(array({structs}))"))
 
 
-def _part9_lines() -> Column:
+def _part9_lines() -> str:
     lines = []
     for key, cells in _part9_rows():
         label = "Total functional expenses" if key == "25_total" else key
-        amounts = [("total", cells[0] + cells[1] + cells[2]), ("program_services", cells[0]),
+        amounts = [("total", " + ".join(cells)), ("program_services", cells[0]),
                    ("management_general", cells[1]), ("fundraising", cells[2])]
-        lines += [line(section, key, label, amount) for section, amount in amounts]
+        lines += [Line(section, key, label, amount) for section, amount in amounts]
     return report_lines("part9", lines, column="part")
 
 
 def _part10_lines(beginning_cash: Money, other_assets: Money, liabilities: Money,
-                  beginning_net_assets: Money) -> Column:
-    cash = report_money(beginning_cash) + report_money(F.col("all_in") - F.col("all_out"))
-    assets = cash + report_money(other_assets)
-    owed = report_money(liabilities)
-    net_assets = report_money(beginning_net_assets) + report_money(F.col("earned") - F.col("spent"))
+                  beginning_net_assets: Money) -> str:
+    other, owed = sql.number(other_assets), sql.number(liabilities)
+    cash = f"{sql.number(beginning_cash)} + {sql.cents('all_in - all_out')}"
+    net_assets = f"{sql.number(beginning_net_assets)} + {sql.cents('earned - spent')}"
     # --- fixed values: Part X line keys and labels ----------------------------------------
     return report_lines("part10", [
-        line("assets", "1_cash", "Cash, non-interest-bearing", cash),
-        line("assets", "2_savings", "Savings and temporary cash investments", 0),
-        line("assets", "3_pledges_receivable", "Pledges and grants receivable", 0),
-        line("assets", "4_accounts_receivable", "Accounts receivable", 0),
-        line("assets", "5_loans_receivable", "Loans receivable", 0),
-        line("assets", "6_loans_receivable_other", "Other loans receivable", 0),
-        line("assets", "7_inventories", "Inventories", 0),
-        line("assets", "8_prepaid_expenses", "Prepaid expenses", 0),
-        line("assets", "10a_land_buildings", "Land, buildings and equipment", 0),
-        line("assets", "10b_less_depreciation", "Less accumulated depreciation", 0),
-        line("assets", "10c_net_land_buildings", "Net land, buildings and equipment", 0),
-        line("assets", "11_investments_public", "Investments, public securities", 0),
-        line("assets", "12_investments_other", "Investments, other securities", other_assets),
-        line("assets", "13_program_related_investments", "Program-related investments", 0),
-        line("assets", "14_intangible_assets", "Intangible assets", 0),
-        line("assets", "15_other_assets", "Other assets", 0),
-        line("assets", "16_total_assets", "Total assets", assets),
-        line("liabilities", "17_accounts_payable", "Accounts payable and accrued expenses", 0),
-        line("liabilities", "18_grants_payable", "Grants payable", 0),
-        line("liabilities", "19_deferred_revenue", "Deferred revenue", 0),
-        line("liabilities", "20_tax_exempt_bond_liabilities", "Tax-exempt bond liabilities", 0),
-        line("liabilities", "21_escrow_account", "Escrow account", 0),
-        line("liabilities", "22_loans_from_officers", "Loans from officers", 0),
-        line("liabilities", "23_secured_mortgages", "Secured mortgages", 0),
-        line("liabilities", "24_unsecured_notes", "Unsecured notes", 0),
-        line("liabilities", "25_other_liabilities", "Other liabilities", owed),
-        line("liabilities", "26_total_liabilities", "Total liabilities", owed),
-        line("net_assets", "27_unrestricted", "Unrestricted net assets", net_assets),
-        line("net_assets", "28_temporarily_restricted", "Temporarily restricted net assets", 0),
-        line("net_assets", "29_permanently_restricted", "Permanently restricted net assets", 0),
-        line("net_assets", "30_capital_stock", "Capital stock", 0),
-        line("net_assets", "31_paid_in_capital", "Paid-in capital", 0),
-        line("net_assets", "32_retained_earnings", "Retained earnings", 0),
-        line("net_assets", "33_total_net_assets", "Total net assets or fund balances", net_assets),
-        line("net_assets", "34_total_liabilities_and_net_assets",
-             "Total liabilities and net assets", owed + net_assets),
+        Line("assets", "1_cash", "Cash, non-interest-bearing", cash),
+        Line("assets", "2_savings", "Savings and temporary cash investments", "0BD"),
+        Line("assets", "3_pledges_receivable", "Pledges and grants receivable", "0BD"),
+        Line("assets", "4_accounts_receivable", "Accounts receivable", "0BD"),
+        Line("assets", "5_loans_receivable", "Loans receivable", "0BD"),
+        Line("assets", "6_loans_receivable_other", "Other loans receivable", "0BD"),
+        Line("assets", "7_inventories", "Inventories", "0BD"),
+        Line("assets", "8_prepaid_expenses", "Prepaid expenses", "0BD"),
+        Line("assets", "10a_land_buildings", "Land, buildings and equipment", "0BD"),
+        Line("assets", "10b_less_depreciation", "Less accumulated depreciation", "0BD"),
+        Line("assets", "10c_net_land_buildings", "Net land, buildings and equipment", "0BD"),
+        Line("assets", "11_investments_public", "Investments, public securities", "0BD"),
+        Line("assets", "12_investments_other", "Investments, other securities", other),
+        Line("assets", "13_program_related_investments", "Program-related investments", "0BD"),
+        Line("assets", "14_intangible_assets", "Intangible assets", "0BD"),
+        Line("assets", "15_other_assets", "Other assets", "0BD"),
+        Line("assets", "16_total_assets", "Total assets", f"{cash} + {other}"),
+        Line("liabilities", "17_accounts_payable", "Accounts payable and accrued expenses", "0BD"),
+        Line("liabilities", "18_grants_payable", "Grants payable", "0BD"),
+        Line("liabilities", "19_deferred_revenue", "Deferred revenue", "0BD"),
+        Line("liabilities", "20_tax_exempt_bond_liabilities", "Tax-exempt bond liabilities", "0BD"),
+        Line("liabilities", "21_escrow_account", "Escrow account", "0BD"),
+        Line("liabilities", "22_loans_from_officers", "Loans from officers", "0BD"),
+        Line("liabilities", "23_secured_mortgages", "Secured mortgages", "0BD"),
+        Line("liabilities", "24_unsecured_notes", "Unsecured notes", "0BD"),
+        Line("liabilities", "25_other_liabilities", "Other liabilities", owed),
+        Line("liabilities", "26_total_liabilities", "Total liabilities", owed),
+        Line("net_assets", "27_unrestricted", "Unrestricted net assets", net_assets),
+        Line("net_assets", "28_temporarily_restricted", "Temporarily restricted net assets", "0BD"),
+        Line("net_assets", "29_permanently_restricted", "Permanently restricted net assets", "0BD"),
+        Line("net_assets", "30_capital_stock", "Capital stock", "0BD"),
+        Line("net_assets", "31_paid_in_capital", "Paid-in capital", "0BD"),
+        Line("net_assets", "32_retained_earnings", "Retained earnings", "0BD"),
+        Line("net_assets", "33_total_net_assets", "Total net assets or fund balances", net_assets),
+        Line("net_assets", "34_total_liabilities_and_net_assets",
+             "Total liabilities and net assets", f"{owed} + {net_assets}"),
     ], column="part")
 
 
@@ -254,47 +247,49 @@ def part10_balance_sheet(ledger: DataFrame, *, beginning_cash: Money = 0, other_
         beginning_cash, other_assets, liabilities, beginning_net_assets))
 
 
-def _support() -> tuple[list[tuple[str, str, Column]], Column, Column, Column]:
+# --- fixed values: Schedule A line keys, labels, categories, public support ----------------
+_SUPPORT = (
+    ("gifts_grants_contributions", "Gifts, grants, contributions", "Donations & Contributions", True),
+    ("government_grants", "Government grants", "Grants", True),
+    ("program_service_revenue", "Program service revenue", PROGRAM_REVENUE, True),
+    ("investment_income", "Investment income", "Investment Income", False),
+    ("fundraising_revenue", "Fundraising event revenue", "Fundraising Event Revenue", True),
+    ("other_revenue", "Other revenue", dims.OTHER_REVENUE, False),
+)
+
+
+def _support() -> tuple[list[tuple[str, str, str]], str, str, str]:
     """Support sources, total support, public support, public share in percent."""
-    # --- fixed values: Schedule A line keys and labels ------------------------------------
-    sources = [
-        ("gifts_grants_contributions", "Gifts, grants, contributions",
-         _received("Donations & Contributions")),
-        ("government_grants", "Government grants", _received("Grants")),
-        ("program_service_revenue", "Program service revenue", _received(PROGRAM_REVENUE)),
-        ("investment_income", "Investment income", _received("Investment Income")),
-        ("fundraising_revenue", "Fundraising event revenue",
-         _received("Fundraising Event Revenue")),
-        ("other_revenue", "Other revenue", _received(dims.OTHER_REVENUE)),
-    ]
-    amount = {key: value for key, _, value in sources}
-    support = total(amount.values())
-    public = total(v for k, v in amount.items() if k not in ("investment_income", "other_revenue"))
-    share = F.when(support > 0, F.round(
-        public.cast("double") / support.cast("double") * 100, 1)).otherwise(F.lit(0.0))
-    return sources, report_money(support), report_money(public), share
+    sources = [(key, label, _received(category)) for key, label, category, _ in _SUPPORT]
+    support = sql.cents_sum(amount for _, _, amount in sources)
+    public = sql.cents_sum(
+        amount for (_, _, amount), (*_, counts) in zip(sources, _SUPPORT) if counts)
+    share = (f"CASE WHEN {support} > 0 THEN round(cast({public} as double) "
+             f"/ cast({support} as double) * 100, 1) ELSE 0D END")
+    return sources, support, public, share
 
 
 def schedule_a_support(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """One wide row: support by source, public share, and the 33 1/3 % test."""
     sources, support, public, share = _support()
     return _summary_of(ledger, keys).select(
-        *keys, *(value.alias(key) for key, _, value in sources),
-        support.alias("total_support"), public.alias("public_support"),
-        share.alias("public_support_percentage"),
-        (share >= 33.33).alias("meets_33_percent_test"))
+        *keys, *(F.expr(amount).alias(key) for key, _, amount in sources),
+        F.expr(sql.cents(support)).alias("total_support"),
+        F.expr(sql.cents(public)).alias("public_support"),
+        F.expr(share).alias("public_support_percentage"),
+        F.expr(f"{share} >= 33.33D").alias("meets_33_percent_test"))
 
 
-def _schedule_a_lines() -> Column:
+def _schedule_a_lines() -> str:
     sources, support, public, share = _support()
     return report_lines("schedule_a", [
-        *(line("support", key, label, value) for key, label, value in sources),
-        line("support", "total_support", "Total support", support),
-        line("test", "public_support", "Public support", public),
-        line("test", "public_support_percentage", "Public support percentage",
-             share.cast("decimal(28,2)")),
-        line("test", "meets_33_percent_test", "33-1/3% public support test (1 = passes)",
-             F.when(share >= 33.33, 1).otherwise(0)),
+        *(Line("support", key, label, amount) for key, label, amount in sources),
+        Line("support", "total_support", "Total support", support),
+        Line("test", "public_support", "Public support", public),
+        Line("test", "public_support_percentage", "Public support percentage",
+             f"cast({share} as decimal(28,2))"),
+        Line("test", "meets_33_percent_test", "33-1/3% public support test (1 = passes)",
+             f"CASE WHEN {share} >= 33.33D THEN 1BD ELSE 0BD END"),
     ], column="part")
 
 
@@ -338,6 +333,6 @@ def worksheet(ledger: DataFrame, *, beginning_cash: Money = 0, other_assets: Mon
         _schedule_a_lines())
     described = program_revenue_by_description(ledger, keys).select(
         *keys, F.lit("part8").alias("part"), F.lit("program").alias("section"),
-        F.lit(6).alias("ord"), F.lit("2a_program_services").alias("line_key"),
+        F.lit(7).alias("ord"), F.lit("2a_program_services").alias("line_key"),
         F.col("description").alias("label"), "amount", F.lit(False).alias("is_total"))
     return shared.unionByName(part8_revenue(ledger, keys=keys)).unionByName(described)

@@ -1,41 +1,39 @@
-"""Report lines as arrays of structs on a one-row-per-group summary."""
+"""Report lines: SQL text of structs over a one-row-per-group summary."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
-from operator import add
+import re
+from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import report_money
-from ledgerloom.functions.text import is_total_label
+from ledgerloom.functions import sqltext as sql
+from ledgerloom.functions.text import TOTAL_WORDS
 
 
-def line(section: str, line_key: str, label: str, amount, *, keep: Column | None = None) -> Column:
-    """One report line; ``keep`` drops it where false.  ``ord`` is filled in later."""
-    return F.struct(
-        F.lit(section).alias("section"), F.lit(line_key).alias("line_key"),
-        F.lit(label).alias("label"), report_money(amount).alias("amount"),
-        (F.lit(True) if keep is None else keep).alias("keep"))
+class Line(NamedTuple):
+    section: str
+    line_key: str
+    label: str
+    amount: str
+    keep: str = "true"
 
 
-def total(amounts: Iterable[Column]) -> Column:
-    """Sum of amounts that are each rounded first."""
-    return reduce(add, [report_money(a) for a in amounts])
+def report_lines(report: str, lines: Sequence[Line], column: str = "statement") -> str:
+    """SQL array of the kept lines of one report; ``ord`` is the place in the full report."""
+    structs = [
+        f"named_struct('{column}', {sql.text(report)}, 'section', {sql.text(entry.section)}, "
+        f"'ord', {i}, 'line_key', {sql.text(entry.line_key)}, 'label', {sql.text(entry.label)}, "
+        f"'amount', {sql.cents(entry.amount)}, "
+        f"'is_total', {str(bool(re.search(TOTAL_WORDS, entry.label))).lower()}, "
+        f"'keep', {entry.keep})"
+        for i, entry in enumerate(lines)
+    ]
+    return f"filter(array({', '.join(structs)}), entry -> entry.keep)"
 
 
-def report_lines(report: str, lines: Sequence[Column], column: str = "statement") -> Column:
-    """Array of the kept lines of one report.  ``ord`` counts positions in the full report."""
-    numbered = F.transform(F.array(*lines), lambda entry, i: F.struct(
-        F.lit(report).alias(column), entry["section"].alias("section"), i.alias("ord"),
-        entry["line_key"].alias("line_key"), entry["label"].alias("label"),
-        entry["amount"].alias("amount"), entry["keep"].alias("keep")))
-    return F.filter(numbered, lambda entry: entry["keep"])
-
-
-def explode_lines(summary: DataFrame, keys: Sequence[str], *reports: Column) -> DataFrame:
-    """Line arrays of any number of reports, as rows; all read the same summary row."""
-    rows = summary.select(*keys, F.inline(F.concat(*reports))).drop("keep")
-    return rows.withColumn("is_total", is_total_label(F.col("label")))
+def explode_lines(summary: DataFrame, keys: Sequence[str], *reports: str) -> DataFrame:
+    """Lines of any number of reports as rows; all read the same summary row."""
+    return summary.select(*keys, F.expr(f"inline(concat({', '.join(reports)}))")).drop("keep")

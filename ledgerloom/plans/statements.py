@@ -9,141 +9,139 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
+from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.dates import as_of_text, period_text
-from ledgerloom.functions.money import report_money
 from ledgerloom.operators.totals import money, net, sum_when, summary
-from ledgerloom.plans.lines import explode_lines, line, report_lines, total
+from ledgerloom.plans.lines import Line, explode_lines, report_lines
 
-Money = float | int | Decimal | Column
+Money = float | int | Decimal
 
 SPENDING_CATEGORIES = tuple(c for c in dims.EXPENSE_CATEGORIES if c != dims.TRANSFER)
 NATURAL_CATEGORIES = tuple(c for c in SPENDING_CATEGORIES if c not in dims.FUNCTIONS)
 FUNCTION_COLUMNS = ("program_services", "management_general", "fundraising")
 
 
-def _summary_of(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ledger if "by_category" in ledger.columns else summary(ledger, keys)
+def _prepared(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary row plus the totals several lines refer to."""
+    base = ledger if "by_category" in ledger.columns else summary(ledger, keys)
+    operating = [f"greatest({net(c)}, 0BD)" for c in dims.REVENUE_CATEGORIES]
+    return base.withColumns({
+        "total_revenue": F.expr(sql.cents_sum(net(c) for c in dims.REVENUE_CATEGORIES)),
+        "total_expenses": F.expr(sql.cents_sum(f"abs({net(c)})" for c in SPENDING_CATEGORIES)),
+        "transfers": F.expr(sql.cents(net(dims.TRANSFER))),
+        "received": F.expr(sql.cents_sum(operating)),
+        **{f"functional_{i}": F.expr(sql.cents_sum(
+            money(c, "money_out") for c in SPENDING_CATEGORIES if dims.function_of(c) == f))
+           for i, f in enumerate(dims.FUNCTIONS)},
+    })
 
 
-def _activities_lines() -> Column:
-    revenue = {c: net(c) for c in dims.REVENUE_CATEGORIES}
-    expenses = {c: F.abs(net(c)) for c in SPENDING_CATEGORIES}
-    total_revenue, total_expenses = total(revenue.values()), total(expenses.values())
-    transfers = report_money(net(dims.TRANSFER))
+def _activities_lines() -> str:
     return report_lines("activities", [
-        *(line("revenue", c, c, v, keep=v != 0) for c, v in revenue.items()),
-        line("revenue", "total_revenue", "Total Revenue and Support", total_revenue),
-        *(line("expenses", c, c, v, keep=v != 0) for c, v in expenses.items()),
-        line("expenses", "total_expenses", "Total Expenses", total_expenses),
-        line("transfers", "net_transfers", "Net Transfers", transfers),
-        line("change", "change_in_net_assets", "Change in Net Assets",
-             total_revenue - total_expenses + transfers),
+        *(Line("revenue", c, c, net(c), f"{net(c)} <> 0") for c in dims.REVENUE_CATEGORIES),
+        Line("revenue", "total_revenue", "Total Revenue and Support", "total_revenue"),
+        *(Line("expenses", c, c, f"abs({net(c)})", f"{net(c)} <> 0") for c in SPENDING_CATEGORIES),
+        Line("expenses", "total_expenses", "Total Expenses", "total_expenses"),
+        Line("transfers", "net_transfers", "Net Transfers", "transfers"),
+        Line("change", "change_in_net_assets", "Change in Net Assets",
+             "total_revenue - total_expenses + transfers"),
     ])
 
 
 def activities(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Revenue net of refunds, expenses as absolute net, transfers, change in net assets."""
-    return explode_lines(_summary_of(ledger, keys), keys, _activities_lines())
+    return explode_lines(_prepared(ledger, keys), keys, _activities_lines())
 
 
-def _position_lines(beginning_cash: Money, other_assets: Money, liabilities: Money) -> Column:
-    cash = report_money(
-        report_money(beginning_cash) + report_money(F.col("all_in") - F.col("all_out")))
-    assets = cash + report_money(other_assets)
-    net_assets = assets - report_money(liabilities)
+def _position_lines(beginning_cash: Money, other_assets: Money, liabilities: Money) -> str:
+    other, owed = sql.number(other_assets), sql.number(liabilities)
+    cash = sql.cents(f"{sql.number(beginning_cash)} + {sql.cents('all_in - all_out')}")
+    assets = sql.cents(f"{cash} + {other}")
+    net_assets = sql.cents(f"{assets} - {owed}")
     return report_lines("position", [
-        line("assets", "cash", "Cash and Cash Equivalents", cash),
-        line("assets", "other_assets", "Other Assets", other_assets),
-        line("assets", "total_assets", "Total Assets", assets),
-        line("liabilities", "total_liabilities", "Total Liabilities", liabilities),
-        line("net_assets", "without_restrictions", "Without Donor Restrictions", net_assets),
-        line("net_assets", "with_restrictions", "With Donor Restrictions", 0),
-        line("net_assets", "total_net_assets", "Total Net Assets", net_assets),
-        line("total", "total_liabilities_and_net_assets", "Total Liabilities and Net Assets",
-             report_money(liabilities) + net_assets),
+        Line("assets", "cash", "Cash and Cash Equivalents", cash),
+        Line("assets", "other_assets", "Other Assets", other),
+        Line("assets", "total_assets", "Total Assets", assets),
+        Line("liabilities", "total_liabilities", "Total Liabilities", owed),
+        Line("net_assets", "without_restrictions", "Without Donor Restrictions", net_assets),
+        Line("net_assets", "with_restrictions", "With Donor Restrictions", "0BD"),
+        Line("net_assets", "total_net_assets", "Total Net Assets", net_assets),
+        Line("total", "total_liabilities_and_net_assets", "Total Liabilities and Net Assets",
+             f"{owed} + {net_assets}"),
     ])
 
 
 def financial_position(ledger: DataFrame, *, beginning_cash: Money = 0, other_assets: Money = 0,
                        liabilities: Money = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Opening cash plus all activity (transfers included), other assets, liabilities."""
-    lines = _position_lines(beginning_cash, other_assets, liabilities)
     if "all_in" not in ledger.columns:
         # needs no category: nothing is classified
         ledger = ledger.groupBy(*keys).agg(
             sum_when(F.col("amount") > 0, F.col("amount")).alias("all_in"),
             sum_when(F.col("amount") < 0, -F.col("amount")).alias("all_out"))
-    return explode_lines(ledger, keys, lines)
+    return explode_lines(ledger, keys, _position_lines(beginning_cash, other_assets, liabilities))
 
 
-def _functional_rows() -> list[tuple[str, dict[str, Column], Column]]:
-    """Label, amount per function, keep flag."""
-    rows, columns = [], {f: [] for f in dims.FUNCTIONS}
+def _functional_rows() -> list[tuple[str, list[str], str]]:
+    """Label, amount per function, keep test.  A category has exactly one function."""
+    rows = []
     for category in NATURAL_CATEGORIES + dims.FUNCTIONS:
-        function, spent = dims.function_of(category), money(category, "money_out")
-        columns[function].append(spent)
-        if category in dims.FUNCTIONS:
-            rows.append((f"{category} (Direct)", {function: spent}, spent > 0))
-        else:
-            rows.append((category, {function: spent}, report_money(spent) > 0))
-    rows.append(("Total Expenses", {f: total(v) for f, v in columns.items()}, F.lit(True)))
+        spent = money(category, "money_out")
+        cells = [sql.cents(spent) if f == dims.function_of(category) else sql.cents("0BD")
+                 for f in dims.FUNCTIONS]
+        direct = category in dims.FUNCTIONS
+        rows.append((f"{category} (Direct)" if direct else category, cells,
+                     f"{spent if direct else sql.cents(spent)} > 0"))
+    rows.append(("Total Expenses", [f"functional_{i}" for i in range(3)], "true"))
     return rows
 
 
 def functional_expenses(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Natural category by function, wide; only outflows count and refunds do not net.
 
-    A category has one function, so each row fills one column.  The functions' own
-    categories appear as "(Direct)" rows after the natural ones.
+    The functions' own categories appear as "(Direct)" rows after the natural ones.
     """
     structs = []
     for i, (label, cells, keep) in enumerate(_functional_rows()):
-        values = [report_money(cells.get(f, 0)) for f in dims.FUNCTIONS]
-        structs.append(F.struct(
-            F.lit(i).alias("ord"), F.lit(label).alias("label"),
-            *(v.alias(n) for v, n in zip(values, FUNCTION_COLUMNS)),
-            report_money(values[0] + values[1] + values[2]).alias("total"), keep.alias("keep")))
-    kept = F.filter(F.array(*structs), lambda row: row["keep"])
-    return _summary_of(ledger, keys).select(*keys, F.inline(kept)).drop("keep")
+        named = ", ".join(f"'{n}', {sql.cents(c)}" for n, c in zip(FUNCTION_COLUMNS, cells))
+        structs.append(f"named_struct('ord', {i}, 'label', {sql.text(label)}, {named}, "
+                       f"'total', {sql.cents(' + '.join(cells))}, 'keep', {keep})")
+    kept = f"filter(array({', '.join(structs)}), entry -> entry.keep)"
+    return _prepared(ledger, keys).select(*keys, F.expr(f"inline({kept})")).drop("keep")
 
 
-def _functional_lines() -> Column:
+def _functional_lines() -> str:
     lines = []
     for label, cells, keep in _functional_rows():
-        values = [report_money(cells.get(f, 0)) for f in dims.FUNCTIONS]
-        lines += [line(n, label, label, v, keep=keep) for n, v in zip(FUNCTION_COLUMNS, values)]
-        lines.append(line("total", label, label, values[0] + values[1] + values[2], keep=keep))
+        lines += [Line(n, label, label, c, keep) for n, c in zip(FUNCTION_COLUMNS, cells)]
+        lines.append(Line("total", label, label, " + ".join(cells), keep))
     return report_lines("functional_expenses", lines)
 
 
-def _cash_flow_lines(beginning_cash: Money) -> Column:
-    inflows = {c: net(c) for c in dims.REVENUE_CATEGORIES}
-    outflows = {c: -F.abs(net(c)) for c in SPENDING_CATEGORIES}
-    operating = (total(F.when(v > 0, v).otherwise(0) for v in inflows.values())
-                 + total(outflows.values()))
-    opening = report_money(beginning_cash)
+def _cash_flow_lines(beginning_cash: Money) -> str:
+    opening, operating = sql.cents(sql.number(beginning_cash)), "received - total_expenses"
     return report_lines("cash_flows", [
-        *(line("operating", c, f"Cash received from {c.lower()}", v, keep=v > 0)
-          for c, v in inflows.items()),
-        *(line("operating", c, f"Cash paid for {c.lower()}", v, keep=v < 0)
-          for c, v in outflows.items()),
-        line("operating", "net_operating", "Net Cash from Operating Activities", operating),
-        line("investing", "net_investing", "Net Cash from Investing Activities", 0),
-        line("financing", "net_financing", "Net Cash from Financing Activities", 0),
-        line("cash", "net_change_in_cash", "Net Change in Cash", operating),
-        line("cash", "beginning_cash", "Beginning Cash Balance", opening),
-        line("cash", "ending_cash", "Ending Cash Balance", opening + operating),
+        *(Line("operating", c, f"Cash received from {c.lower()}", net(c), f"{net(c)} > 0")
+          for c in dims.REVENUE_CATEGORIES),
+        *(Line("operating", c, f"Cash paid for {c.lower()}", f"-abs({net(c)})", f"{net(c)} <> 0")
+          for c in SPENDING_CATEGORIES),
+        Line("operating", "net_operating", "Net Cash from Operating Activities", operating),
+        Line("investing", "net_investing", "Net Cash from Investing Activities", "0BD"),
+        Line("financing", "net_financing", "Net Cash from Financing Activities", "0BD"),
+        Line("cash", "net_change_in_cash", "Net Change in Cash", operating),
+        Line("cash", "beginning_cash", "Beginning Cash Balance", opening),
+        Line("cash", "ending_cash", "Ending Cash Balance", f"{opening} + {operating}"),
     ])
 
 
 def cash_flows(ledger: DataFrame, *, beginning_cash: Money = 0,
                keys: Sequence[str] = ()) -> DataFrame:
     """Direct method: operating only, transfers excluded."""
-    return explode_lines(_summary_of(ledger, keys), keys, _cash_flow_lines(beginning_cash))
+    return explode_lines(_prepared(ledger, keys), keys, _cash_flow_lines(beginning_cash))
 
 
 def headings(ledger: DataFrame, organization: str = "Organization",
@@ -156,7 +154,9 @@ def headings(ledger: DataFrame, organization: str = "Organization",
         ("functional_expenses", "Statement of Functional Expenses", period),
         ("cash_flows", "Statement of Cash Flows", period),
     ]
-    return _summary_of(ledger, keys).select(*keys, F.inline(F.array(*(
+    dates = ledger if "first_ts" in ledger.columns else ledger.groupBy(*keys).agg(
+        F.min("txn_ts").alias("first_ts"), F.max("txn_ts").alias("last_ts"))
+    return dates.select(*keys, F.inline(F.array(*(
         F.struct(F.lit(s).alias("statement"), F.lit(t).alias("title"),
                  F.lit(organization).alias("organization"), p.alias("period"))
         for s, t, p in entries))))
@@ -166,6 +166,6 @@ def all_statements(ledger: DataFrame, *, beginning_cash: Money = 0, other_assets
                    liabilities: Money = 0, keys: Sequence[str] = ()) -> DataFrame:
     """All four statements as lines, from one pass over the ledger."""
     return explode_lines(
-        _summary_of(ledger, keys), keys,
+        _prepared(ledger, keys), keys,
         _activities_lines(), _position_lines(beginning_cash, other_assets, liabilities),
         _functional_lines(), _cash_flow_lines(beginning_cash))

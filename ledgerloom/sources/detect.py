@@ -126,7 +126,7 @@ def _fill_date_and_description(raw: DataFrame, mapping: DataFrame) -> DataFrame:
         cells.withColumn("rn", F.row_number().over(in_column))
         .where(F.col("rn") <= SAMPLE_ROWS)
         .groupBy("file", "pos")
-        .agg(F.bool_and(parse_date(F.col("cell")).isNotNull()).alias("dates"),
+        .agg(F.bool_and(parse_date("cell").isNotNull()).alias("dates"),
              F.avg(F.length("cell")).alias("mean_length"))
     )
     kinds = cells.groupBy("file", "pos").agg(

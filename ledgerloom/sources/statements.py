@@ -48,9 +48,9 @@ def standardize(raw: DataFrame, mapping: DataFrame, accounts: DataFrame | None =
         mapping = (
             mapping.join(broadcast_if_small(named), "file_name", "left")
             .withColumn("account", F.coalesce("_account", "account")).drop("_account"))
-    return data_rows(raw, mapping).select(
+    return data_rows(raw, mapping).withColumn("_date", _cell("date_pos")).select(
         "account",
-        F.explode(parse_dates(_cell("date_pos"))).alias("txn_ts"),
+        F.explode(parse_dates("_date")).alias("txn_ts"),
         F.coalesce(strip(_cell("desc_pos")), F.lit("")).alias("description"),
         _signed_amount().alias("amount"),
         F.col("file_name").alias("source_file"),

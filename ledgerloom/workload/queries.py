@@ -55,15 +55,15 @@ def categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def categorize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = category_totals(ledger(spark, sf_dir))
     return plain(totals.select(
-        "category", classify.functional_class(F.col("category")).alias("functional"), "n",
+        "category", classify.functional_class().alias("functional"), "n",
         money.report_money(F.col("money_in") - F.col("money_out")).alias("net")))
 
 
 def category_type_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         category_totals(ledger(spark, sf_dir))
-        .groupBy(classify.parent_category(F.col("category")).alias("parent"),
-                 classify.category_type(F.col("category")).alias("category_type"))
+        .groupBy(classify.parent_category().alias("parent"),
+                 classify.category_type().alias("category_type"))
         .agg(F.sum("n").alias("n"))
     )
 
@@ -204,7 +204,7 @@ def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.date_format(d, "yyyyMMdd"))
         .otherwise(F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"))))
     texts = table(spark, sf_dir, "orders").select("o_orderkey", shapes.alias("text"))
-    return texts.withColumn("parsed", dates.parse_date(F.col("text")).cast("date"))
+    return texts.withColumn("parsed", dates.parse_date("text").cast("date"))
 
 
 def ingest_csv_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
