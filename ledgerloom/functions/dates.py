@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import sqltext as sql
+from ledgerloom.functions.text import WHITESPACE
 
 # --- fixed values: accepted date shapes and their formats, month-first before day-first --
 _FORMATS = (
@@ -54,23 +55,23 @@ def _parse_sql() -> str:
         for shape, formats in _FORMATS) + " END"
 
 
-def parse_dates(text: str) -> Column:
+def parse_dates(column: str) -> Column:
     """Array holding the parsed TIMESTAMP_NTZ, empty where no accepted shape matches.
 
-    ``text`` is a SQL expression.  The shape test picks the formats worth trying, so a row
+    The shape test picks the formats worth trying, so a row
     pays for one or two parse attempts, and formats Spark reads more loosely than intended
     never see the text.  Month names are matched without regard to case.  The one-element
     array binds the text, so that it is computed once and not spelled out again in every
     branch; exploding the result drops unreadable rows without parsing a second time in a
     pushed-down filter.
     """
-    bound = rf'array(regexp_replace({text}, r"(?U)^\s+|\s+$", ""))'
+    bound = f"array(btrim({column}, {sql.text(WHITESPACE)}))"
     return F.expr(f"filter(transform({bound}, t -> {_parse_sql()}), d -> d IS NOT NULL)")
 
 
-def parse_date(text: str) -> Column:
+def parse_date(column: str) -> Column:
     """Statement date text to TIMESTAMP_NTZ, null where no accepted shape matches."""
-    return F.get(parse_dates(text), F.lit(0))
+    return F.get(parse_dates(column), F.lit(0))
 
 
 def month_of(ts: Column) -> Column:

@@ -7,19 +7,18 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import WHITESPACE
+
 LEDGER_MONEY = "decimal(18,4)"
 REPORT_MONEY = "decimal(28,2)"
 
-# --- fixed values: characters dropped from money text ----------------------------------
-_DROPPED = r"(?U)[,$\s)]"
-
 
 def parse_amount(text: Column) -> Column:
     """Money text to DECIMAL(18,4); anything unreadable, and null, is 0.
 
     ``(`` is read as a minus sign, so ``(5.00)`` is -5 and ``-(5)`` is unreadable.
     """
-    cleaned = F.regexp_replace(F.replace(text, F.lit("("), F.lit("-")), _DROPPED, "")
+    cleaned = F.translate(text, "(,$)" + WHITESPACE, "-")
     return F.coalesce(cleaned.try_cast(LEDGER_MONEY), F.lit(Decimal(0)).cast(LEDGER_MONEY))
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 # --- fixed values: words marking a total line ---------------------------------------------
 TOTAL_WORDS = r"(?i)total|change in|ending|net change"
 
+# --- fixed values: Unicode whitespace -----------------------------------------------------
+WHITESPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace at both ends (``trim`` only drops U+0020)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def account_from_file(file_name: Column) -> Column:

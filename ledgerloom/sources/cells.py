@@ -1,9 +1,11 @@
-"""Scan statement files of any layout into one relation.
+"""Scan statement files of any layout into one stored relation.
 
 ``raw_cells``: ``file``, ``file_name``, ``block``, ``row_id``, ``cells ARRAY<STRING>``.
 
-CSV text is read as ISO-8859-1, which keeps every byte and parses exactly like UTF-8
-because delimiters, quotes and line ends are ASCII.  Whether a file really is UTF-8 is
+CSV files are read as lines, in splits, so a huge export is spread over many tasks and rows
+may have any number of columns.  Only files with line breaks inside quoted cells are read
+again, whole.  Lines are taken as ISO-8859-1, which keeps every byte and splits exactly
+like UTF-8 because delimiters and quotes are ASCII.  Whether a file really is UTF-8 is
 decided later per file (:func:`utf8_text`, :func:`is_utf8`), so both encodings cost one scan.
 """
 
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import strip
+from ledgerloom.session import broadcast_if_small, materialize
 from ledgerloom.sources import workbook
 
 RAW_SCHEMA = ("file string, file_name string, block bigint, row_id bigint, "
@@ -27,7 +31,13 @@ NULL_TEXTS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-SPLIT_ABOVE = 1 << 30
+_CSV_FILES = "*.[cC][sS][vV]"
+_EXCEL_FILES = "*.[xX][lL][sS][xX]"
+
+# a cell: quoted (doubled quotes inside, text after the closing quote kept) or not quoted
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^,]*+'
+_CELL = rf',({_QUOTED}|[^,]*+)'
+_COMPLETE = rf'^(?:,(?:{_QUOTED}|(?!")[^,]*+))*+$'
 
 
 def utf8_text(latin: Column) -> Column:
@@ -43,71 +53,82 @@ def null_texts_to_null(cells: Column) -> Column:
     return F.transform(cells, lambda c: F.when(~c.isin(*NULL_TEXTS), c))
 
 
-def _csv(spark: SparkSession, paths: str | list[str], max_columns: int,
-         multi_line: bool) -> DataFrame:
-    names = [f"c{i}" for i in range(max_columns + 1)]
-    scan = (
-        spark.read.option("header", False).option("multiLine", multi_line)
-        .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
-        .schema(", ".join(f"{n} string" for n in names)).csv(paths)
-    )
-    too_wide = F.raise_error(F.format_string(
-        f"row with more than {max_columns} columns in %s; raise max_columns",
-        F.col("_metadata.file_path")))
-    # keep cells up to the last one filled; get() reads null beyond the end
-    width = F.greatest(F.lit(0), *(F.when(F.col(n).isNotNull(), i + 1)
-                                   for i, n in enumerate(names[:-1])))
-    cells = F.when(F.col(names[-1]).isNull(),
-                   F.slice(F.array(*names[:-1]), F.lit(1), width)).otherwise(too_wide)
-    return scan.select(
+def _split_line(line: Column) -> Column:
+    """Cells of a line; lines without quotes, the usual case, take a plain split."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    unquoted = F.transform(quoted, lambda c: F.when(
+        c.startswith('"'),
+        F.replace(F.regexp_replace(c, r'^"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"')),
+    ).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, ",", -1))
+
+
+def _is_open(line: Column) -> Column:
+    """A quoted cell starts on this line and does not end on it."""
+    return F.contains(line, F.lit('"')) & ~F.concat(F.lit(","), line).rlike(_COMPLETE)
+
+
+def _file_columns() -> list[Column]:
+    name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return [
         F.col("_metadata.file_path").alias("file"),
-        F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-        .alias("file_name"),
+        F.url_decode(name).alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("row_id"),
-        cells.alias("cells"),
+    ]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    text = (spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", _CSV_FILES).text(path))
+    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return (
+        text.select(*_file_columns(), line.alias("line"))
+        .where(strip(F.col("line")) != "")
+        .select("file", "file_name", "block", "row_id", _split_line(F.col("line")).alias("cells"),
+                _is_open(F.col("line")).alias("open"))
     )
 
 
-def _large_files_with_line_breaks(spark: SparkSession, path: str, split_above: int) -> list[str]:
-    """Large files holding quoted line breaks.
-
-    A line with an odd number of quotes starts or ends such a record.  Only files above the
-    size limit are read, so the list is at most total size / ``split_above`` long.
-    """
-    lines = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.[cC][sS][vV]").option("encoding", "ISO-8859-1")
-             .text(path).where(F.col("_metadata.file_size") > split_above))
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = (lines.where(quotes % 2 == 1)
-             .groupBy(F.col("_metadata.file_path").alias("file")).count().select("file"))
-    return [r.file for r in found.collect()]  # URI-encoded, like _metadata.file_path
-
-
-def csv_cells(spark: SparkSession, path: str, *, max_columns: int = 64,
-              split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Cells of all ``*.csv`` files below ``path``.
-
-    Quoted line breaks need one task per file.  Files above ``split_above`` bytes are
-    instead read in splits, so that one huge export does not become one huge task, unless
-    they do hold quoted line breaks.
-    """
-    sizes = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select("length"))
-    any_large = not sizes.where(F.col("length") > split_above).isEmpty()
-    whole = _csv(spark, path, max_columns, multi_line=True)
-    if not any_large:
-        return whole.drop("_size")
-    unsplittable = _large_files_with_line_breaks(spark, path, split_above)
-    split = _csv(spark, path, max_columns, multi_line=False)
-    result = whole.where(F.col("_size") <= split_above).unionByName(
-        split.where((F.col("_size") > split_above) & ~F.col("file").isin(unsplittable)))
-    if unsplittable:
-        result = result.unionByName(_csv(
-            spark, [unquote(f) for f in unsplittable], max_columns, multi_line=True))
-    return result.drop("_size")
+def _whole_files(spark: SparkSession, path: str, files: DataFrame, columns: int) -> DataFrame:
+    """Files with quoted line breaks, one task each."""
+    names = [f"c{i}" for i in range(columns + 1)]
+    scan = (
+        spark.read.option("header", False).option("multiLine", True)
+        .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
+        .option("recursiveFileLookup", True).option("pathGlobFilter", _CSV_FILES)
+        .schema(", ".join(f"{n} string" for n in names))
+    )
+    few = files.select("file").limit(1001).collect()
+    if len(few) <= 1000:
+        cells = scan.csv([unquote(r.file) for r in few])
+    else:
+        cells = scan.csv(path)
+    too_wide = F.raise_error(F.concat(F.lit("more columns than on any line: "),
+                                      F.col("_metadata.file_path")))
+    # keep cells up to the last one filled; get() reads null beyond the end
+    width = F.greatest(F.lit(0), *(F.when(F.col(n).isNotNull(), i + 1)
+                                   for i, n in enumerate(names[:-1])))
+    filled = F.when(F.col(names[-1]).isNull(),
+                    F.slice(F.array(*names[:-1]), F.lit(1), width)).otherwise(too_wide)
+    rows = cells.select(*_file_columns(), filled.alias("cells"))
+    if len(few) <= 1000:
+        return rows
+    return rows.join(files.select("file"), "file", "left_semi")
+
+
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all ``*.csv`` files below ``path``, stored in the scratch folder."""
+    lines = materialize(_lines(spark, path), "lines")
+    broken = lines.groupBy("file").agg(
+        F.bool_or("open").alias("open"), F.max(F.size("cells")).alias("columns")).where("open")
+    widest = broken.agg(F.max("columns")).first()[0]
+    if widest is None:
+        return lines.drop("open")
+    broken = materialize(broken.select("file"), "broken")
+    intact = lines.drop("open").join(broadcast_if_small(broken), "file", "left_anti")
+    whole = materialize(_whole_files(spark, path, broken, widest), "cells")
+    return intact.select(*whole.columns).unionByName(whole)
 
 
 def _sheet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,25 +140,30 @@ def _sheet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "row_id": range(start, start + len(rows)), "cells": rows})
 
 
-def excel_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of the first sheet of all ``*.xlsx`` files below ``path``, a file per task step.
+def excel_cells(spark: SparkSession, path: str) -> DataFrame | None:
+    """Cells of the first sheet of all ``*.xlsx`` files, stored; None without such files.
 
     A sheet holds at most 1,048,576 rows, which bounds the work per file.  ``row_id`` is the
-    row position in the file.
+    row position in the file.  Text is kept the way CSV bytes are, see :func:`utf8_text`.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
-             .select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "content"))
-    return files.mapInPandas(_sheet_batches, RAW_SCHEMA)
+             .option("pathGlobFilter", _EXCEL_FILES).load(path))
+    if files.select("path").isEmpty():
+        return None
+    named = files.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "content")
+    as_bytes = F.transform("cells", lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
+    sheets = named.mapInPandas(_sheet_batches, RAW_SCHEMA).withColumn("cells", as_bytes)
+    return materialize(sheets, "sheets")
 
 
-def raw_cells(spark: SparkSession, path: str, *, max_columns: int = 64,
-              split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """All statement files below ``path``, CSV and Excel, as one relation."""
-    csv = csv_cells(spark, path, max_columns=max_columns, split_above=split_above)
-    # workbook text is already decoded; store it the way the CSV scan stores bytes
-    as_bytes = F.transform("cells", lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
-    return csv.unionByName(excel_cells(spark, path).withColumn("cells", as_bytes))
+def raw_cells(spark: SparkSession, path: str) -> DataFrame:
+    """All statement files below ``path``, CSV and Excel, as one stored relation.
+
+    Stored, because row ids must not change between the detection passes and the final
+    read, and because text is then parsed only once.
+    """
+    csv, excel = csv_cells(spark, path), excel_cells(spark, path)
+    return csv if excel is None else csv.unionByName(excel)
 
 
 def preview(raw: DataFrame, rows: int = 15) -> DataFrame:

@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import parse_dates
 from ledgerloom.functions.money import LEDGER_MONEY, parse_amount
 from ledgerloom.functions.text import account_from_file, strip
-from ledgerloom.session import broadcast_if_small, materialize
-from ledgerloom.sources.cells import NULL_TEXTS, SPLIT_ABOVE, raw_cells, utf8_text
+from ledgerloom.session import broadcast_if_small
+from ledgerloom.sources.cells import NULL_TEXTS, raw_cells, utf8_text
 from ledgerloom.sources.detect import data_rows, detect_columns, fill_amounts, override_columns
 
 
-def _cell(position: str) -> Column:
-    cell = F.get("cells", F.col(position))
-    text = F.when(F.col("utf8"), utf8_text(cell)).otherwise(cell)
-    return F.when(~text.isin(*NULL_TEXTS), text)
+def _cell(position: Column) -> Column:
+    cell = F.get("cells", position)
+    return F.when(F.col("utf8"), utf8_text(cell)).otherwise(cell)
+
+
+def _readable(column: str) -> Column:
+    return F.when(~F.col(column).isin(*NULL_TEXTS), F.col(column))
 
 
 def _signed_amount() -> Column:
     """One money column, or separate debit and credit columns, or the first money found."""
-    debit, credit = parse_amount(_cell("debit_pos")), parse_amount(_cell("credit_pos"))
     has_debit, has_credit = F.col("debit_pos").isNotNull(), F.col("credit_pos").isNotNull()
     return (
-        F.when(F.col("amount_pos").isNotNull(), parse_amount(_cell("amount_pos")))
-        .when(has_debit & has_credit, credit - debit)
-        .when(has_debit, -F.abs(debit))
-        .when(has_credit, F.abs(credit))
-        .otherwise(parse_amount(_cell("value_pos")))
+        F.when(F.col("amount_pos").isNotNull() | ~(has_debit | has_credit), F.col("_amount"))
+        .when(has_debit & has_credit, F.col("_credit") - F.col("_debit"))
+        .when(has_debit, -F.abs("_debit"))
+        .otherwise(F.abs("_credit"))
     ).cast(LEDGER_MONEY)
 
 
@@ -42,16 +43,28 @@ def standardize(raw: DataFrame, mapping: DataFrame, accounts: DataFrame | None =
     """
     if "value_pos" not in mapping.columns:
         mapping = fill_amounts(raw, mapping)
-    mapping = mapping.drop("names").withColumn("account", account_from_file(F.col("file_name")))
+    mapping = mapping.drop("names").withColumns({
+        "account": account_from_file(F.col("file_name")),
+        # the single money column, or the first one found; null next to debit and credit
+        "money_pos": F.coalesce("amount_pos", "value_pos"),
+    })
     if accounts is not None:
         named = accounts.select("file_name", F.col("account").alias("_account"))
         mapping = (
             mapping.join(broadcast_if_small(named), "file_name", "left")
             .withColumn("account", F.coalesce("_account", "account")).drop("_account"))
-    return data_rows(raw, mapping).withColumn("_date", _cell("date_pos")).select(
+    # one column per step: each text is decoded, checked and parsed once
+    texts = data_rows(raw, mapping).withColumns({
+        f"_{role}": _cell(F.col(f"{role}_pos"))
+        for role in ("date", "desc", "money", "debit", "credit")})
+    parsed = texts.withColumns({
+        "_date": _readable("_date"), "_desc": _readable("_desc"),
+        "_amount": parse_amount(F.col("_money")), "_debit": parse_amount(F.col("_debit")),
+        "_credit": parse_amount(F.col("_credit"))})
+    return parsed.select(
         "account",
         F.explode(parse_dates("_date")).alias("txn_ts"),
-        F.coalesce(strip(_cell("desc_pos")), F.lit("")).alias("description"),
+        F.coalesce(strip(F.col("_desc")), F.lit("")).alias("description"),
         _signed_amount().alias("amount"),
         F.col("file_name").alias("source_file"),
         "row_id",
@@ -59,15 +72,9 @@ def standardize(raw: DataFrame, mapping: DataFrame, accounts: DataFrame | None =
 
 
 def read_statements(spark: SparkSession, path: str, *, overrides: DataFrame | None = None,
-                    accounts: DataFrame | None = None, max_columns: int = 64,
-                    split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Read every statement below ``path`` into one ledger.
-
-    The scan is stored once in the scratch folder: row ids must not change between the
-    detection passes and the final read, and text is then parsed only once.
-    """
-    raw = materialize(
-        raw_cells(spark, path, max_columns=max_columns, split_above=split_above), "cells")
+                    accounts: DataFrame | None = None) -> DataFrame:
+    """Read every statement below ``path`` into one ledger."""
+    raw = raw_cells(spark, path)
     mapping = detect_columns(raw)
     if overrides is not None:
         mapping = override_columns(mapping, overrides)

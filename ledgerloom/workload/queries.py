@@ -137,9 +137,9 @@ def archive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         archive.save(ledger_part, root, label, organization="Test League",
                      created_at=dt.datetime(2002, 1, day))
         for day, (label, ledger_part) in enumerate((
-            ("H1 1996", classify.with_category(doubled)),
-            ("Apr-Dec 1996", second.withColumn("category", restated)),
-            ("1997", classify.with_category(third))), start=1)
+            ("H1 1996", classify.classify_repeating(doubled)),
+            ("Apr-Dec 1996", classify.with_dimensions(second.withColumn("category", restated))),
+            ("1997", classify.classify_repeating(third))), start=1)
     ]
     combined = archive.load_many(spark, root, saved, ordered=False)
     return plain(combined.select(
