@@ -61,8 +61,9 @@ def category_totals(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
 def summary(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
     """One row per group with everything the statements and worksheets read.
 
-    ``by_category`` maps each known category to its two sums; the remaining columns are
-    sums over all rows, over non-transfers, and over non-transfer outflows per function.
+    ``ins``, ``outs`` and ``nets`` are arrays with one amount per known category, in
+    dimension order (see :func:`money`); the remaining columns are sums over all rows, over
+    non-transfers, and over non-transfer outflows per function.
     Without ``keys`` an empty ledger still gives one row of zeros.
     """
     per_category = (
@@ -80,7 +81,7 @@ def summary(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
     def total(condition: Column, column: str) -> Column:
         return sum_when(condition, F.col(column))
 
-    return per_category.groupBy(*keys).agg(
+    row = per_category.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(known, F.struct("category", sums))))
         .alias("by_category"),
         total(F.lit(True), "money_in").alias("all_in"),
@@ -92,15 +93,28 @@ def summary(ledger: DataFrame, keys: Keys = ()) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
     )
+    return row.withColumns({
+        name: F.expr(f"transform(array({sql.texts(_CATEGORIES)}), c -> "
+                     f"coalesce(try_element_at(by_category, c).{column}, 0BD))")
+        for name, column in (("ins", "money_in"), ("outs", "money_out"))
+    }).withColumn("nets", F.zip_with("ins", "outs", lambda a, b: a - b)).drop("by_category")
+
+
+_CATEGORIES = dims.REVENUE_CATEGORIES + dims.EXPENSE_CATEGORIES
+
+
+def is_summary(df: DataFrame) -> bool:
+    return "nets" in df.columns
 
 
 def money(category: str, column: str) -> str:
     """SQL: ``money_in`` or ``money_out`` of a category on a :func:`summary` row."""
-    return f"coalesce(try_element_at(by_category, {sql.text(category)}).{column}, 0BD)"
+    array = {"money_in": "ins", "money_out": "outs"}[column]
+    return f"{array}[{_CATEGORIES.index(category)}]"
 
 
 def net(category: str) -> str:
-    return f"({money(category, 'money_in')} - {money(category, 'money_out')})"
+    return f"nets[{_CATEGORIES.index(category)}]"
 
 
 def money_of(categories: Sequence[str], column: str) -> str:

@@ -17,7 +17,7 @@ from ledgerloom import dims
 from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.classify import is_inflow, with_category
 from ledgerloom.functions.money import report_money
-from ledgerloom.operators.totals import money, money_of, sum_when, summary
+from ledgerloom.operators.totals import is_summary, money, money_of, sum_when, summary
 from ledgerloom.plans.lines import Line, explode_lines, report_lines
 
 Money = float | int | Decimal
@@ -27,7 +27,7 @@ LABEL_LENGTH = 50
 
 
 def _summary_of(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ledger if "by_category" in ledger.columns else summary(ledger, keys)
+    return ledger if is_summary(ledger) else summary(ledger, keys)
 
 
 def _received(*names: str) -> str:

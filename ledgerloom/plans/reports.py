@@ -109,7 +109,12 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
 
 
 def statement_tables(ledger: DataFrame, **balances) -> dict[str, DataFrame]:
-    """Everything a statement document shows: lines, detail and chart tables."""
+    """Everything a statement document shows: lines, detail and chart tables.
+
+    Nothing for a ledger without rows.
+    """
+    if ledger.isEmpty():
+        return {}
     return {
         "statement_lines": displayed(statements.all_statements(ledger, **balances)),
         "functional_expenses": statements.functional_expenses(ledger),
@@ -121,6 +126,8 @@ def statement_tables(ledger: DataFrame, **balances) -> dict[str, DataFrame]:
 
 
 def worksheet_tables(ledger: DataFrame, **balances) -> dict[str, DataFrame]:
-    """Everything a worksheet document shows."""
+    """Everything a worksheet document shows; nothing for a ledger without rows."""
+    if ledger.isEmpty():
+        return {}
     return {"worksheet": displayed_worksheet(form990.worksheet(ledger, **balances)),
             "header": form990.header(ledger)}

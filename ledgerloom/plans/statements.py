@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom import dims
 from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.dates import as_of_text, period_text
-from ledgerloom.operators.totals import money, net, sum_when, summary
+from ledgerloom.operators.totals import is_summary, money, net, sum_when, summary
 from ledgerloom.plans.lines import Line, explode_lines, report_lines
 
 Money = float | int | Decimal
@@ -27,7 +27,7 @@ FUNCTION_COLUMNS = ("program_services", "management_general", "fundraising")
 
 def _prepared(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Summary row plus the totals several lines refer to."""
-    base = ledger if "by_category" in ledger.columns else summary(ledger, keys)
+    base = ledger if is_summary(ledger) else summary(ledger, keys)
     operating = [f"greatest({net(c)}, 0BD)" for c in dims.REVENUE_CATEGORIES]
     return base.withColumns({
         "total_revenue": F.expr(sql.cents_sum(net(c) for c in dims.REVENUE_CATEGORIES)),

@@ -4,7 +4,7 @@
 
 CSV files are read as lines, in splits, so a huge export is spread over many tasks and rows
 may have any number of columns.  Only files with line breaks inside quoted cells are read
-again, whole.  Lines are taken as ISO-8859-1, which keeps every byte and splits exactly
+again, to join the lines of such records.  Lines are taken as ISO-8859-1, which keeps every byte and splits exactly
 like UTF-8 because delimiters and quotes are ASCII.  Whether a file really is UTF-8 is
 decided later per file (:func:`utf8_text`, :func:`is_utf8`), so both encodings cost one scan.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import strip
@@ -33,6 +33,7 @@ NULL_TEXTS = (
 
 _CSV_FILES = "*.[cC][sS][vV]"
 _EXCEL_FILES = "*.[xX][lL][sS][xX]"
+_LISTED_FILES = 1000
 
 # a cell: quoted (doubled quotes inside, text after the closing quote kept) or not quoted
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^,]*+'
@@ -78,57 +79,112 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     text = (spark.read.option("recursiveFileLookup", True)
-            .option("pathGlobFilter", _CSV_FILES).text(path))
+            .option("pathGlobFilter", _CSV_FILES).text(paths))
     line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    return (
-        text.select(*_file_columns(), line.alias("line"))
-        .where(strip(F.col("line")) != "")
-        .select("file", "file_name", "block", "row_id", _split_line(F.col("line")).alias("cells"),
-                _is_open(F.col("line")).alias("open"))
-    )
+    return text.select(*_file_columns(), line.alias("line"))
+
+
+def _split_lines(lines: DataFrame) -> DataFrame:
+    """One row per line that is not blank."""
+    return lines.where(strip(F.col("line")) != "").select(
+        "file", "file_name", "block", "row_id", _split_line(F.col("line")).alias("cells"),
+        _is_open(F.col("line")).alias("open"))
+
+
+def _odd(count: Column) -> Column:
+    return count % 2 == 1
+
 
+def _join_open_lines(lines: DataFrame) -> DataFrame:
+    """Join lines that belong to one record because a quoted cell spans them.
 
-def _whole_files(spark: SparkSession, path: str, files: DataFrame, columns: int) -> DataFrame:
-    """Files with quoted line breaks, one task each."""
-    names = [f"c{i}" for i in range(columns + 1)]
-    scan = (
-        spark.read.option("header", False).option("multiLine", True)
-        .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
-        .option("recursiveFileLookup", True).option("pathGlobFilter", _CSV_FILES)
-        .schema(", ".join(f"{n} string" for n in names))
+    Whether a line starts inside a quoted cell depends on everything before it in the file.
+    A line either forces the state after it, or keeps it, or flips it, and so does a whole
+    split; the state at the start of each split therefore follows from one row per split,
+    and no task ever needs more of a file than one split.
+    """
+    from_outside = _is_open(F.col("line"))
+    from_inside = _is_open(F.concat(F.lit('"'), F.col("line")))
+    in_split = Window.partitionBy("file", "block").orderBy("row_id")
+    in_file = Window.partitionBy("file").orderBy("block")
+
+    def last_forced(forced: str, flips: str, window: Window) -> Column:
+        known = F.when(F.col(forced).isNotNull(), F.struct(
+            F.col(forced).alias("state"), F.col(flips).alias("flips")))
+        return F.last(known, ignorenulls=True).over(window)
+
+    def since(last: str, flips: str, initial: Column) -> Column:
+        known = F.col(last)
+        return F.when(known.isNull(), initial != _odd(F.col(flips))).otherwise(
+            known["state"] != _odd(F.col(flips) - known["flips"]))
+
+    marked = lines.select(
+        "*", F.when(from_outside == from_inside, from_outside).alias("forced"),
+        (from_outside & ~from_inside).cast("int").alias("flip"),
+    ).withColumn("flips", F.sum("flip").over(in_split)).withColumn(
+        "last", last_forced("forced", "flips", in_split))
+
+    outside = F.lit(False)
+    splits = (
+        marked.groupBy("file", "block").agg(F.max_by(F.struct("flips", "last"), "row_id").alias("end"))
+        .select("file", "block", F.col("end.flips").alias("flips"), F.col("end.last").alias("last"))
+        .select("file", "block", F.when(F.col("last").isNotNull(), since("last", "flips", outside))
+                .alias("forced"), _odd(F.col("flips")).cast("int").alias("flip"))
+        .withColumn("flips", F.sum("flip").over(in_file))
+        .withColumn("last", last_forced("forced", "flips", in_file))
+        .withColumn("after", since("last", "flips", outside))
+        .select("file", "block", "after", F.lag("after", 1, False).over(in_file).alias("initial"))
+    )
+    splits = materialize(splits, "splits")
+    ends = splits.groupBy("file").agg(F.max_by("after", "block").alias("inside"))
+    unclosed = ends.where("inside").select("file").limit(10).collect()
+    if unclosed:
+        raise ValueError("quoted cell never closed in " + ", ".join(r.file for r in unclosed))
+    splits = splits.drop("after")
+    states = (
+        marked.join(broadcast_if_small(splits), ["file", "block"])
+        .withColumn("after", since("last", "flips", F.col("initial")))
+        .withColumn("inside", F.coalesce(F.lag("after").over(in_split), "initial"))
+        .select("file", "file_name", "block", "row_id", "line", "inside")
+    )
+    stored = materialize(states, "states")
+    starts = stored.withColumn(
+        "start", F.last(F.when(~F.col("inside"), F.col("row_id")), ignorenulls=True).over(in_split))
+    # a record reaching into a split began at the last start before that split
+    carried = (
+        stored.groupBy("file", "block")
+        .agg(F.max(F.when(~F.col("inside"), F.struct("block", "row_id"))).alias("last_start"))
+        .select("file", "block", F.last("last_start", ignorenulls=True).over(
+            in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    )
+    begins = F.when(F.col("start").isNotNull(), F.struct("block", F.col("start").alias("row_id"))
+                    ).otherwise(F.col("carried"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "row_id", "line")))
+    return (
+        starts.join(broadcast_if_small(carried), ["file", "block"])
+        .groupBy("file", "file_name", begins.alias("begins"))
+        .agg(F.concat_ws("\n", F.transform(parts, lambda p: p["line"])).alias("line"))
+        .select("file", "file_name", "begins.block", "begins.row_id", "line")
     )
-    few = files.select("file").limit(1001).collect()
-    if len(few) <= 1000:
-        cells = scan.csv([unquote(r.file) for r in few])
-    else:
-        cells = scan.csv(path)
-    too_wide = F.raise_error(F.concat(F.lit("more columns than on any line: "),
-                                      F.col("_metadata.file_path")))
-    # keep cells up to the last one filled; get() reads null beyond the end
-    width = F.greatest(F.lit(0), *(F.when(F.col(n).isNotNull(), i + 1)
-                                   for i, n in enumerate(names[:-1])))
-    filled = F.when(F.col(names[-1]).isNull(),
-                    F.slice(F.array(*names[:-1]), F.lit(1), width)).otherwise(too_wide)
-    rows = cells.select(*_file_columns(), filled.alias("cells"))
-    if len(few) <= 1000:
-        return rows
-    return rows.join(files.select("file"), "file", "left_semi")
 
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of all ``*.csv`` files below ``path``, stored in the scratch folder."""
-    lines = materialize(_lines(spark, path), "lines")
-    broken = lines.groupBy("file").agg(
-        F.bool_or("open").alias("open"), F.max(F.size("cells")).alias("columns")).where("open")
-    widest = broken.agg(F.max("columns")).first()[0]
-    if widest is None:
+    lines = materialize(_split_lines(_lines(spark, path)), "lines")
+    broken = materialize(lines.where("open").select("file").distinct(), "broken")
+    few = broken.limit(_LISTED_FILES + 1).collect()
+    if not few:
         return lines.drop("open")
-    broken = materialize(broken.select("file"), "broken")
+    if len(few) <= _LISTED_FILES:  # read again just these
+        again = _lines(spark, [unquote(r.file) for r in few])
+    else:
+        again = _lines(spark, path).join(broadcast_if_small(broken), "file", "left_semi")
+    records = materialize(
+        _split_lines(_join_open_lines(materialize(again, "reread"))).drop("open"), "records")
     intact = lines.drop("open").join(broadcast_if_small(broken), "file", "left_anti")
-    whole = materialize(_whole_files(spark, path, broken, widest), "cells")
-    return intact.select(*whole.columns).unionByName(whole)
+    return intact.unionByName(records)
 
 
 def _sheet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

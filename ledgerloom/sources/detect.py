@@ -111,7 +111,7 @@ def data_rows(raw: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def _filled_cells(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     """Non-null data cells: ``file, block, row_id, pos, cell``."""
-    return data_rows(raw, mapping).select(
+    return data_rows(raw, mapping.drop("names")).select(
         "file", "block", "row_id",
         F.posexplode(null_texts_to_null(decoded(F.col("cells"), F.col("utf8")))).alias("pos", "cell"),
     ).where(F.col("cell").isNotNull())

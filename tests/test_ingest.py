@@ -43,6 +43,10 @@ FILES = {
     "line_break.csv": ("Date,Description,Amount\n2026-01-02,\"x, y\nz, \"\"q\"\"\",5\n"
                        "2026-01-03,w,6\n",
                        [(DAY, 'x, y\nz, "q"', 5), ("2026-01-03", "w", 6)]),
+    "line_breaks.csv": ("Date,Description,Amount\n2026-01-02,\"a\n\n\"\"b\"\"\n2026-01-09,c,1\n\",5\n"
+                        "2026-01-03,\"\n\",6\n\n2026-01-04,\"5\"\" x\",7\n2026-01-05,5\" y,8\n",
+                        [(DAY, 'a\n\n"b"\n2026-01-09,c,1', 5), ("2026-01-03", "", 6),
+                         ("2026-01-04", '5" x', 7), ("2026-01-05", '5" y', 8)]),
     "stray_quote.csv": ("Date,Description,Amount\n2026-01-02,5\" pipe,5\n", [(DAY, '5" pipe', 5)]),
     "nulls.csv": ("Date,Description,Amount\n2026-01-02,nan,5\n2026-01-02,N/A,NULL\n",
                   [(DAY, "", 5), (DAY, "", 0)]),
@@ -102,6 +106,24 @@ def test_splits_keep_file_order(spark, tmp_path):
     assert [r[1] for r in rows(found, "breaks.csv")] == [f"row\n{i}" for i in range(1000)]
 
 
+def test_records_over_several_splits(spark, tmp_path):
+    """Records much longer than a split, and splits starting anywhere in them."""
+    texts = ["\n".join(f"{i} part {k}" for k in range(length))
+             for i, length in enumerate([1, 3, 400, 2, 1, 900, 1, 50, 5])]
+    write(tmp_path, "long.csv", "Date,Description,Amount\n" + "".join(
+        f'2026-01-02,"{t}, ""x""",{i}\n' for i, t in enumerate(texts)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        raw = cells.raw_cells(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = statements.standardize(raw, detect.detect_columns(raw))
+    assert [(r[1], r[2]) for r in rows(found)] == [
+        (f'{t}, "x"', float(i)) for i, t in enumerate(texts)]
+
+
 def test_overrides_and_account_names(spark, tmp_path):
     write(tmp_path, "v.csv", "Value Date,Narrative,Amount,Note\n2026-01-02,a,5,hello\n")
     write(tmp_path, "w.csv", "Date,Memo,Amount\n2026-01-02,a,5\n")
@@ -158,3 +180,9 @@ def test_workbook(spark, tmp_path):
                            ("2026-01-02", "a", 5.0)]
     noon = found.where("amount = -3").first().txn_ts
     assert noon == dt.datetime(2026, 1, 3, 12)
+
+
+def test_unclosed_quote_is_an_error(spark, tmp_path):
+    write(tmp_path, "bad.csv", 'Date,Description,Amount\n2026-01-02,"a,5\n2026-01-03,b,6\n')
+    with pytest.raises(ValueError, match="bad.csv"):
+        statements.read_statements(spark, str(tmp_path))
