@@ -50,6 +50,7 @@ def _prepared(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
         "others": _received(dims.OTHER_REVENUE),
         "events_and_others": _received("Fundraising Event Revenue", dims.OTHER_REVENUE),
         "salaries": _spent("Salaries & Benefits"),
+        "event_costs": _spent("Fundraising"),
         "expenses": sql.cents("spent_0 + spent_1 + spent_2"),
     }
     totals = {
@@ -139,23 +140,9 @@ def program_revenue_by_description(ledger: DataFrame, keys: Sequence[str] = ())
         *keys, F.col("label").alias("description"), report_money(F.col("reported")).alias("amount"))
 
 
-def part8_revenue(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Fixed lines of Part VIII; program revenue is the total of its reported labels."""
-    def flow(column: str, *names: str) -> Column:
-        wanted = F.col("category").isin(dims.with_subcategories(*names))
-        return report_money(sum_when(wanted, F.col(column)))
-
-    totals = _by_label(ledger, keys).groupBy(*keys).agg(
-        flow("money_in", "Donations & Contributions").alias("gifts"),
-        flow("money_in", "Grants").alias("grants"),
-        F.coalesce(F.sum(report_money(F.col("reported"))), F.lit(Decimal(0))).alias("program"),
-        flow("money_in", "Investment Income").alias("investment"),
-        flow("money_in", "Fundraising Event Revenue").alias("events"),
-        flow("money_out", "Fundraising").alias("costs"),
-        flow("money_in", dims.OTHER_REVENUE).alias("other"),
-    )
+def _part8_lines() -> str:
     # --- fixed values: Part VIII line keys ------------------------------------------------
-    lines = [
+    return report_lines("part8", [
         Line("contributions", "1a_federated_campaigns", "Federated campaigns", "0BD"),
         Line("contributions", "1b_membership_dues", "Membership dues", "0BD"),
         Line("contributions", "1c_fundraising_events", "Fundraising events", "0BD"),
@@ -163,7 +150,7 @@ def part8_revenue(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
         Line("contributions", "1e_govt_grants", "Government grants (contributions)", "grants"),
         Line("contributions", "1f_all_other_contributions", "All other contributions", "gifts"),
         Line("contributions", "1h_total_contributions", "Total contributions", "gifts + grants"),
-        Line("program", "2a_total", "Total program service revenue", "program"),
+        Line("program", "2a_total", "Total program service revenue", "reported"),
         Line("other", "3_investment_income", "Investment income", "investment"),
         Line("other", "4_income_from_investment_of_tax_exempt_bonds",
              "Income from tax-exempt bond proceeds", "0BD"),
@@ -171,15 +158,32 @@ def part8_revenue(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
         Line("other", "6a_gross_rents", "Gross rents", "0BD"),
         Line("other", "7a_gross_from_sales", "Gross amount from sales of assets", "0BD"),
         Line("other", "8a_fundraising_events_gross", "Fundraising events (gross)", "events"),
-        Line("other", "8b_fundraising_expenses", "Less: direct expenses", "costs"),
-        Line("other", "8c_fundraising_net", "Net income from fundraising", "events - costs"),
+        Line("other", "8b_fundraising_expenses", "Less: direct expenses", "event_costs"),
+        Line("other", "8c_fundraising_net", "Net income from fundraising", "events - event_costs"),
         Line("other", "9a_gaming_gross", "Gross income from gaming", "0BD"),
         Line("other", "10a_gross_sales_of_inventory", "Gross sales of inventory", "0BD"),
-        Line("other", "11_other_revenue", "Other revenue", "other"),
+        Line("other", "11_other_revenue", "Other revenue", "others"),
         Line("total", "12_total_revenue", "Total revenue",
-             "gifts + grants + program + investment + events - costs + other"),
-    ]
-    return explode_lines(totals, keys, report_lines("part8", lines, column="part"))
+             "gifts + grants + reported + investment + events - event_costs + others"),
+    ], column="part")
+
+
+def part8_revenue(ledger: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Fixed lines of Part VIII; program revenue is the total of its reported labels."""
+    def flow(column: str, *names: str) -> Column:
+        wanted = F.col("category").isin(dims.with_subcategories(*names))
+        return report_money(sum_when(wanted, F.col(column)))
+
+    totals = _by_label(ledger, keys).groupBy(*keys).agg(
+        flow("money_in", "Donations & Contributions").alias("gifts"),
+        flow("money_in", "Grants").alias("grants"),
+        F.coalesce(F.sum(report_money(F.col("reported"))), F.lit(Decimal(0))).alias("reported"),
+        flow("money_in", "Investment Income").alias("investment"),
+        flow("money_in", "Fundraising Event Revenue").alias("events"),
+        flow("money_out", "Fundraising").alias("event_costs"),
+        flow("money_in", dims.OTHER_REVENUE).alias("others"),
+    )
+    return explode_lines(totals, keys, _part8_lines())
 
 
 def _part9_rows() -> list[tuple[str, list[str]]]:
@@ -333,15 +337,24 @@ def worksheet(ledger: DataFrame, *, beginning_cash: Money = 0, other_assets: Mon
               keys: Sequence[str] = ()) -> DataFrame:
     """All parts as lines.  Part VIII also lists program revenue by description.
 
-    Everything but Part VIII comes from one summary pass; Part VIII needs descriptions and
-    reads the ledger once more for its lines and once for the list.
+    Two passes over the ledger: one for the summary, one for the descriptions, whose
+    shuffle serves both their list and their total.
     """
-    shared = explode_lines(
-        _prepared(ledger, keys), keys, _part1_lines(beginning_net_assets), _part9_lines(),
+    described = program_revenue_by_description(ledger, keys)
+    reported = described.groupBy(*keys).agg(
+        F.coalesce(F.sum("amount"), F.lit(Decimal(0))).alias("reported"))
+    # one row per group on both sides; without keys the constant is the whole join key
+    on = [*keys, "_all"]
+    rows = (
+        _prepared(ledger, keys).withColumn("_all", F.lit(0))
+        .join(reported.withColumn("_all", F.lit(0)), on, "left")
+        .withColumn("reported", F.coalesce("reported", F.lit(Decimal(0))))
+    )
+    lines = explode_lines(
+        rows, keys, _part1_lines(beginning_net_assets), _part8_lines(), _part9_lines(),
         _part10_lines(beginning_cash, other_assets, liabilities, beginning_net_assets),
         _schedule_a_lines())
-    described = program_revenue_by_description(ledger, keys).select(
+    return lines.unionByName(described.select(
         *keys, F.lit("part8").alias("part"), F.lit("program").alias("section"),
         F.lit(7).alias("ord"), F.lit("2a_program_services").alias("line_key"),
-        F.col("description").alias("label"), "amount", F.lit(False).alias("is_total"))
-    return shared.unionByName(part8_revenue(ledger, keys=keys)).unionByName(described)
+        F.col("description").alias("label"), "amount", F.lit(False).alias("is_total")))
