@@ -33,6 +33,13 @@ _FORMATS = (
     (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ("MMMM d[','] yyyy",)),
     (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ("d[ ]['-']MMM[ ]['-']yyyy",)),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ("d MMMM yyyy",)),
+    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$", ("d[ ]['-']MMM[ ]['-']yy",)),
+    (r"^[A-Za-z]{3}-\d{1,2}-\d{4}$", ("MMM-d-yyyy",)),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ("yyyy.M.d",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2} [APap][Mm]$", ("yyyy-M-d h:mm a",)),
+    (r"^\d{4}-\d{2}$", ("yyyy-MM",)),
+    (r"^\d{1,2}/\d{4}$", ("M/yyyy",)),
     (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
     (r"^[A-Za-z]{4,9} \d{4}$", ("MMMM yyyy",)),
     (r"^\d{8}$", ("yyyyMMdd",)),

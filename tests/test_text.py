@@ -32,6 +32,10 @@ DATES = {
     "2026-01-02T14:30:15": D(2026, 1, 2, 14, 30, 15), "1/2/2026 2:05 PM": D(2026, 1, 2, 14, 5),
     "02-Jan-2026": D(2026, 1, 2), " 2026-01-02 ": D(2026, 1, 2), "JAN 2, 2026": D(2026, 1, 2),
     "1/2/95": D(1995, 1, 2), "2026-13-45": None, "12345": None, "2026/01/02": D(2026, 1, 2),
+    "2-Jan-26": D(2026, 1, 2), "Jan-02-2026": D(2026, 1, 2), "01.02.2026": D(2026, 1, 2),
+    "13.02.2026": D(2026, 2, 13), "2026.01.02": D(2026, 1, 2), "2026-01": D(2026, 1, 1),
+    "2026-01-02 3:04 PM": D(2026, 1, 2, 15, 4), "02/2026": D(2026, 2, 1), "1.25": None,
+    "1/2/70": D(2070, 1, 2), "Jan 2 2026": D(2026, 1, 2), "1/2/2026 14:05": D(2026, 1, 2, 14, 5),
     "2026-01-02 14:30:15.250": D(2026, 1, 2, 14, 30, 15, 250000),
 }
 
