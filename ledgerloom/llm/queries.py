@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, packing, quality
+from ledgerloom.llm import decontaminate, packing, quality, token_files
 from ledgerloom.llm.common import table
+from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, path)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -30,4 +37,4 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op8_decontaminate, op9_line_quality)}
+    return {f.__name__: f for f in (op2_packing, op4_token_files, op8_decontaminate, op9_line_quality)}
