@@ -59,6 +59,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                                  (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v),
+k AS (SELECT *, 4 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens,
+        length(regexp_replace(role, '(\\|</?turn>|<text>)', '\\\1', 'g'))
+        + length(regexp_replace(text, '(\\|</?turn>|<text>)', '\\\1', 'g')) + 23 AS chars FROM c),
+p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(tokens) OVER w - tokens AS before
+      FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT conv_id, min(pos) AS s_pos, arg_min(tokens, pos) AS s_tokens, arg_min(chars, pos) AS s_chars
+      FROM p WHERE role = 'system' GROUP BY conv_id),
+q AS (SELECT p.*, s_pos, s_chars, CAST(floor(greatest(768 - coalesce(s_tokens, 0), 256) / 2) AS BIGINT) AS stride
+      FROM p LEFT JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+r AS (SELECT *, 2 * CAST(floor(before / stride) AS BIGINT) + CAST(tokens > stride AS INTEGER) AS span FROM q),
+w AS (SELECT conv_id, span, min(before) AS start, min(pos) AS first, sum(chars) AS own,
+        max(CASE WHEN s_pos IS NOT NULL THEN s_chars ELSE 0 END) AS s_chars, max(s_pos) AS s_pos FROM r GROUP BY ALL),
+h AS (SELECT w.conv_id, w.span, sum(r.chars) AS more FROM w JOIN r
+      ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.before + r.tokens <= w.start AND r.before >= w.start - 256
+      AND r.pos IS DISTINCT FROM r.s_pos GROUP BY ALL),
+f AS (SELECT w.conv_id, CAST(sum(own + coalesce(more, 0) + CASE WHEN w.s_pos < first THEN w.s_chars ELSE 0 END) AS BIGINT) AS formatted_chars
+      FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id AND w.span = h.span GROUP BY w.conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8, "op9_line_quality": OP9}
+    return {"op6_chat_windows": OP6, "op8_decontaminate": OP8, "op9_line_quality": OP9}
