@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, packing, quality, token_files
-from ledgerloom.llm.common import table
+from ledgerloom.llm import chat, decontaminate, langid, packing, quality, token_files
+from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,14 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows.unionByName(extra)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 5 == 0
+    model = langid.fit(langid.sample(documents.where(~held_out)))
+    found = langid.predict(documents, model, held_out.alias("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("score").cast("double").alias("score"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -45,4 +54,4 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_token_files, op6_chat_windows, op8_decontaminate, op9_line_quality)}
+    return {f.__name__: f for f in (op2_packing, op4_token_files, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality)}
