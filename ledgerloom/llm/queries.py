@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, langid, packing, quality, token_files
+from ledgerloom.llm import chat, decontaminate, jaccard, langid, packing, quality, token_files
 from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
@@ -53,5 +53,9 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_token_files, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality)}
+    return {f.__name__: f for f in (op2_packing, op4_token_files, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
