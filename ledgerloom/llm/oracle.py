@@ -103,7 +103,25 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS k
+      FROM (SELECT r, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 399)) AS i FROM d WHERE length(h) >= 800)),
+twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i FROM s JOIN twice USING (k)),
+edge AS (SELECT r, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS new FROM hit WINDOW w AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b
+         FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM edge) GROUP BY r, g),
+gaps AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, b FROM runs),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM runs GROUP BY r),
+front AS (SELECT gaps.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM gaps JOIN d USING (r) GROUP BY gaps.r)
+SELECT doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN d.h ELSE front.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN front USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_windows": OP6, "op8_decontaminate": OP8, "op9_line_quality": OP9,
+    return {"op5_suffix_dedup": OP5, "op6_chat_windows": OP6, "op8_decontaminate": OP8, "op9_line_quality": OP9,
             "op10_jaccard_join": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, langid, packing, quality, token_files
+from ledgerloom.llm import chat, decontaminate, jaccard, langid, packing, quality, suffix_dedup, token_files
 from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
@@ -26,6 +26,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
@@ -58,4 +62,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_token_files, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_packing, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
