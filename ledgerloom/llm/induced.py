@@ -30,7 +30,7 @@ import numpy as np
 MEMORY = 4_000_000
 CHUNK = 1 << 18
 #: Rows of a scan's result kept in memory before they are written.
-HELD = 2_000_000
+HELD = 400_000
 #: Alphabets above this size (reduced texts) get their common prefixes by comparing neighbours.
 SMALL_ALPHABET = 4096
 _NEVER = -1

@@ -7,10 +7,10 @@ Words are split at ASCII white space and lower-cased A-Z; a document's set is it
 1. Words are counted over all documents; the ``FREQUENT`` most frequent ones with their counts go to
    every task (a fixed size) and order shingles by the estimated frequency of their words: rare first.
 2. Documents with equal sets become one class (a 128-bit hash), so copies never meet as pairs.
-3. Of n shingles the first n - ceil(n * t) + 1 in that order are a class's prefix.  Classes that link
-   share a prefix shingle (prefix filter) and have sizes in the same or neighbouring bands of ratio
-   1/t (length filter), and the smaller one's first shared shingle lies in its shorter index prefix
-   (positional filter).  Prefix shingles that only one class has are dropped by a count.
+3. Of n shingles the first n - ceil(n * t) + 1 in that order are a class's prefix.  Prefix entries, which
+   a task has packed and freed of copies, meet by hash range.  Classes that link share a prefix shingle
+   (prefix filter), have sizes in the same or neighbouring bands of ratio 1/t (length filter), and the smaller
+   one has its first shared shingle in its shorter index prefix (positional filter).
 4. The classes of a prefix shingle and band are gathered under the smallest of them.  Distinct pairs of
    leader and member, usually one or two per class, say which texts are compared with each other: a
    group is dealt out to a task in blocks of bounded size, and pairs of blocks where it has several.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, signed, texts_of
+from ledgerloom.llm.common import map_batches, ragged_ranges, signed, texts_of
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialize
 
@@ -47,6 +47,8 @@ BLOCK_CLASSES = 2048
 BLOCK_SHINGLES = 2_000_000
 BUCKETS = 64
 MAX_WORDS = 700_000
+#: Prefix entries a task holds before it passes them on.
+FLUSH = 1_000_000
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15 ^ (0xD1B54A32D192ED03 * i & 0xFFFFFFFFFFFFFFFE)) for i in range(16)]
 
@@ -154,44 +156,147 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def signatures(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
-    """``doc_id``, size and hash of its set, and the prefix of the set, of every document."""
+def _short(digests: list[bytes]) -> np.ndarray:
+    """First 64 bits of class digests: enough to bring candidates together, never to tell classes apart."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
+
+
+def signatures(documents: DataFrame, k: int, frequent: tuple[bytes, bytes]) -> DataFrame:
+    """``doc_id``, size and class (hash of the set, and its first 64 bits) of every document."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(texts_of(batch.column("text")), k, _words(*frequent))
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-             pa.array([signed(s[:prefix_length(len(s), percent)]) for s in sets], pa.list_(pa.int64()))],
-            names=["doc_id", "n", "class", "prefix"])
+             pa.array(digests, pa.binary()), pa.array(signed(_short(digests)))],
+            names=["doc_id", "n", "class", "short"])
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(source, run, "doc_id bigint, n bigint, class binary, prefix array<bigint>", rows=500)
-
-
-def _members(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``leader`` and ``class`` that are compared with each other, with the class's size."""
-    ratio = 100.0 / percent * 1.001
-    postings = classes.select("class", "n", F.posexplode("prefix").alias("pos", "s"))
-    shared = postings.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    band = F.floor(F.log("n") / F.log(F.lit(ratio)))
-    # The smaller of two that link has its first shared shingle among n * (1 - t) / (1 + t).
-    first = F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
-    rows = postings.join(shared, "s").select(
-        "s", "class", "n", first.alias("indexed"), F.explode(F.array(band, band + 1)).alias("band"))
-    leaders = (rows.groupBy("s", "band").agg(F.min("class").alias("leader"), F.count("*").alias("c"),
-                                             F.max("indexed").alias("any"))
-               .where((F.col("c") > 1) & F.col("any")).select("s", "band", "leader"))
-    return rows.join(leaders, ["s", "band"]).select("leader", "class", "n").distinct()
-
-
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of each group with the block pairs they are compared in."""
+    return map_batches(source, run, "doc_id bigint, n bigint, class binary, short bigint", rows=500)
+
+
+_ENTRY = np.dtype([("s", "<u8"), ("c", "<u8"), ("n", "<i8")])
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Entries sorted by shingle as byte planes of differences, which the shuffle's codec shrinks."""
+    s = np.diff(rows["s"], prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T for x in (s, rows["c"], rows["n"])]
+    return b"".join(p.tobytes() for p in planes)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // 24
+    s, c, size = (np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T).view("<u8").ravel()
+                  for i in range(3))
+    out = np.empty(n, _ENTRY)
+    out["s"], out["c"], out["n"] = np.cumsum(s, dtype=np.uint64), c, size.view("<i8")
+    return out
+
+
+def _postings(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes], parts: int) -> DataFrame:
+    """Prefix entries (shingle, class, twice the size plus whether in the index prefix) in packed runs.
+
+    A task drops entries it has already and packs what goes to the same of ``parts`` hash ranges.
+    """
+    def flush(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        part = _mix(rows["s"]) % np.uint64(parts)
+        order = np.lexsort((rows["c"], rows["s"], part))
+        rows, part = rows[order], part[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
+        rows, part = rows[new], part[new]
+        bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[bounds[:-1]].astype(np.int32)),
+             pa.array([_pack(rows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
+            names=["part", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found, held = _words(*frequent), [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [s for s in shingles(texts_of(batch.column("text").slice(at, 500)), k, words) if len(s)]
+                lengths = [prefix_length(len(s), percent) for s in sets]
+                rows = np.empty(sum(lengths), _ENTRY)
+                if not len(rows):
+                    continue
+                rows["s"] = np.concatenate([s[:p] for s, p in zip(sets, lengths, strict=True)])
+                rows["c"] = np.repeat(_short([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), lengths)
+                size, place = np.repeat([len(s) for s in sets], lengths), ragged_ranges(np.zeros(len(sets), np.int64), np.array(lengths))
+                # The smaller of two that link has its first shared shingle among n * (1 - t) / (1 + t).
+                rows["n"] = 2 * size + (place * (100 + percent) <= size * (100 - percent))
+                found.append(rows)
+                held += len(rows)
+                if held > FLUSH:
+                    yield flush(found)
+                    found, held = [], 0
+        if found:
+            yield flush(found)
+
+    return documents.select("text").mapInArrow(run, "part int, entries binary")
+
+
+def gathered(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of leader and member (their first 64 bits) of all shingles and size bands with several classes."""
+    rows = rows[np.lexsort((rows["c"], rows["s"]))]
+    if not len(rows):
+        return np.zeros((0, 2), np.uint64)
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
+    rows = rows[new]
+    start = np.ones(len(rows), bool)
+    start[1:] = rows["s"][1:] != rows["s"][:-1]
+    group = np.cumsum(start) - 1
+    rows = rows[np.bincount(group)[group] > 1]
+    # Sizes that can link lie in the same or neighbouring bands; the ratio is a little wider against rounding.
+    band = np.floor(np.log(rows["n"] >> 1) / np.log(100 / percent * 1.001)).astype(np.int64)
+    rows, band = np.concatenate([rows, rows]), np.concatenate([band, band + 1])
+    order = np.lexsort((rows["c"], band, rows["s"]))
+    rows, band = rows[order], band[order]
+    if not len(rows):
+        return np.zeros((0, 2), np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], (rows["s"][1:] != rows["s"][:-1]) | (band[1:] != band[:-1]))))
+    size = np.diff(np.append(first, len(rows)))
+    good = np.repeat((size > 1) & (np.maximum.reduceat(rows["n"] & 1, first) > 0), size)
+    return np.unique(np.stack([np.repeat(rows["c"][first], size)[good], rows["c"][good]], axis=1), axis=0)
+
+
+def _members(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
+    """Distinct ``leader`` and ``short`` of classes that are compared with each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+        for batch in batches:
+            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if part != now:
+                    if found:
+                        yield pairs(found)
+                    now, found = part, []
+                found.append(_unpack(entries))
+        if found:
+            yield pairs(found)
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        out = gathered(np.concatenate(found), percent)
+        return pa.RecordBatch.from_arrays([pa.array(signed(out[:, 0])), pa.array(signed(out[:, 1]))],
+                                          names=["leader", "short"])
+
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = _postings(documents, k, percent, frequent, 4 * n)
+    return (packed.repartition("part").sortWithinPartitions("part")
+            .mapInArrow(run, "leader bigint, short bigint").distinct())
+
+
+def _dealt(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes of each group with the block pairs they are compared in."""
+    members = materialize(candidates.join(classes, "short").select("leader", "class", "n", "rep"), "members")
     sizes = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1").select(
         "leader", F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    return (members.join(sizes, "leader").select("leader", "class", "blocks", own.alias("own"))
-            .select("leader", "class", "own", other.alias("other"))
-            .select("leader", "class", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    return (members.join(sizes, "leader").select("leader", "class", "rep", "blocks", own.alias("own"))
+            .select("leader", "class", "rep", "own", other.alias("other"))
+            .select("leader", "class", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -225,7 +330,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
 
 def links(documents: DataFrame, classes: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
     """Links between classes that connect all that link: ``a`` and ``b``."""
-    dealt = _dealt(_members(classes, percent)).join(classes.select("class", F.col("doc_id").alias("rep")), "class")
+    dealt = _dealt(_members(documents, k, percent, frequent), classes)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = (dealt.join(source, F.col("rep").eqNullSafe(F.col("doc_id")))
             .select("leader", "low", "high", "class", "text")
@@ -271,14 +376,12 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest connected id) of every row."""
     frequent = word_counts(documents)
-    every = materialize(signatures(documents, k, percent, frequent), "signatures")
-    classes = materialize(
-        every.where("n > 0").groupBy("class").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    every = materialize(signatures(documents, k, frequent), "signatures")
+    classes = materialize(every.where("n > 0").groupBy("class", "short", "n").agg(F.min("doc_id").alias("rep")), "classes")
     found = components(materialize(links(documents, classes, k, percent, frequent), "links"), "a", "b")
-    rooted = (classes.select("class", "doc_id").join(found, F.col("class") == F.col("node"), "left")
-              .select("class", "doc_id", F.coalesce("root", "class").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = (classes.select("class", "rep").join(found, F.col("class") == F.col("node"), "left")
+              .select("class", "rep", F.coalesce("root", "class").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = rooted.join(least, "root").select("class", "component_id")
     return (every.join(by_class, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

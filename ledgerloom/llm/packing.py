@@ -35,7 +35,7 @@ from ledgerloom.llm.tokens import ByteTokens
 BIN = 1024
 MAX_SEGMENTS = 64
 MAX_LOSS = 1024
-POOL = 4096
+POOL = 2048
 END_ID = 0
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "

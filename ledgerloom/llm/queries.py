@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, langid, packing, quality, suffix_dedup, token_files
+from ledgerloom.llm import chat, decontaminate, jaccard, langid, lm, packing, quality, suffix_dedup, token_files
 from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
@@ -20,6 +20,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 10 == 0
+    found = lm.score_documents(documents, ~held_out, public_tokenizers.path("byte_bpe_50k.json"), held_out.alias("held_out"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -62,4 +69,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_packing, op3_lm_score, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}

@@ -1,22 +1,23 @@
 """Suffix-array dedup: every byte covered by a string of ``length`` bytes that starts elsewhere too.
 
-1. Anchors: the hashes of all strings of ``gram`` bytes (``gram`` < ``length``), of which those are chosen that
-   are smallest in some window of all grams of one ``length``-byte string (ties all).  Two equal strings of
-   ``length`` bytes choose equal anchors at equal places, so an anchor whose hash occurs once is in no
-   repeated string, and most of the text is left here.
-2. What can repeat around an anchor lies within the bytes that a string over it can reach, its context.
-   Equal contexts become one class, so copies are counted, not sorted: all of a context that occurs
-   twice is repeated.
-3. The contexts of anchors with several classes are dealt out by anchor into shards.  A task joins whole
-   anchor groups into texts of at most ``SHARD_BYTES`` (or one group, however large), sorts their suffixes by
-   external induced sorting (``induced``) in Spark's local folder of that task, and marks the
-   strings whose common prefix with a neighbour that starts elsewhere reaches ``length``.
+1. Anchors: of the hashes of all ``gram``-byte strings inside one ``length``-byte string the smallest one, the
+   leftmost of equals, is that string's anchor.  Equal strings have equal anchors at equal places, so a
+   string whose anchor occurs once is not repeated, and most of the text is left here.  All strings of an
+   anchor form its context: their starts are neighbours, and every start lies in exactly one context.
+2. Equal contexts become one class, so copies are counted, not sorted: all of a context that occurs twice
+   is repeated.
+3. The contexts of anchors with several classes are dealt out by anchor into shards.  A task takes whole
+   anchor groups of ``SHARD_BYTES`` together (or one group, however large).  Strings whose distance to the anchor
+   lies in the same range of ``CELL`` share all but ``CELL`` - 1 bytes; where that core is unique in the group the
+   cell can't match and goes, and equal cells become one.  The suffixes of the rest are sorted by external
+   induced sorting (``induced``), spilling to Spark's local folder of the task, and strings whose common
+   prefix with a neighbour that starts elsewhere reaches ``length`` are marked.
 4. Marked strings and repeated contexts become byte intervals per document, and the covered bytes go.
 
-All equal strings meet under each anchor they contain, so the result is exact; rows are told apart by a
-64-bit hash of id and text, classes by two 64-bit hashes.  Strings are bytes of UTF-8, judged on the input
-and never across documents.  Null texts are empty; shorter texts than ``length`` have no strings; repeated
-rows are repeats of each other.  Extra columns are ignored by ``remove`` and kept by ``rewrite``.
+All equal strings meet under their anchor, so the result is exact; rows are told apart by a 64-bit hash of
+id and text, classes by two 64-bit hashes.  Strings are bytes of UTF-8, judged on the input and never
+across documents.  Null texts are empty; shorter texts than ``length`` have no strings; repeated rows are
+repeats of each other.  Extra columns are ignored by ``remove`` and kept by ``rewrite``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_batches, ragged_ranges, signed, texts_of
@@ -37,21 +39,25 @@ from ledgerloom.llm.induced import suffix_order
 from ledgerloom.session import materialize
 
 LENGTH = 400
-GRAM = 128
-SEGMENT = 1 << 20
-SHARD_BYTES = 2_000_000
+GRAM = 48
+SEGMENT = 1 << 19
+SHARD_BYTES = 1_000_000
+CELL = 64
+#: Suffix tuples a task's queue holds before it writes, and longest reduced text sorted in memory.
+QUEUE_TUPLES = 400_000
+IN_MEMORY_NAMES = 2_000_000
+_PLACE = np.uint64((1 << 20) - 1)
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-ANCHORS = "key bigint, anchor bigint, context bigint, pos bigint, start bigint, size bigint"
-_INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+ANCHORS = "key bigint, anchor bigint, context bigint, start bigint, size int, lead int"
 
 
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    size = SEGMENT + 8 * LENGTH + 1
+    size = 2 * SEGMENT
     up, down = np.full(size, _FACTOR, np.uint64), np.full(size, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -63,74 +69,128 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _slide(x: np.ndarray, width: int, best: np.ufunc, filler: int) -> np.ndarray:
-    """Best value of every full window, from running bests to both sides of block borders."""
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value of every full window, from running minima to both sides of block borders."""
     n = len(x)
     rows = -(-n // width)
-    padded = np.full(rows * width, filler, x.dtype)
+    padded = np.full(rows * width, 2**64 - 1, np.uint64)
     padded[:n] = x
     grid = padded.reshape(rows, width)
-    ahead = best.accumulate(grid, axis=1).ravel()
-    back = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(back[:n - width + 1], ahead[width - 1:n])
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
 def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Hash, context hash, place, context start and size of every anchor of a text."""
+    """Hash of every anchor of a text, and hash, start, size and anchor's offset of its context."""
     n, width = len(text), length - gram + 1
     if n < length:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     up, down = _powers()
-    grams, out, reach = n - gram + 1, [], length - gram
-    for begin in range(0, grams, SEGMENT):
-        end = min(grams, begin + SEGMENT)
-        low, high = max(0, begin - width + 1 - reach), min(n, end + width - 1 + length)
+    out = []
+    for low in range(0, n - length + 1, SEGMENT):
+        high = min(n, low + SEGMENT + length - 1)
         own = np.frombuffer(text, np.uint8, high - low, low)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[own] * up[:high - low], dtype=np.uint64)))
-        first, last = max(0, begin - width + 1), min(grams, end + width - 1)
-        at = np.arange(first - low, last - low)
-        h = _mix((total[at + gram] - total[at]) * down[at])
-        least = _slide(h, width, np.minimum, 2**64 - 1)
-        edge = np.zeros(width - 1, np.uint64)
-        chosen = _slide(np.concatenate((edge, least, edge)), width, np.maximum, 0) == h
-        chosen = np.flatnonzero(chosen[begin - first:end - first]) + begin
-        start, stop = np.maximum(chosen - reach, 0), np.minimum(chosen + length, n)
-        context = (total[stop - low] - total[start - low]) * down[start - low]
-        context = _mix(context + _mix(((stop - start) * 65536 + chosen - start).astype(np.uint64)))
-        out.append((h[chosen - first], context, chosen, start, stop - start))
+        at = np.arange(high - low - gram + 1)
+        h = _mix((total[gram:] - total[:-gram]) * down[at])
+        # Ranked by 44 bits of the hash, then by place: the order depends on the string alone.
+        best = (_sliding_min((h & ~_PLACE) | at.astype(np.uint64), width) & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
+        stop = np.append(first[1:], len(best)) + length - 1
+        where, lead = best[first], best[first] - first
+        context = _mix((total[stop] - total[first]) * down[first] + _mix(((stop - first) * 65536 + lead).astype(np.uint64)))
+        out.append((h[where], context, first + low, stop - first, lead))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _keyed(documents: DataFrame, *more: Column | str) -> DataFrame:
+def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text"), *more)
+    return documents.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                            text.alias("text"))
 
 
 def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [anchors(t, length, gram) for t in texts_of(batch.column("text"))]
         keys = np.repeat(batch.column("key").to_numpy(), [len(f[0]) for f in found])
-        h, context, pos, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+        h, context, start, size, lead = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (keys, signed(h), signed(context), pos, start, size)],
+            [pa.array(keys), pa.array(signed(h)), pa.array(signed(context)), pa.array(start),
+             pa.array(size.astype(np.int32)), pa.array(lead.astype(np.int32))],
             names=[c.split()[0] for c in ANCHORS.split(", ")])
-    return map_batches(_keyed(documents), run, ANCHORS, rows=200)
+    return map_batches(_keyed(documents).select("key", "text"), run, ANCHORS, rows=200)
 
 
-def _contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts."""
+def _contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted contexts.  ``doc_id`` goes along so that the texts' shuffle is the one that
+    ``_with_intervals`` needs too, and Spark runs it once."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for key, text, own in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")),
                                   batch.column("own").to_pylist(), strict=True):
-            rows.extend((key, o["anchor"], o["start"], text[o["start"]:o["start"] + o["size"]]) for o in own)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            rows.extend((key, o["anchor"], o["start"], o["lead"], text[o["start"]:o["start"] + o["size"]]) for o in own)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-            names=["key", "anchor", "start", "context"])
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("own"))
-    once = _keyed(documents).join(per_text, "key")
-    return map_batches(once, run, "key bigint, anchor bigint, start bigint, context binary", rows=50).distinct()
+            names=["key", "anchor", "start", "lead", "context"])
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "size", "lead")).alias("own"))
+    once = keyed.join(per_text, "key")
+    return map_batches(once, run, "key bigint, anchor bigint, start bigint, lead int, context binary", rows=50)
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal rows together, and the number of each row's group in that order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        sorted_ = c[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
+    return order, np.cumsum(new)
+
+
+def repeated_in_group(anchor: np.ndarray, keys: np.ndarray, starts: np.ndarray, leads: np.ndarray, contexts: list[bytes],
+                      length: int, folder: str, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """Key's row number and start (in its text) of every repeated string of some anchor groups."""
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(contexts), np.uint8)
+    up, down = _powers()
+    local = ragged_ranges(np.zeros(len(sizes), np.int64), sizes)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * up[local], dtype=np.uint64)))
+    # Cells: starts whose distance to the anchor lies in [cell * q, cell * q + cell).
+    near = np.maximum(leads - (sizes - length), 0) // cell
+    count = leads // cell - near + 1
+    own = np.repeat(np.arange(len(sizes)), count)
+    q = ragged_ranges(near, count)
+    begin = np.maximum(leads[own] - (q * cell + cell - 1), 0)
+    last = np.minimum(leads[own] - q * cell, (sizes - length)[own])
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((total[first[own] + b] - total[first[own] + a]) * down[a])
+
+    core = leads[own] - q * cell
+    shared = hashed(core, core - cell + 1 + length)
+    order, group = _groups(anchor[own], q, shared)
+    kept = order[np.bincount(group)[group] > 1] if len(order) else order
+    own, q, begin, last = own[kept], q[kept], begin[kept], last[kept]
+    if not len(own):
+        return own, own
+    whole = hashed(begin, last + length)
+    order, group = _groups(anchor[own], q, leads[own] - begin, leads[own] - last, whole)
+    own, begin, last = own[order], begin[order], last[order]
+    place = starts[own] + begin
+    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    # Equal cells of different places are repeated whole; one of them is sorted with the rest.
+    several = np.zeros(len(head), bool)
+    for values in (keys[own], place):
+        several |= np.minimum.reduceat(values, head) != np.maximum.reduceat(values, head)
+    equal = np.flatnonzero(several[group])
+    rows = [np.repeat(own[equal], (last - begin + 1)[equal])]
+    found = [ragged_ranges(place[equal], (last - begin + 1)[equal])]
+    cells = [contexts[o][a:b + length] for o, a, b in zip(own[head], begin[head], last[head], strict=True)]
+    number, offset = repeated_starts(keys[own[head]], place[head], cells, length, folder)
+    return (np.concatenate([*rows, own[head][number]]), np.concatenate([*found, place[head][number] + offset]))
 
 
 def repeated_starts(keys: np.ndarray, starts: np.ndarray, contexts: list[bytes], length: int,
@@ -158,7 +218,7 @@ def repeated_starts(keys: np.ndarray, starts: np.ndarray, contexts: list[bytes],
         several = np.repeat(least != most, np.diff(np.append(bounds, len(positions))))
         found.append(positions[several & good])
 
-    for positions, common in suffix_order(text, folder, length):
+    for positions, common in suffix_order(text, folder, length, QUEUE_TUPLES, IN_MEMORY_NAMES):
         new = common < length
         positions = np.concatenate((run, positions))
         new = np.concatenate((np.arange(len(run)) == 0, new)) if len(run) else new
@@ -177,35 +237,36 @@ def local_folder() -> str:
 
 
 def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
-    """Per document the intervals that suffix sorting finds, one row per context."""
-    def shard(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        keys, starts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    """``key``, ``start`` and ``size`` of the intervals that suffix sorting finds."""
+    def shard(rows: list[tuple]) -> pa.RecordBatch | None:
+        unique = list({r[:3]: r for r in rows}.values())  # equal rows of documents share their key
+        anchor, keys, starts, leads = (np.array(c, np.int64) for c in list(zip(*unique, strict=True))[:4])
         with tempfile.TemporaryDirectory(dir=local_folder()) as folder:
-            own, offset = repeated_starts(keys, starts, [r[2] for r in rows], length, folder)
+            own, begin = repeated_in_group(anchor, keys, starts, leads, [r[4] for r in unique], length, folder)
         if not len(own):
             return None
-        begin = starts[own] + offset
-        new = np.concatenate(([True], (own[1:] != own[:-1]) | (begin[1:] > begin[:-1] + length)))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(own)) - 1
+        key = keys[own]
+        order = np.lexsort((begin, key))
+        key, begin = key[order], begin[order]
+        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (begin[1:] > begin[:-1] + length))))
+        end = np.append(head[1:], len(key)) - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys[own[first]]), pa.array(begin[first]), pa.array(begin[last] + length - begin[first])],
+            [pa.array(key[head]), pa.array(begin[head]), pa.array(begin[end] + length - begin[head])],
             names=["key", "start", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes]] = []
+        rows: list[tuple] = []
         size, now = 0, None
         for batch in batches:
-            for anchor, key, start, context in zip(*(batch.column(c).to_pylist() for c in
-                                                     ("anchor", "key", "start", "context")), strict=True):
-                if anchor != now:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "lead", "context")), strict=True):
+                if row[0] != now:
                     if size >= SHARD_BYTES:
                         if (out := shard(rows)) is not None:
                             yield out
                         rows, size = [], 0
-                    now = anchor
-                rows.append((key, start, context))
-                size += len(context)
+                    now = row[0]
+                rows.append(row)
+                size += len(row[4])
         if rows and (out := shard(rows)) is not None:
             yield out
 
@@ -213,19 +274,19 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, start bigint, size bigint")
 
 
-def intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _intervals(documents: DataFrame, keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """``key`` of a document and ``start``, ``size`` of byte intervals to remove; they may overlap."""
     rows = _anchor_rows(documents, length, gram)
     several = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     rows = materialize(rows.join(several, "anchor"), "anchors")
     classes = materialize(
         rows.groupBy("anchor", "context").agg(
-            F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("origin")), "contexts")
+            F.count("*").alias("n"), F.min(F.struct("key", "start", "size", "lead")).alias("origin")), "contexts")
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
     wanted = classes.join(mixed, "anchor").select("anchor", "origin.*")
-    sorted_ = _sorted_shards(_contexts(documents, wanted), length)
     copies = rows.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"])
-    return sorted_.unionByName(copies.select("key", "start", "size"))
+    return _sorted_shards(_contexts(keyed, wanted), length).unionByName(
+        copies.select("key", "start", F.col("size").cast("bigint").alias("size")))
 
 
 def _cut(text: bytes, own: list[dict[str, int]] | None) -> np.ndarray:
@@ -238,10 +299,11 @@ def _cut(text: bytes, own: list[dict[str, int]] | None) -> np.ndarray:
 
 
 def _with_intervals(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    found = intervals(documents, length, gram).distinct().groupBy(F.col("key").alias("_s_key")).agg(
-        F.collect_list(F.struct("start", "size")).alias("_s_own"))
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-    return documents.withColumn("_s_at", key).join(found, F.col("_s_at") == F.col("_s_key"), "left").drop("_s_at", "_s_key")
+    """``key``, ``doc_id``, ``text`` (null as empty) of every row and ``own``, its intervals or null."""
+    keyed = _keyed(documents)
+    found = _intervals(documents, keyed, length, gram).groupBy("key").agg(
+        F.collect_set(F.struct("start", "size")).alias("own"))
+    return keyed.join(found, "key", "left")
 
 
 def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -249,7 +311,7 @@ def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")),
-                                  batch.column("_s_own").to_pylist(), strict=True):
+                                  batch.column("own").to_pylist(), strict=True):
             if own:
                 cut = _cut(text, own)
                 rest = np.frombuffer(text, np.uint8)[~cut].tobytes()
@@ -261,8 +323,7 @@ def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(_with_intervals(source, length, gram), run,
+    return map_batches(_with_intervals(documents, length, gram), run,
                        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", rows=200)
 
 
@@ -271,17 +332,16 @@ def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     columns = documents.columns
 
     @F.pandas_udf("string")
-    def rest(text, own):  # noqa: ANN001, ANN202
+    def rest(text: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for t, o in zip(text, own, strict=True):
-            if t is None or o is None or not len(o):
-                out.append(t)
-            else:
-                raw = t.encode()
-                cut = _cut(raw, o)
-                out.append(np.frombuffer(raw, np.uint8)[~cut].tobytes().decode("utf-8", "ignore"))
-        return type(text)(out, dtype=object)
+            raw = t.encode()
+            out.append(np.frombuffer(raw, np.uint8)[~_cut(raw, o)].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
 
-    cut = _with_intervals(documents, length, gram)
+    found = _intervals(documents, _keyed(documents), length, gram).groupBy(F.col("key").alias("_s_key")).agg(
+        F.collect_set(F.struct("start", "size")).alias("_s_own"))
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    cut = documents.withColumn("_s_at", key).join(found, F.col("_s_at") == F.col("_s_key"), "left")
     return cut.withColumn("text", F.when(F.col("_s_own").isNull(), F.col("text")).otherwise(
         rest("text", "_s_own"))).select(*columns)

@@ -1,90 +1,92 @@
 """Token ids by the public tokenizers, each distinct piece of text encoded once per worker.
 
-Both tokenizers cut a text at white space before they merge, so ids of a text are the ids of its
-pieces side by side.  Pieces are looked up in a dictionary of bytes; what is missing is encoded in one
-call.  The dictionary is emptied when it holds ``MAX_PIECES`` pieces, so memory is bounded.  Special
-tokens' strings inside a text are ordinary text.
+Both tokenizers cut a text into words, runs of other signs and white space before they merge, so ids
+of a text are the ids of its pieces side by side wherever the pieces end at such cuts.  Texts are cut
+before a space, around a line feed, and before a comma or full stop that follows a letter or digit;
+texts where these places are no cuts of the tokenizer (two white-space characters in a row, signs
+before a comma) are encoded as they are.  Pieces are looked up in a dictionary of bytes; what is missing is
+encoded in one call.  The dictionary is emptied when it holds ``MAX_PIECES`` pieces, so memory is bounded.
+Special tokens' strings inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
-MAX_PIECES = 600_000
+#: About 200 bytes each.
+MAX_PIECES = 1_200_000
 #: Pieces longer than this are encoded but not kept.
 MAX_KEPT = 64
 
-_RUN = re.compile(r"\s\s")
-_CLOSING = b".,!?;:"
+_MARK = 0
+#: White space as a space, letters, digits and all bytes above 0x7F as a letter, other signs as one sign.
+_KIND = bytes(
+    0x20 if b in (0x20, *range(0x09, 0x0E)) else
+    b if b in (0x2C, 0x2E, _MARK) else
+    0x61 if chr(b).isalnum() or b >= 0x80 else 0x21
+    for b in range(256))
+_SIGN_BEFORE_STOP = (b"!,", b"!.", b",,", b",.", b".,", b"..")
 
 
-class _Pieces(dict):
-    """Piece to ids (little-endian uint32 as bytes)."""
+class _Pieces:
+    """Pieces and their ids (little-endian uint32 as bytes)."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = {}
 
-    def encode_text(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def split(self, text: bytes) -> list[bytes] | None:
         """Pieces of a text, None where it can't be cut safely."""
         raise NotImplementedError
 
-    def stem(self, piece: bytes) -> tuple[bytes, bytes] | None:
-        """A piece as two whose ids side by side are its own; None if there is no such cut."""
-        if len(piece) > 2 and piece[-1:] in _CLOSING and chr(piece[-2]).isascii() and chr(piece[-2]).isalnum():
-            return piece[:-1], piece[-1:]
-        return None
-
-    def _learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        stems = {p: s for p in pieces if (s := self.stem(p))}
-        plain = pieces - stems.keys()
-        for front, back in stems.values():
-            plain.update(x for x in (front, back) if x not in self)
-        order = list(plain)
-        own = dict(zip(order, self.encode_text([p.decode() for p in order]), strict=True))
-        ids = lambda p: own[p] if p in own else self[p]
-        own.update({p: ids(a) + ids(b) for p, (a, b) in stems.items()})
-        return own
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text."""
-        if len(self) > MAX_PIECES:
-            self.clear()
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
         cut = [self.split(t) for t in texts]
-        missing: set[bytes] = set()
-        for pieces in cut:
-            if pieces is not None:
-                missing.update(pieces)
-        missing.difference_update(self.keys())
-        learned = self._learn(missing) if missing else {}
-        kept = {p: i for p, i in learned.items() if len(p) <= MAX_KEPT}
-        self.update(kept)
-        look = self.__getitem__ if len(kept) == len(learned) else {**self, **learned}.__getitem__
-        whole = [i for i, p in enumerate(cut) if p is None]
-        direct = dict(zip(whole, self.encode_text([texts[i].decode() for i in whole]), strict=True))
-        return [direct[i] if p is None else b"".join(map(look, p)) for i, p in enumerate(cut)]
+        pieces: set[bytes] = set()
+        for own in cut:
+            if own is not None:
+                pieces.update(own)
+        missing = list(pieces.difference(self.known))
+        learned = dict(zip(missing, self._ids(missing), strict=True))
+        self.known.update(learned)
+        look = self.known.__getitem__
+        whole = [i for i, own in enumerate(cut) if own is None]
+        direct = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        out = [direct[i] if own is None else b"".join(map(look, own)) for i, own in enumerate(cut)]
+        for piece in missing:
+            if len(piece) > MAX_KEPT:
+                del self.known[piece]
+        return out
+
+
+def _plain(text: bytes) -> bool:
+    """Only letters beyond ASCII, which the cuts take them for, lower-cased too."""
+    return text.isascii() or all(c.isalpha() and c.lower().isalpha() for c in set(text.decode()) if c > "\x7f")
 
 
 class ByteTokens(_Pieces):
-    """Byte-level BPE: a space belongs to the word after it, a lone line feed stands alone.
-
-    Texts with two white-space characters in a row, or with the mark that is used to cut, are
-    encoded as they are.
-    """
+    """Byte-level BPE: a space belongs to the word after it, a lone line feed stands alone."""
 
     def split(self, text: bytes) -> list[bytes] | None:
-        if b"\0" in text or _RUN.search(text.decode()):
+        kinds = text.translate(_KIND)
+        if b"\0" in kinds or b"  " in kinds or not _plain(text):
             return None
-        pieces = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
-        return [p for p in pieces if p]
+        cut = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0")
+        if not any(pair in kinds for pair in (*_SIGN_BEFORE_STOP, b" ,", b" .")):
+            cut = cut.replace(b",", b"\0,").replace(b".", b"\0.")
+        return [p for p in cut.split(b"\0") if p]
 
     @staticmethod
     @lru_cache(maxsize=1)
@@ -93,9 +95,14 @@ class ByteTokens(_Pieces):
 
 
 class WordTokens(_Pieces):
-    """BPE with word ends: white space only separates, so every word stands alone."""
+    """Lower-casing BPE with word ends: white space only separates, so every word stands alone."""
 
     def split(self, text: bytes) -> list[bytes] | None:
+        text = text.lower()
+        kinds = text.translate(_KIND)
+        if _plain(text) and not any(
+                pair in kinds for pair in (*_SIGN_BEFORE_STOP, b"\0,", b"\0.")):
+            text = text.replace(b",", b" ,").replace(b".", b" .")
         return text.split()
 
     @staticmethod
