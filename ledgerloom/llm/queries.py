@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, langid, lm, packing, quality, suffix_dedup, token_files
+from ledgerloom.llm import chat, decontaminate, jaccard, langid, lm, packing, quality, suffix_dedup, token_files, toxicity
 from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 3 == 1
+    network = toxicity.fit(toxicity.sample(documents, table(spark, sf_dir, "labels"), ~held_out))
+    found = toxicity.score(documents, network, held_out.alias("held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,4 +77,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_lm_score, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_lm_score, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}

@@ -48,16 +48,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Ite
 def id_counts(documents: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
     """Occurrences of every id in all documents; counted inside each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1, np.int64)
-        for _, ids in _encoded(batches, tokenizer, end):
-            own = np.bincount(np.frombuffer(ids, "<u4"))
-            if len(own) > len(counts):
-                counts = np.pad(counts, (0, len(own) - len(counts)))
-            counts[:len(own)] += own
+        rows = 0
+
+        def texts() -> Iterator[list[bytes]]:
+            nonlocal rows
+            for batch in batches:
+                rows += batch.num_rows
+                for at in range(0, batch.num_rows, 256):
+                    yield texts_of(batch.column("text").slice(at, 256))
+        counts = WordTokens.shared(tokenizer).id_counts(texts())
+        counts = np.pad(counts, (0, max(0, end + 1 - len(counts))))
+        counts[end] += rows
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])],
                                          names=["id", "n"])
-    return (documents.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint")
+    return (documents.select("text").mapInArrow(run, "id bigint, n bigint")
             .groupBy("id").agg(F.sum("n").alias("n")))
 
 

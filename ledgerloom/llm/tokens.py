@@ -4,8 +4,8 @@ Both tokenizers cut a text into words, runs of other signs and white space befor
 of a text are the ids of its pieces side by side wherever the pieces end at such cuts.  Texts are cut
 before a space, around a line feed, and before a comma or full stop that follows a letter or digit;
 texts where these places are no cuts of the tokenizer (two white-space characters in a row, signs
-before a comma) are encoded as they are.  Pieces are looked up in a dictionary of bytes; what is missing is
-encoded in one call.  The dictionary is emptied when it holds ``MAX_PIECES`` pieces, so memory is bounded.
+before a comma) are encoded as they are.  Pieces are numbered by a dictionary; new ones are encoded in one call.
+It is emptied when it holds ``MAX_PIECES`` pieces, so memory is bounded.
 Special tokens' strings inside a text are ordinary text.
 """
 
@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
+from ledgerloom.llm.common import ragged_ranges
+
 #: About 200 bytes each.
 MAX_PIECES = 1_200_000
-#: Pieces longer than this are encoded but not kept.
-MAX_KEPT = 64
 
 _MARK = 0
 #: White space as a space, letters, digits and all bytes above 0x7F as a letter, other signs as one sign.
@@ -32,44 +34,112 @@ _KIND = bytes(
 _SIGN_BEFORE_STOP = (b"!,", b"!.", b",,", b",.", b".,", b"..")
 
 
+class _Index(dict):
+    """Piece to its number; a new piece gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = at = len(self)
+        self.new.append(piece)
+        return at
+
+
 class _Pieces:
-    """Pieces and their ids (little-endian uint32 as bytes)."""
+    """Numbers of pieces, and their ids side by side in one array."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self._reset()
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _reset(self) -> None:
+        self.index, self.used = _Index(), 0
+        self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def split(self, text: bytes) -> list[bytes] | None:
         """Pieces of a text, None where it can't be cut safely."""
         raise NotImplementedError
 
+    def _encoded(self, texts: list[bytes]) -> list[array]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids) for e in found]
+
+    def _learn(self) -> None:
+        found = self._encoded(self.index.new)
+        first, count = len(self.index) - len(found), len(self.index)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        while count > len(self.start):
+            self.start, self.size = np.pad(self.start, (0, len(self.start))), np.pad(self.size, (0, len(self.size)))
+        total = self.used + int(sizes.sum())
+        if total > len(self.ids):
+            self.ids = np.pad(self.ids, (0, max(len(self.ids), total - len(self.ids))))
+        self.ids[self.used:total] = np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32)
+        self.start[first:count] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:count] = sizes
+        self.used, self.index.new = total, []
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of every piece; numbers hold until the next call."""
+        if len(self.index) > MAX_PIECES:
+            self._reset()
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if self.index.new:
+            self._learn()
+        return at
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces side by side, and the number of ids of each."""
+        sizes = self.size[numbers].astype(np.int64)
+        return self.ids[ragged_ranges(self.start[numbers], sizes)], sizes
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of every text."""
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
+        """Ids of every text as little-endian uint32."""
         cut = [self.split(t) for t in texts]
-        pieces: set[bytes] = set()
-        for own in cut:
-            if own is not None:
-                pieces.update(own)
-        missing = list(pieces.difference(self.known))
-        learned = dict(zip(missing, self._ids(missing), strict=True))
-        self.known.update(learned)
-        look = self.known.__getitem__
+        ids, sizes = self.ids_of(self.numbers([p for own in cut if own is not None for p in own]))
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.cumsum([0 if own is None else len(own) for own in cut])
+        bounds = total[np.concatenate(([0], ends))].tolist()
+        raw = ids.astype("<u4").tobytes()
+        out = [raw[4 * a:4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         whole = [i for i, own in enumerate(cut) if own is None]
-        direct = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
-        out = [direct[i] if own is None else b"".join(map(look, own)) for i, own in enumerate(cut)]
-        for piece in missing:
-            if len(piece) > MAX_KEPT:
-                del self.known[piece]
+        for i, found in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
+            out[i] = found.tobytes()
         return out
 
+    def id_counts(self, batches: Iterable[list[bytes]]) -> np.ndarray:
+        """Occurrences of every id in the texts of all batches, counted by piece first."""
+        total, by_piece = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+        def add(ids: np.ndarray, times: np.ndarray | None = None) -> None:
+            nonlocal total
+            if len(ids):
+                own = np.bincount(ids, times).astype(np.int64)
+                total = np.pad(total, (0, max(0, len(own) - len(total))))
+                total[:len(own)] += own
+
+        def settle() -> None:
+            used = np.flatnonzero(by_piece)
+            ids, sizes = self.ids_of(used)
+            add(ids, np.repeat(by_piece[used], sizes))
+
+        for texts in batches:
+            cut = [self.split(t) for t in texts]
+            if len(self.index) > MAX_PIECES:
+                settle()
+                by_piece = by_piece[:0]
+            own = np.bincount(self.numbers([p for c in cut if c is not None for p in c]))
+            if len(own) > len(by_piece):
+                by_piece = np.pad(by_piece, (0, max(len(by_piece), len(own) - len(by_piece))))
+            by_piece[:len(own)] += own
+            for found in self._encoded([t for t, c in zip(texts, cut, strict=True) if c is None]):
+                add(np.frombuffer(found, np.uint32))
+        settle()
+        return total
+
 
 def _plain(text: bytes) -> bool:
     """Only letters beyond ASCII, which the cuts take them for, lower-cased too."""
