@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -289,10 +289,10 @@ def _intervals(documents: DataFrame, keyed: DataFrame, length: int, gram: int) -
         copies.select("key", "start", F.col("size").cast("bigint").alias("size")))
 
 
-def _cut(text: bytes, own: list[dict[str, int]] | None) -> np.ndarray:
+def _cut(text: bytes, own: Iterable[dict[str, int]] | None) -> np.ndarray:
     """True for the bytes to remove."""
     change = np.zeros(len(text) + 1, np.int32)
-    for o in own or ():
+    for o in () if own is None else own:
         change[o["start"]] += 1
         change[o["start"] + o["size"]] -= 1
     return np.cumsum(change[:-1]) > 0

@@ -10,8 +10,9 @@ Training is multiple-instance learning by Adam on a bounded sample of labelled d
 ``POSITIVE`` toxic and ``NEGATIVE`` other ones of at most ``LONGEST`` bytes, distinct texts by smallest hash.
 At first a toxic document teaches by the windows with the word or word part that speaks most for toxicity by
 its document frequencies in the sample, later by the windows that the network itself finds worst; half of
-the other windows are those it finds most toxic so far.  A word's own vector is left out half of the time,
-so spelling has to suffice for unseen words.
+the other windows are those it finds most toxic so far.  Half of the toxic windows are replaced by their
+worst words put into another window, so that the rest of a document isn't learned by heart, and a word's own
+vector is left out half of the time, so that spelling has to suffice for unseen words.
 
 Scoring keeps the second layer's input of each distinct word, at most ``MAX_WORDS`` of them, and runs
 batches of windows of several documents at once.  Null texts and texts without words score 0, as all do
@@ -43,6 +44,7 @@ BUCKETS = 4096
 STEPS = 700
 BATCH = 64
 RATE = 5e-3
+THRESHOLD = 0.7
 MAX_WORDS = 250_000
 WINDOWS_AT_ONCE = 1024
 
@@ -232,6 +234,13 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, seed: int = 4) -> Net
             bad, hard = taught(Reader(network).logits([w for w, _ in texts])[0], 2.0)
         chosen = np.concatenate([rng.choice(bad, BATCH // 2), rng.choice(good, BATCH // 4), rng.choice(hard, BATCH // 4)])
         sequences = [texts[windows[c][0]][0][windows[c][1]:windows[c][1] + WINDOW] for c in chosen]
+        for i in range(0, BATCH // 2, 2):
+            # Half of the toxic windows keep only their worst words, among those of another window.
+            worst = sorted(sequences[i], key=says.__getitem__)[-int(rng.integers(1, 3)):]
+            among = [*sequences[BATCH // 2 + int(rng.integers(BATCH // 2))][:WINDOW - len(worst)]]
+            for w in worst:
+                among.insert(int(rng.integers(len(among) + 1)), w)
+            sequences[i] = among
         distinct = list(dict.fromkeys(w for s in sequences for w in s))
         index = dict(zip(distinct, range(len(distinct)), strict=True))
         size = np.array([len(s) for s in sequences])
@@ -248,6 +257,11 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, seed: int = 4) -> Net
                 square[name][key] += 0.01 * (g * g - square[name][key])
                 a, b = mean[name][key] / (1 - 0.9 ** (step + 1)), square[name][key] / (1 - 0.99 ** (step + 1))
                 group[key] -= (rate * (a / (np.sqrt(b) + 1e-8) + (0.02 * group[key] if key == "own" else 0))).astype(np.float32)
+    # The decision lies half way between the sample's clean documents and its toxic ones.
+    best = np.maximum.reduceat(Reader(network).logits([w for w, _ in texts])[0], first)
+    own = labels[first]
+    middle = (np.quantile(best[own == 0], 0.995) + np.quantile(best[own == 1], 0.05)) / 2
+    network.rest["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
     return network
 
 
