@@ -117,8 +117,19 @@ def word_counts(documents: DataFrame, most: int = FREQUENT) -> tuple[bytes, byte
         return pa.RecordBatch.from_arrays(
             [pa.array(signed(hashes)), pa.array(list(counts.values()), pa.int64())], names=["h", "n"])
 
-    rows = (documents.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-            .where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect())
+    counted = materialize(documents.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h")
+                          .agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
+    # The words from a count upwards, the lowest for which they are few enough: a sort would bring as many
+    # words from every task to the driver.
+    step = F.floor(16 * F.log2("n")).cast("int")
+    sizes = counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 16 a doubling
+    lowest, held = 2**31 - 1, 0
+    for row in sizes:
+        held += row["count"]
+        if held > most:
+            break
+        lowest = row["step"]
+    rows = counted.where(step >= lowest).collect()
     hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     return hashes.tobytes(), np.log2(1 + np.array([r["n"] for r in rows], np.float64)).astype(np.float32).tobytes()
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, texts_of
+from ledgerloom.llm.common import map_batches, smallest, texts_of
 from ledgerloom.llm.decontaminate import FOLD
 from ledgerloom.llm.recurrent import Arrays, Layer, sigmoid
 
@@ -275,7 +275,7 @@ def sample(documents: DataFrame, labels: DataFrame, learn: Column, positive: int
     keys = rows.groupBy("h").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     chosen = []
     for label, most in ((1, positive), (0, negative)):
-        own = [r["h"] for r in keys.where(F.col("toxic") == label).orderBy("h").limit(most).collect()]
+        own = smallest(keys.where(F.col("toxic") == label).select("h"), most)
         spark = documents.sparkSession
         asked = F.broadcast(spark.createDataFrame([(h,) for h in own], "h bigint"))
         found = rows.join(asked, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
