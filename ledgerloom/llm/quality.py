@@ -173,5 +173,7 @@ def verdicts(documents: DataFrame, host: str = "source", **limits: float) -> Dat
 def keep(documents: DataFrame, host: str = "source", **limits: float) -> DataFrame:
     """The documents that are kept, with their own columns."""
     gone = materialize(depleted(documents, host, **limits), "depleted")
-    fine = measures(documents).where(~F.col("base_failed")).select(*documents.columns, *_content(host))
+    # Through a generator, as a filter on computed columns would be pushed down and computed again and again.
+    fine = (measures(documents).select(*documents.columns, *_content(host),
+                                       F.explode(F.array(~F.col("base_failed"))).alias("_q_fine")).where("_q_fine"))
     return fine.join(gone, ["_q_host", "_q_a", "_q_b"], "left_anti").select(*documents.columns)
