@@ -128,22 +128,3 @@ def with_dimensions(df: DataFrame) -> DataFrame:
 def classify(ledger: DataFrame) -> DataFrame:
     """Ledger rows with category, functional class and category type.  No shuffle."""
     return with_dimensions(with_category(ledger))
-
-
-def classify_repeating(ledger: DataFrame, max_pairs: int = 200_000) -> DataFrame:
-    """Same rows as :func:`classify`, for ledgers whose descriptions repeat a lot.
-
-    Distinct (description, direction) pairs are classified once and joined back.  The pair
-    table is counted first and broadcast only up to ``max_pairs``; beyond that there is
-    nothing to gain from it and every row is classified in place.
-    """
-    keyed = ledger.withColumn("inflow", is_inflow(F.col("amount")))
-    pairs = keyed.select("description", "inflow").distinct()
-    if pairs.limit(max_pairs + 1).count() > max_pairs:
-        return classify(ledger)
-    classified = with_category(pairs).select(
-        F.col("description").alias("_description"), F.col("inflow").alias("_inflow"), "category")
-    on = (F.col("description").eqNullSafe(F.col("_description"))
-          & (F.col("inflow") == F.col("_inflow")))
-    joined = keyed.join(F.broadcast(classified), on, "left")
-    return with_dimensions(joined.drop("inflow", "_inflow", "_description"))

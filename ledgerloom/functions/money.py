@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import WHITESPACE
 
-LEDGER_MONEY = "decimal(18,4)"
+LEDGER_MONEY = "decimal(28,4)"
 REPORT_MONEY = "decimal(28,2)"
 
 
 def parse_amount(text: Column) -> Column:
-    """Money text to DECIMAL(18,4); anything unreadable, and null, is 0.
+    """Money text to DECIMAL(28,4), 24 digits before the point; anything unreadable, and null, is 0.
 
     ``(`` is read as a minus sign, so ``(5.00)`` is -5 and ``-(5)`` is unreadable.
     """

@@ -13,10 +13,11 @@ def override_categories(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
 
     Functional class and type follow the new category; other columns never change.  The
     join keys are unique row ids, so they spread evenly however the edits are distributed.
-    Rows with an edit must be uniquely named by ``source_file, row_id`` in both frames.
+    Ledger rows must be uniquely named by ``source_file, row_id``.  Of several edits of a row the one
+    with the latest ``edited_at`` counts, without that column the last category in sort order.
     """
-    edits = overrides.select(
-        "source_file", "row_id", F.col("category").alias("_category"))
+    order = "edited_at" if "edited_at" in overrides.columns else "category"
+    edits = overrides.groupBy("source_file", "row_id").agg(F.max_by("category", order).alias("_category"))
     joined = ledger.join(edits, ["source_file", "row_id"], "left")
     edited = joined.withColumn("category", F.coalesce("_category", "category"))
     return with_dimensions(edited.drop("_category")).select(

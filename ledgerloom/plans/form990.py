@@ -120,8 +120,7 @@ def _described(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _by_label(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per category and program label: both sums, and the amount reported for the label.
 
-    Descriptions sharing their first 50 characters share a label, and the last description
-    in sort order is the one reported for it.
+    Descriptions sharing their first 50 characters share a label, which reports all their money.
     """
     is_program = (F.col("category") == PROGRAM_REVENUE) & F.col("inflow")
     label = F.when(is_program, F.substring("description", 1, LABEL_LENGTH))
@@ -129,7 +128,7 @@ def _by_label(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
         _described(ledger, keys).groupBy(*keys, "category", label.alias("label"))
         .agg(sum_when(F.col("inflow"), F.col("amount")).alias("money_in"),
              sum_when(~F.col("inflow"), -F.col("amount")).alias("money_out"),
-             F.max_by(F.when(is_program, F.col("amount")), "description").alias("reported"))
+             F.sum(F.when(is_program, F.col("amount"))).alias("reported"))
     )
 
 

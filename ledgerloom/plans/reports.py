@@ -80,10 +80,12 @@ def displayed_worksheet(worksheet: DataFrame, keys: Sequence[str] = ()) -> DataF
     """Worksheet lines that are shown, with line number and currency text.
 
     A Part IX line is shown when its total is not zero, fundraising event lines when there
-    was event income.  Both flags are group-wide, over report-sized data.
+    was event income.  Both flags are group-wide over the fixed lines; program descriptions, of which
+    there may be many, need neither and are spread by their text.
     """
-    of_line = Window.partitionBy(*keys, "part", "line_key")
-    of_part = Window.partitionBy(*keys, "part")
+    apart = F.when(F.col("line_key") == "2a_program_services", F.xxhash64("label"))
+    of_line = Window.partitionBy(*keys, "part", "line_key", apart)
+    of_part = Window.partitionBy(*keys, "part", apart)
     flagged = worksheet.withColumns({
         "filled": F.max((F.col("amount") != 0)).over(of_line),
         "events": F.max((F.col("line_key") == EVENT_LINES[0]) & (F.col("amount") > 0)).over(of_part),

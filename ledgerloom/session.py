@@ -7,7 +7,6 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -58,12 +57,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only where a count shows at most ``max_rows`` rows.
-
-    Above that the join is left to Spark, which shuffles both sides and splits skewed
-    partitions at run time.  Use on frames that are cheap to read twice.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -10,10 +10,13 @@ Each archive owns its folders, so saving and deleting never touch another archiv
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions.money import report_money
 from ledgerloom.functions.text import archive_id as archive_id_text
@@ -51,17 +54,21 @@ def save(ledger: DataFrame, root: str, label: str, *, organization: str = "", no
          created_at: dt.datetime | None = None, archive: str | None = None) -> str:
     """Archive a ledger and return the archive id.  Times of day are cut to the day.
 
-    A given ``archive`` id is overwritten, which makes retries harmless.  Metadata and account names are read back from the stored rows, so the ledger itself is
-    computed once.  Metadata is written last: an archive without it does not exist.
+    A new id is one that no archive has.  A given ``archive`` id is replaced, which makes retries
+    harmless: rows are written beside the old ones first, so an edited version of an archive may be saved
+    under its own id.  Metadata and account names are read back from the stored rows, so the ledger
+    itself is computed once.  Metadata is written last: an archive without it does not exist.
     """
     spark = ledger.sparkSession
     created_at = created_at or dt.datetime.now()
-    archive = archive or _new_id(spark, label, created_at)
-    data = f"{root}/data/archive_id={archive}"
-    ledger.withColumn("txn_ts", F.date_trunc("day", "txn_ts").cast("timestamp_ntz")).write.mode(
-        "overwrite").parquet(data)
+    archive = archive or _unused(spark, root, _new_id(spark, label, created_at))
+    data, staged = f"{root}/data/archive_id={archive}", f"{root}/staged/{uuid.uuid4().hex}"
+    ledger.withColumn("txn_ts", F.date_trunc("day", "txn_ts").cast("timestamp_ntz")).write.parquet(staged)
+    delete(spark, root, archive)
+    _move(spark, staged, data)
     stored = spark.read.parquet(data)
-    if "account" in stored.columns:
+    has_account = "account" in stored.columns
+    if has_account:
         stored.select("account").distinct().write.mode("overwrite").parquet(
             f"{root}/accounts/archive_id={archive}")
     else:
@@ -71,7 +78,7 @@ def save(ledger: DataFrame, root: str, label: str, *, organization: str = "", no
         F.lit(archive).alias("id"), F.lit(label).alias("label"),
         F.lit(organization).alias("organization"), F.lit(notes).alias("notes"),
         created.alias("created_at"), "date_range_start", "date_range_end", "transaction_count",
-        F.when(F.col("transaction_count") > 0, F.col("account_count")).otherwise(0)
+        F.when(F.lit(has_account) & (F.col("transaction_count") > 0), F.col("account_count")).otherwise(0)
         .alias("account_count"), "total_revenue", "total_expenses")
     meta.write.mode("overwrite").json(f"{root}/meta/archive_id={archive}")
     return archive
@@ -82,6 +89,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _unused(spark: SparkSession, root: str, archive: str) -> str:
+    """The id itself, or with the first number that makes it new."""
+    names = (archive if n == 1 else f"{archive}-{n}" for n in itertools.count(1))
+    return next(n for n in names if not _exists(spark, f"{root}/meta/archive_id={n}"))
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"{source} can't become {target}")
+
+
 def metadata(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of all archives; unreadable files are skipped."""
     if not _exists(spark, f"{root}/meta"):
@@ -129,8 +150,11 @@ def _read(spark: SparkSession, root: str, ids: Sequence[str],
         if not (_exists(spark, f"{root}/data/archive_id={archive}")
                 and _exists(spark, f"{root}/meta/archive_id={archive}")):
             raise FileNotFoundError(f"archive {archive!r} not found")
-    return (spark.read.option("basePath", f"{root}/data").option("mergeSchema", merge_schema)
-            .parquet(*(f"{root}/data/archive_id={i}" for i in ids)))
+    paths = [f"{root}/data/archive_id={i}" for i in ids]
+    reader = spark.read.option("basePath", f"{root}/data").option("mergeSchema", merge_schema)
+    # Ids are text, also where all of them look like numbers.
+    schema = StructType([f for f in reader.parquet(*paths).schema if f.name != "archive_id"]).add("archive_id", "string")
+    return reader.schema(schema).parquet(*paths)
 
 
 def load(spark: SparkSession, root: str, archive: str) -> tuple[DataFrame, Row]:
@@ -153,7 +177,7 @@ def load_many(spark: SparkSession, root: str, ids: Sequence[str], *,
     """
     if not ids:
         return spark.createDataFrame([], "txn_ts timestamp_ntz, description string, "
-                                         "amount decimal(18,4), category string")
+                                         "amount decimal(28,4), category string")
     ledgers = _read(spark, root, ids, merge_schema)
     ties = [c for c in ("source_file", "row_id") if c in ledgers.columns]
     combined = combine_ledgers(ledgers, [selection_rank(ids), *ties]).drop("archive_id")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import strip
-from ledgerloom.session import broadcast_if_small, materialize
+from ledgerloom.session import materialize
 from ledgerloom.sources import workbook
 
 RAW_SCHEMA = ("file string, file_name string, block bigint, row_id bigint, "
@@ -144,7 +144,7 @@ def _join_open_lines(lines: DataFrame) -> DataFrame:
         raise ValueError("quoted cell never closed in " + ", ".join(r.file for r in unclosed))
     splits = splits.drop("after")
     states = (
-        marked.join(broadcast_if_small(splits), ["file", "block"])
+        marked.join(splits, ["file", "block"])
         .withColumn("after", since("last", "flips", F.col("initial")))
         .withColumn("inside", F.coalesce(F.lag("after").over(in_split), "initial"))
         .select("file", "file_name", "block", "row_id", "line", "inside")
@@ -163,7 +163,7 @@ def _join_open_lines(lines: DataFrame) -> DataFrame:
                     ).otherwise(F.col("carried"))
     parts = F.array_sort(F.collect_list(F.struct("block", "row_id", "line")))
     return (
-        starts.join(broadcast_if_small(carried), ["file", "block"])
+        starts.join(carried, ["file", "block"])
         .groupBy("file", "file_name", begins.alias("begins"))
         .agg(F.concat_ws("\n", F.transform(parts, lambda p: p["line"])).alias("line"))
         .select("file", "file_name", "begins.block", "begins.row_id", "line")
@@ -180,10 +180,10 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     if len(few) <= _LISTED_FILES:  # read again just these
         again = _lines(spark, [unquote(r.file) for r in few])
     else:
-        again = _lines(spark, path).join(broadcast_if_small(broken), "file", "left_semi")
+        again = _lines(spark, path).join(broken, "file", "left_semi")
     records = materialize(
         _split_lines(_join_open_lines(materialize(again, "reread"))).drop("open"), "records")
-    intact = lines.drop("open").join(broadcast_if_small(broken), "file", "left_anti")
+    intact = lines.drop("open").join(broken, "file", "left_anti")
     return intact.unionByName(records)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.money import parse_amount
 from ledgerloom.functions.text import strip
-from ledgerloom.session import broadcast_if_small, materialize
+from ledgerloom.session import materialize
 from ledgerloom.sources.cells import is_utf8, null_texts_to_null, utf8_text
 
 # --- fixed values: column name patterns per role ----------------------------------------
@@ -103,7 +103,7 @@ def header_rows(raw: DataFrame) -> DataFrame:
 
 def data_rows(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows below each file's header, with that file's mapping columns."""
-    joined = raw.drop("file_name").join(broadcast_if_small(mapping), "file")
+    joined = raw.drop("file_name").join(mapping, "file")
     return joined.where(
         (F.col("block") > F.col("header_block"))
         | ((F.col("block") == F.col("header_block")) & (F.col("row_id") > F.col("header_row"))))
@@ -141,7 +141,7 @@ def _fill_date_and_description(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     not_dates, texts = F.coalesce("not_dates", none), F.coalesce("texts", none)
     positions = F.transform("names", lambda n, i: i)
     date_pos = F.coalesce("date_pos", _first(positions, lambda p: ~F.array_contains(not_dates, p)))
-    filled = mapping.join(broadcast_if_small(per_file), "file", "left").withColumn(
+    filled = mapping.join(per_file, "file", "left").withColumn(
         "date_pos", date_pos)
     other = F.filter(texts, lambda p: ~p.eqNullSafe(F.col("date_pos")))
     return filled.withColumn("desc_pos", F.coalesce("desc_pos", F.array_min(other))).drop(
@@ -166,7 +166,7 @@ def override_columns(mapping: DataFrame, overrides: DataFrame) -> DataFrame:
     """
     roles = [r for r in ROLE_PATTERNS if r in overrides.columns]
     chosen = overrides.select("file_name", *(F.col(r).alias(f"_{r}") for r in roles))
-    joined = mapping.join(broadcast_if_small(chosen), "file_name", "left")
+    joined = mapping.join(chosen, "file_name", "left")
     for role in roles:
         wanted = F.col(f"_{role}")
         position = F.array_position("names", wanted).cast("int")
@@ -189,4 +189,4 @@ def fill_amounts(raw: DataFrame, mapping: DataFrame) -> DataFrame:
         .where(F.col("total") > 0)
         .groupBy("file").agg(F.min("pos").alias("value_pos"))
     )
-    return materialize(mapping.join(broadcast_if_small(found), "file", "left"), "mapping")
+    return materialize(mapping.join(found, "file", "left"), "mapping")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import parse_dates
 from ledgerloom.functions.money import LEDGER_MONEY, parse_amount
 from ledgerloom.functions.text import account_from_file, strip
-from ledgerloom.session import broadcast_if_small
 from ledgerloom.sources.cells import NULL_TEXTS, raw_cells, utf8_text
 from ledgerloom.sources.detect import data_rows, detect_columns, fill_amounts, override_columns
 
@@ -51,7 +50,7 @@ def standardize(raw: DataFrame, mapping: DataFrame, accounts: DataFrame | None =
     if accounts is not None:
         named = accounts.select("file_name", F.col("account").alias("_account"))
         mapping = (
-            mapping.join(broadcast_if_small(named), "file_name", "left")
+            mapping.join(named, "file_name", "left")
             .withColumn("account", F.coalesce("_account", "account")).drop("_account"))
     # one column per step: each text is decoded, checked and parsed once
     texts = data_rows(raw, mapping).withColumns({

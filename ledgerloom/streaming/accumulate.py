@@ -12,11 +12,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.classify import classify_repeating
+from ledgerloom.functions.classify import classify
 from ledgerloom.sources import archive
 
 DELIVERY_SCHEMA = ("account string, txn_ts timestamp_ntz, description string, "
-                   "amount decimal(18,4), source_file string, row_id bigint")
+                   "amount decimal(28,4), source_file string, row_id bigint")
 
 
 def accumulate(spark: SparkSession, landing: str, root: str, checkpoint: str, *,
@@ -27,7 +27,7 @@ def accumulate(spark: SparkSession, landing: str, root: str, checkpoint: str, *,
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        archive.save(classify_repeating(batch), root, f"{label} {batch_id}",
+        archive.save(classify(batch), root, f"{label} {batch_id}",
                      created_at=dt.datetime.now(), archive=f"{label}_{batch_id:09d}")
 
     return (

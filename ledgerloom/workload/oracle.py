@@ -209,7 +209,7 @@ part1_lines AS (
 _BY_DESCRIPTION = CLASSIFIED + """,
 by_description AS (SELECT description, SUM(amount) AS v FROM classified
   WHERE category = 'Program Service Revenue' AND amount > 0 GROUP BY description),
-by_label AS (SELECT substr(description, 1, 50) AS description, ROUND(arg_max(v, description), 2) AS amount
+by_label AS (SELECT substr(description, 1, 50) AS description, ROUND(SUM(v), 2) AS amount
   FROM by_description GROUP BY substr(description, 1, 50))"""
 
 _PART8 = _BY_DESCRIPTION + f""",
@@ -515,9 +515,7 @@ UNION ALL SELECT account, 'change_in_net_assets', CAST(tr - te + nt AS DOUBLE) F
         "archive_dedup": f"{CLASSIFIED} SELECT DISTINCT account, {DAY}, description, CAST(amount AS "
                          "DOUBLE) AS amount, CASE WHEN txn_ts > TIMESTAMP '1996-06-30 00:00:00' "
                          "AND txn_ts < TIMESTAMP '1997-01-01 00:00:00' THEN 'Supplies & Materials' "
-                         "ELSE category END AS category FROM classified WHERE "
-                         "txn_ts >= TIMESTAMP '1996-01-01 00:00:00' AND txn_ts < "
-                         "TIMESTAMP '1998-01-01 00:00:00'",
+                         "ELSE category END AS category FROM classified",
         "archive_meta": f"{_YEARLY} SELECT label, CAST(a AS DATE) AS date_range_start, "
                         "CAST(b AS DATE) AS date_range_end, CASE WHEN strftime(a, '%b %Y') = "
                         "strftime(b, '%b %Y') THEN strftime(a, '%b %Y') ELSE CONCAT(strftime(a, "

@@ -46,7 +46,7 @@ def _on_ledger(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = classify.classify_repeating(ledger(spark, sf_dir))
+    classified = classify.classify(ledger(spark, sf_dir))
     return plain(classified.select(
         "account", F.col("txn_ts").cast("date").alias("txn_date"), "description", "amount",
         "category", "functional", "category_type"))
@@ -76,7 +76,7 @@ def activities_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large deposits relabelled as supplies: a positive amount in an expense category."""
-    classified = classify.classify_repeating(ledger(spark, sf_dir))
+    classified = classify.classify(ledger(spark, sf_dir))
     corrections = (
         deposits(spark, sf_dir).where(F.col("amount") > 400_000)
         .select("source_file", "row_id", F.lit("Supplies & Materials").alias("category")))
@@ -103,7 +103,7 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transaction_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified = classify.classify_repeating(ledger(spark, sf_dir))
+    classified = classify.classify(ledger(spark, sf_dir))
     detail = reports.transaction_detail(classified)
     return plain(detail.withColumn("amount_text", money.currency_text(F.col("amount"))))
 
@@ -125,21 +125,21 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three archives, two overlapping, one holding an account's rows twice."""
+    """The whole ledger in three archives, two overlapping, one holding an account's rows twice."""
     root = scratch_path(spark, "archives")
     rows = ledger(spark, sf_dir)
-    first = filters.between(rows, dt.date(1996, 1, 1), dt.date(1996, 6, 30))
+    first = filters.between(rows, dt.date(1900, 1, 1), dt.date(1996, 6, 30))
     second = filters.between(rows, dt.date(1996, 4, 1), dt.date(1996, 12, 31))
-    third = filters.full_year(rows, 1997)
+    third = filters.between(rows, dt.date(1997, 1, 1), dt.date(2100, 1, 1))
     doubled = first.unionByName(filters.account(first, "ACCT-1"))
     restated = F.lit("Supplies & Materials")
     saved = [
         archive.save(ledger_part, root, label, organization="Test League",
                      created_at=dt.datetime(2002, 1, day))
         for day, (label, ledger_part) in enumerate((
-            ("H1 1996", classify.classify_repeating(doubled)),
+            ("until June 1996", classify.classify(doubled)),
             ("Apr-Dec 1996", classify.with_dimensions(second.withColumn("category", restated))),
-            ("1997", classify.classify_repeating(third))), start=1)
+            ("from 1997", classify.classify(third))), start=1)
     ]
     combined = archive.load_many(spark, root, saved, ordered=False)
     return plain(combined.select(
@@ -246,7 +246,7 @@ def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliver the ledger as files, archive it by stream, combine the archives."""
     landing, root = scratch_path(spark, "landing"), scratch_path(spark, "archives")
     fields = [f.split()[0] for f in DELIVERY_SCHEMA.split(", ")]
-    delivered = ledger(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(18,4)"))
+    delivered = ledger(spark, sf_dir).withColumn("amount", F.col("amount").cast(money.LEDGER_MONEY))
     delivered.select(*fields).write.parquet(landing)
     accumulate(spark, landing, root, scratch_path(spark, "stream")).awaitTermination()
     ids = [r.id for r in archive.list_archives(spark, root).select("id").collect()]

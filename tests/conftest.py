@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from ledgerloom.session import local_session
 
-LEDGER = ("account string, txn_ts timestamp_ntz, description string, amount decimal(18,4), "
+LEDGER = ("account string, txn_ts timestamp_ntz, description string, amount decimal(28,4), "
           "source_file string, row_id bigint")
 
 

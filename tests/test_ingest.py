@@ -85,7 +85,7 @@ def test_encoding_fallback(ledger):
 def test_accounts_and_schema(ledger):
     named = {r.source_file: r.account for r in ledger.collect()}
     assert named["AccountHistory single.csv"] == "Account single"
-    assert dict(ledger.dtypes)["amount"] == "decimal(18,4)"
+    assert dict(ledger.dtypes)["amount"] == "decimal(28,4)"
     assert dict(ledger.dtypes)["txn_ts"] == "timestamp_ntz"
 
 
