@@ -58,5 +58,6 @@ def smallest(hashes: DataFrame, size: int) -> list[int]:
     A cut-off from an estimate of their number goes first, so that only a few times as many reach the driver.
     """
     distinct = hashes.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
-    cut = -(2**63) + int(min(1.0, 3 * (size + 100) / max(1, distinct)) * (2**64 - 1))
+    share = min(1.0, 3 * (size + 100) / max(1, distinct))
+    cut = min(2**63 - 1, -(2**63) + int(share * 2**64))
     return [r["h"] for r in hashes.where(F.col("h") <= F.lit(cut)).select("h").distinct().orderBy("h").limit(size).collect()]

@@ -105,8 +105,8 @@ def encode(ids: np.ndarray, table: Frequencies, lanes: int = LANES, every: int =
     places = np.concatenate(([0], np.cumsum([len(w) for w in given]))).astype(np.int64)
     words = np.concatenate(given).astype("<u4") if given else np.zeros(0, "<u4")
     starts = [int(places[m]) for m in marks]
-    parts = [words[s:e] for s, e in zip(starts, [*starts[1:], len(words)], strict=True)]
-    index = np.array([(s, zlib.crc32(p.tobytes())) for s, p in zip(starts, parts, strict=True)], "<u4")
+    parts = [words[s:e] for s, e in zip(starts, [*starts, len(words)][1:], strict=True)]
+    index = np.array([(s, zlib.crc32(p.tobytes())) for s, p in zip(starts, parts, strict=True)], "<u4").reshape(-1, 2)
     head = _HEAD.pack(MAGIC, VERSION, lanes, n, every, len(marks), len(words), table.crc,
                       zlib.crc32(ids.astype("<u4").tobytes()))
     return b"".join([head, index.tobytes(), *(states[m].astype("<u8").tobytes() for m in marks),

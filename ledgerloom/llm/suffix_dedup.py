@@ -152,6 +152,7 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_in_group(anchor: np.ndarray, keys: np.ndarray, starts: np.ndarray, leads: np.ndarray, contexts: list[bytes],
                       length: int, folder: str, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
     """Key's row number and start (in its text) of every repeated string of some anchor groups."""
+    cell = max(1, min(cell, length // 4))
     sizes = np.array([len(c) for c in contexts], np.int64)
     first = np.cumsum(sizes) - sizes
     flat = np.frombuffer(b"".join(contexts), np.uint8)

@@ -1,7 +1,7 @@
 """Token ids of documents as files of entropy-coded blocks.
 
-``write`` tokenises all documents twice: once for the counts of all ids, from which the shared
-frequency table is made, and once in ascending id order to encode them.  Each task writes one file of
+``write`` tokenises all documents in ascending id order into a scratch table of plain ids, makes the shared
+frequency table from the counts of all ids, and encodes the blocks.  Each task writes one file of
 blocks; a block holds whole documents, at least ``BLOCK_IDS`` ids but for the last of a file, together
 with the ids and lengths of its documents.  The files are Parquet tables with one block per row (see
 ``rans`` for its layout), so any file system Spark can write to will do, and a task that is lost
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import rans
 from ledgerloom.llm.common import map_batches, texts_of
 from ledgerloom.llm.tokens import WordTokens
+from ledgerloom.session import scratch_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
 BLOCKS = ("file bigint, block bigint, start_in_file bigint, n_ids bigint, doc_ids array<bigint>, "
           "doc_lengths array<bigint>, payload binary")
+_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -45,39 +47,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Ite
             yield from zip(part.column("doc_id").to_pylist(), (i + last for i in ids), strict=True)
 
 
-def id_counts(documents: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
-    """Occurrences of every id in all documents; counted inside each task first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = 0
-
-        def texts() -> Iterator[list[bytes]]:
-            nonlocal rows
-            for batch in batches:
-                rows += batch.num_rows
-                for at in range(0, batch.num_rows, 256):
-                    yield texts_of(batch.column("text").slice(at, 256))
-        counts = WordTokens.shared(tokenizer).id_counts(texts())
-        counts = np.pad(counts, (0, max(0, end + 1 - len(counts))))
-        counts[end] += rows
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])],
-                                         names=["id", "n"])
-    return (documents.select("text").mapInArrow(run, "id bigint, n bigint")
-            .groupBy("id").agg(F.sum("n").alias("n")))
-
-
-def write(documents: DataFrame, path: str, tokenizer: str, end: int = END_ID, files: int | None = None,
-          block_ids: int = BLOCK_IDS) -> None:
-    """Write ``path/table`` (the frequency table) and ``path/blocks``."""
-    spark = documents.sparkSession
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counted = id_counts(source, tokenizer, end).collect()  # at most the vocabulary
-    counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
-    for row in counted:
-        counts[row["id"]] = row["n"]
-    table = rans.Frequencies.from_counts(counts)
-    spark.createDataFrame([(bytearray(table.shares),)], "shares binary").coalesce(1).write.parquet(f"{path}/table")
-
+def _tokenised(documents: DataFrame, path: str, tokenizer: str, end: int, files: int, block_ids: int) -> DataFrame:
+    """Blocks of whole documents in ascending id order with their plain ids, as a table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, start, number = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
@@ -88,25 +59,62 @@ def write(documents: DataFrame, path: str, tokenizer: str, end: int = END_ID, fi
             parts.append(ids)
             size += len(ids) // 4
             if size >= block_ids:
-                yield _block(file, number, start, keys, parts, table)
+                yield _block(file, number, start, keys, parts)
                 number, start, size, keys, parts = number + 1, start + size, 0, [], []
         if parts:
-            yield _block(file, number, start, keys, parts, table)
+            yield _block(file, number, start, keys, parts)
 
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    (ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
+    ordered = documents.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
-def _block(file: int, number: int, start: int, keys: list, parts: list[bytes],
-           table: rans.Frequencies) -> pa.RecordBatch:
+def _block(file: int, number: int, start: int, keys: list, parts: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), "<u4")
-    lengths = [len(p) // 4 for p in parts]
-    values = (file, number, start, len(ids), keys, lengths, rans.encode(ids, table))
+    narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+    values = (file, number, start, len(ids), keys, [len(p) // 4 for p in parts], narrow.tobytes())
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-    names = [c.split()[0] for c in BLOCKS.split(", ")]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_NAMES)
+
+
+def _ids(n: int, payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype(np.uint32)
+
+
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """Occurrences of every id in all blocks; counted inside each task first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for batch in batches:
+            for n, payload in zip(batch.column("n_ids").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                own = np.bincount(_ids(n, payload))
+                counts = np.pad(counts, (0, max(0, len(own) - len(counts))))
+                counts[:len(own)] += own
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], names=["id", "n"])
+    return blocks.select("n_ids", "payload").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def write(documents: DataFrame, path: str, tokenizer: str, end: int = END_ID, files: int | None = None,
+          block_ids: int = BLOCK_IDS) -> None:
+    """Write ``path/table`` (the frequency table) and ``path/blocks``."""
+    spark = documents.sparkSession
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = _tokenised(source, scratch_path(spark, "token-ids"), tokenizer, end, n, block_ids)
+    counted = id_counts(plain).collect()  # at most the vocabulary
+    counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
+    for row in counted:
+        counts[row["id"]] = row["n"]
+    table = rans.Frequencies.from_counts(counts)
+    spark.createDataFrame([(bytearray(table.shares),)], "shares binary").coalesce(1).write.parquet(f"{path}/table")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coded = [rans.encode(_ids(k, p), table) for k, p in
+                 zip(batch.column("n_ids").to_pylist(), batch.column("payload").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], names=_NAMES)
+
+    map_batches(plain, run, BLOCKS, rows=1).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def table_of(spark: SparkSession, path: str) -> rans.Frequencies:

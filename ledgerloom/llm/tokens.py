@@ -5,7 +5,7 @@ of a text are the ids of its pieces side by side wherever the pieces end at such
 before a space, around a line feed, and before a comma or full stop that follows a letter or digit;
 texts where these places are no cuts of the tokenizer (two white-space characters in a row, signs
 before a comma) are encoded as they are.  Pieces are numbered by a dictionary; new ones are encoded in one call.
-It is emptied when it holds ``MAX_PIECES`` pieces, so memory is bounded.
+Beyond ``MAX_PIECES`` pieces the rare ones go, so memory is bounded.
 Special tokens' strings inside a text are ordinary text.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +20,8 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import ragged_ranges
 
-#: About 200 bytes each.
-MAX_PIECES = 1_200_000
+#: About 250 bytes each; a worker keeps the most used third when it has more.
+MAX_PIECES = 450_000
 
 _MARK = 0
 #: White space as a space, letters, digits and all bytes above 0x7F as a letter, other signs as one sign.
@@ -58,7 +57,8 @@ class _Pieces:
 
     def _reset(self) -> None:
         self.index, self.used = _Index(), 0
-        self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.ids, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.size, self.times = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def split(self, text: bytes) -> list[bytes] | None:
         """Pieces of a text, None where it can't be cut safely."""
@@ -73,7 +73,7 @@ class _Pieces:
         first, count = len(self.index) - len(found), len(self.index)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         while count > len(self.start):
-            self.start, self.size = np.pad(self.start, (0, len(self.start))), np.pad(self.size, (0, len(self.size)))
+            self.start, self.size, self.times = (np.pad(x, (0, len(x))) for x in (self.start, self.size, self.times))
         total = self.used + int(sizes.sum())
         if total > len(self.ids):
             self.ids = np.pad(self.ids, (0, max(len(self.ids), total - len(self.ids))))
@@ -85,12 +85,23 @@ class _Pieces:
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         """Number of every piece; numbers hold until the next call."""
         if len(self.index) > MAX_PIECES:
-            self._reset()
+            self._keep_frequent()
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.index.new:
             self._learn()
+        self.times[:len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
         return at
 
+    def _keep_frequent(self) -> None:
+        pieces, times = list(self.index), self.times[:len(self.index)]
+        kept = np.argsort(-times, kind="stable")[:MAX_PIECES // 3]
+        ids, sizes = self.ids_of(kept)
+        times = times[kept] // 2
+        self._reset()
+        self.index.update((pieces[k], i) for i, k in enumerate(kept.tolist()))
+        self.ids, self.used = ids, len(ids)
+        self.start, self.size, self.times = np.cumsum(sizes) - sizes, sizes.astype(np.int32), times
+
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces side by side, and the number of ids of each."""
         sizes = self.size[numbers].astype(np.int64)
@@ -110,36 +121,6 @@ class _Pieces:
             out[i] = found.tobytes()
         return out
 
-    def id_counts(self, batches: Iterable[list[bytes]]) -> np.ndarray:
-        """Occurrences of every id in the texts of all batches, counted by piece first."""
-        total, by_piece = np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-        def add(ids: np.ndarray, times: np.ndarray | None = None) -> None:
-            nonlocal total
-            if len(ids):
-                own = np.bincount(ids, times).astype(np.int64)
-                total = np.pad(total, (0, max(0, len(own) - len(total))))
-                total[:len(own)] += own
-
-        def settle() -> None:
-            used = np.flatnonzero(by_piece)
-            ids, sizes = self.ids_of(used)
-            add(ids, np.repeat(by_piece[used], sizes))
-
-        for texts in batches:
-            cut = [self.split(t) for t in texts]
-            if len(self.index) > MAX_PIECES:
-                settle()
-                by_piece = by_piece[:0]
-            own = np.bincount(self.numbers([p for c in cut if c is not None for p in c]))
-            if len(own) > len(by_piece):
-                by_piece = np.pad(by_piece, (0, max(len(by_piece), len(own) - len(by_piece))))
-            by_piece[:len(own)] += own
-            for found in self._encoded([t for t, c in zip(texts, cut, strict=True) if c is None]):
-                add(np.frombuffer(found, np.uint32))
-        settle()
-        return total
-
 
 def _plain(text: bytes) -> bool:
     """Only letters beyond ASCII, which the cuts take them for, lower-cased too."""

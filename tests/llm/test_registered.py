@@ -1,0 +1,61 @@
+import pytest
+from oracle_check import compare, connect
+
+import __spark_entry__ as registered
+import corpus_pipeline
+from ledgerloom.llm import oracle, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, connect(SF), SF, queries.queries()[name], oracle.oracle_sql()[name]) is None
+
+
+def test_all_registered():
+    assert {*queries.queries(), "pipeline"} <= set(registered.queries())
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_native_plans(spark):
+    for name in ("op6_chat_windows", "op9_line_quality"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_pipeline_stages_hold_their_promises(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs
+    results = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
+        results[name] = docs
+        assert name == "pack" or docs.columns == columns
+    first = queries.quality.verdicts(before).where("kept").select("doc_id").collect()
+    assert {r.doc_id for r in results["quality_rules"].collect()} == {r.doc_id for r in first}
+    texts = {r.doc_id: r.text for r in results["quality_rules"].collect()}
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    sets = {d: shingles(t) for d, t in texts.items()}
+    left = sorted(r.doc_id for r in results["near_duplicates"].collect())
+    for i, a in enumerate(left):
+        for b in left[:i]:
+            both = len(sets[a] & sets[b])
+            assert 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
+    seen, cut = {}, {r.doc_id: r.text.encode() for r in results["near_duplicates"].collect()}
+    for d, t in cut.items():
+        for i in range(len(t) - 399):
+            seen[t[i:i + 400]] = seen.get(t[i:i + 400], 0) + 1
+    for r in results["repeated_passages"].collect():
+        whole = cut[r.doc_id]
+        if not any(seen[whole[i:i + 400]] > 1 for i in range(len(whole) - 399)):
+            assert r.text.encode() == whole
+        else:
+            assert len(r.text.encode()) < len(whole)
+    hit = queries.decontaminate.verdicts(results["repeated_passages"], spark.read.parquet(f"{SF}/benchmark.parquet"))
+    clean = {r.doc_id for r in hit.where("not contaminated").collect()}
+    assert {r.doc_id for r in results["benchmark_decontamination"].collect()} == clean
+    assert {r.doc_id for r in results["pack"].collect()} == clean
