@@ -336,7 +336,7 @@ def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     def rest(text: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for t, o in zip(text, own, strict=True):
-            raw = t.encode()
+            raw = (t or "").encode()
             out.append(np.frombuffer(raw, np.uint8)[~_cut(raw, o)].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 

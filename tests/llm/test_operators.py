@@ -1,5 +1,6 @@
 """Small cases of every operator: brute force, round trips, and rows that are null, empty, repeated or odd."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -271,7 +272,8 @@ def test_linked_sets_in_blocks(monkeypatch, spark):
     assert {r.component_id for r in found.collect()} == {0}
 
 
-def test_lm_is_a_distribution_and_beats_counts(spark, odd, none):
+def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=120))
     rng = random.Random(2)
     words = {"a": [f"qa{c}" for c in "bcdfgh"], "b": [f"zo{c}t" for c in "klmnpr"]}
     rows = [(i, " ".join(rng.choice(words["ab"[i % 2]]) for _ in range(40))) for i in range(120)]
