@@ -18,6 +18,9 @@ from ledgerloom.llm import decontaminate, jaccard, packing, quality, suffix_dedu
 from ledgerloom.llm.common import table
 from ledgerloom.session import materialize
 
+#: Fewest words of a passage that is cut: every passage of over 50 words.
+PASSAGE_WORDS = 51
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -32,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur elsewhere too are cut out of the texts."""
-    return suffix_dedup.rewrite(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    """Passages of over 50 words, or of 400 bytes and more, that occur elsewhere too are cut out of the texts."""
+    return suffix_dedup.rewrite(docs, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

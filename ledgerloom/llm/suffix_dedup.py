@@ -18,6 +18,10 @@ All equal strings meet under their anchor, so the result is exact; rows are told
 id and text, classes by two 64-bit hashes.  Strings are bytes of UTF-8, judged on the input and never
 across documents.  Null texts are empty; shorter texts than ``length`` have no strings; repeated rows are
 repeats of each other.  Extra columns are ignored by ``remove`` and kept by ``rewrite``.
+
+``rewrite`` can also cut passages of a number of words, whatever their bytes: every run of ``words`` words that
+starts elsewhere too, white space between words aside.  Anchors, here of ``WORD_GRAM`` words, leave out most
+of the text again; the hashes of all runs of the other anchors are counted with their anchor.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, ragged_ranges, signed, texts_of
+from ledgerloom.llm.common import WHITE_SPACE, map_batches, ragged_ranges, signed, texts_of
 from ledgerloom.llm.induced import suffix_order
 from ledgerloom.session import materialize
 
@@ -43,6 +47,7 @@ GRAM = 48
 SEGMENT = 1 << 19
 SHARD_BYTES = 1_000_000
 CELL = 64
+WORD_GRAM = 8
 #: Suffix tuples a task's queue holds before it writes, and longest reduced text sorted in memory.
 QUEUE_TUPLES = 400_000
 IN_MEMORY_NAMES = 2_000_000
@@ -52,6 +57,8 @@ _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_BLANK = np.isin(np.arange(256), list(WHITE_SPACE.encode()))
+
 ANCHORS = "key bigint, anchor bigint, context bigint, start bigint, size int, lead int"
 
 
@@ -290,6 +297,68 @@ def _intervals(documents: DataFrame, keyed: DataFrame, length: int, gram: int) -
         copies.select("key", "start", F.col("size").cast("bigint").alias("size")))
 
 
+def _runs(x: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` values."""
+    n = len(x) - size + 1
+    out = x[:n].copy()
+    for k in range(1, size):
+        out *= np.uint64(_FACTOR)
+        out += x[k:k + n]
+    return _mix(out)
+
+
+def word_runs(texts: list[bytes], words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of every run of ``words`` words inside a text: number of the text, anchor, hash, start and size in bytes,
+    and whether its anchor stands at another place than that of the run before."""
+    flat = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+    inside = ~_BLANK[flat]
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
+    first, stop = edges[::2], edges[1::2]
+    n, width = len(first) - words + 1, words - gram + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    up = _powers()[0]
+    place = ragged_ranges(np.zeros(len(first), np.int64), stop - first) % len(up)
+    word = _mix(np.add.reduceat(_BYTES[flat[inside]] * up[place], np.cumsum(stop - first) - (stop - first)))
+    grams = _runs(word, gram)
+    at = np.arange(len(grams), dtype=np.uint64) & _PLACE
+    best = _sliding_min((grams & ~_PLACE) | at, width)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    text = np.searchsorted(ends, first, side="right")
+    whole = text[:n] == text[words - 1:]
+    # Where places begin again at 0 inside a run of words, the leftmost isn't known: each run stands for itself.
+    new = at[:n] > at[width - 1:]
+    new[0] = True
+    new[1:] |= (best[1:] != best[:-1]) | ~whole[:-1]
+    start = first[:n] - np.concatenate(([0], ends))[text[:n]]
+    return tuple(c[whole] for c in (text[:n], best & ~_PLACE, _runs(word, words), start, stop[words - 1:] - first[:n], new))
+
+
+def _word_intervals(keyed: DataFrame, words: int, gram: int) -> DataFrame:
+    """``key``, ``start`` and ``size`` of all runs of ``words`` words that start elsewhere too."""
+    def anchored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, anchor, *_, new = word_runs(texts_of(batch.column("text")), words, gram)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(batch.column("key").to_numpy()[text[new]]), pa.array(signed(anchor[new]))], names=["key", "anchor"])
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, anchor, run, start, size, _ = word_runs(texts_of(batch.column("text")), words, gram)
+        anchor, own, key = signed(anchor), batch.column("own").to_pylist(), batch.column("key").to_numpy()
+        borders = np.searchsorted(text, np.arange(len(own) + 1))
+        kept = np.concatenate([np.isin(anchor[a:b], o) for a, b, o in zip(borders[:-1], borders[1:], own, strict=True)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (key[text[kept]], anchor[kept], signed(run[kept]), start[kept], size[kept])],
+            names=["key", "anchor", "run", "start", "size"])
+
+    rows = materialize(map_batches(keyed.select("key", "text"), anchored, "key bigint, anchor bigint", rows=200), "word-anchors")
+    several = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    wanted = rows.join(several, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("own"))
+    found = materialize(map_batches(keyed.select("key", "text").join(wanted, "key"), runs,
+                                    "key bigint, anchor bigint, run bigint, start bigint, size bigint", rows=200), "word-runs")
+    twice = found.groupBy("anchor", "run").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "run")
+    return found.join(twice, ["anchor", "run"]).select("key", "start", "size")
+
+
 def _cut(text: bytes, own: Iterable[dict[str, int]] | None) -> np.ndarray:
     """True for the bytes to remove."""
     change = np.zeros(len(text) + 1, np.int32)
@@ -328,8 +397,11 @@ def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", rows=200)
 
 
-def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The documents with their texts cut; a character that is cut in two goes whole.  A null stays null."""
+def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """The documents with their texts cut; a character that is cut in two goes whole.  A null stays null.
+
+    With ``words``, repeated runs of so many words go too.
+    """
     columns = documents.columns
 
     @F.pandas_udf("string")
@@ -340,7 +412,11 @@ def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             out.append(np.frombuffer(raw, np.uint8)[~_cut(raw, o)].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    found = _intervals(documents, _keyed(documents), length, gram).groupBy(F.col("key").alias("_s_key")).agg(
+    keyed = _keyed(documents)
+    intervals = _intervals(documents, keyed, length, gram)
+    if words:
+        intervals = intervals.unionByName(_word_intervals(keyed, words, min(WORD_GRAM, words)))
+    found = intervals.groupBy(F.col("key").alias("_s_key")).agg(
         F.collect_set(F.struct("start", "size")).alias("_s_own"))
     key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
     cut = documents.withColumn("_s_at", key).join(found, F.col("_s_at") == F.col("_s_key"), "left")

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from ledgerloom.llm import (
     chat, decontaminate, jaccard, langid, lm, packing, quality, rans, suffix_dedup, token_files, toxicity,
 )
@@ -164,6 +165,31 @@ def test_repeated_strings_equal_brute_force(spark):
     assert left[3] is None and left[4] == "" and len(left[2].encode()) < 120
 
 
+def test_repeated_passages_of_over_50_words(spark):
+    rng = random.Random(9)
+
+    def some(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**4)}" for _ in range(n)]
+    texts, want = [], []
+    for n in (50, 51, 52, 57, 64):
+        passage, second = some(n), some(20)
+        for apart in (" ", "\n"):
+            before, after = some(30), some(30)
+            texts.append(" ".join(before) + " " + apart.join(passage) + " " + " ".join(after))
+            want.append(before + (passage if n == 50 else []) + after)
+            assert len(" ".join(passage)) < 400
+        texts.append(" ".join(second * 4 + some(5)))  # 51 words and more that start twice in one text
+        want.append(texts[-1].split()[80:])
+    texts += ["", " \n", "a b c", None]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, 1, "k", 2) for i, t in enumerate(texts)], DOCUMENTS)
+    left = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, frame, "").collect()}
+    assert [left[i].text.split() for i in range(len(want))] == want
+    assert [left[i].text for i in range(len(want), len(texts))] == texts[len(want):]
+    # Places beyond 2^20 words in one batch, and a text that repeats one word.
+    found = suffix_dedup.word_runs([b"x " * (1 << 20) + b"y " * 60, b"y " * 51], 51, 8)
+    assert len(found[0]) == (1 << 20) + 60 - 50 + 1 and found[2][-1] == found[2][-2]
+
+
 def test_suffix_dedup_odd_rows(odd, none):
     assert suffix_dedup.remove(odd).count() == 13 and suffix_dedup.remove(none).count() == 0
     assert suffix_dedup.rewrite(odd).columns == odd.columns
