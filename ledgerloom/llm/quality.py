@@ -129,7 +129,7 @@ def common_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share: fl
 
     Counting rows first, copies included, leaves few lines for the exact count of distinct ones.
     """
-    limits = (lines.groupBy("_q_host").count()
+    limits = (lines.select("_q_host", "_q_a", "_q_b").distinct().groupBy("_q_host").count()
               .select("_q_host", F.greatest(F.lit(min_documents), F.col("count") * share).alias("limit")))
     each = lines.select("_q_host", F.explode(F.array_distinct("_q_lines.line")).alias("line"))
     counted = each.groupBy("_q_host", "line").count().where(F.col("count") > min_documents)

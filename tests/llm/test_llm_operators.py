@@ -242,6 +242,18 @@ def test_decontamination_spans_and_blocks(spark, odd):
     assert decontaminate.verdicts(odd, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_quality_limits_count_distinct_texts(spark):
+    def some(i):
+        return " ".join(f"w{i}x{j}" for j in range(3))
+    line = "one line of this host that many of its documents have got in common"
+    own = [(i, f"{line}\n{some(i)}" if i < 40 else " ".join(some(100 * i + j) for j in range(5)), "src") for i in range(400)]
+    copies = [(1000 + i, own[-1][1], "src") for i in range(1000)]  # with them 5 % of the rows are 70
+    for rows in (own, own + copies):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        kept = {r.doc_id for r in quality.verdicts(frame).where("kept and doc_id < 1000").collect()}
+        assert kept == set(range(40, 400))
+
+
 def test_quality_rejects_depleted_documents(spark, odd, none):
     line = "this very line stands in almost all documents of the host here"
     own = " ".join(f"w{i}" for i in range(12))
