@@ -25,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or are depleted without their host's common lines, go."""
+    """Documents that fail the rules, or are depleted without their host's common lines, go; the others lose these lines."""
     return quality.keep(docs)
 
 

@@ -5,7 +5,7 @@ normalised by lower-casing and joining their words with single spaces.  A line i
 host when more than ``limit`` distinct documents of that host have it, where the limit is the larger
 of ``min_documents`` and ``share`` of the host's documents.  Documents are distinct by content here:
 exact copies are one document, since removing copies is another operator's work.  Common lines are
-removed, and a document is rejected as depleted when fewer than ``min_words`` words or less than
+removed: ``keep`` gives the texts without them.  A document is rejected as depleted when fewer than ``min_words`` words or less than
 ``min_left`` of its words remain.  Before that, the rules on the document itself reject texts of too
 few words and texts that repeat themselves (``base_failed``).
 
@@ -105,9 +105,12 @@ def _content(host: str) -> list[Column]:
             F.xxhash64(text).alias("_q_a"), F.xxhash64(text, F.lit(1)).alias("_q_b")]
 
 
+def _normalised(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(line, F.lit(_TRIM)), _BLANK, " "))
+
+
 def _normalised_lines(text: Column) -> Column:
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.lower(
-        F.regexp_replace(F.trim(line, F.lit(_TRIM)), _BLANK, " ")))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _normalised)
     return F.filter(lines, lambda line: line != "")
 
 
@@ -149,15 +152,22 @@ def _lines_in(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     return left.join(right, ["_q_host", "line", "salt"])
 
 
-def depleted(documents: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS,
+def stripped(documents: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS,
              share: float = SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
-    """Identities of the texts of which too little remains without the common lines."""
+    """Identities of the texts with common lines, the hashes of these, and whether too little remains without."""
     lines = line_table(documents, host)
     found = _lines_in(lines, common_lines(lines, min_documents, share))
     left = F.col("_q_words") - F.sum("words")
-    return (found.groupBy("_q_row", "_q_host", "_q_a", "_q_b", "_q_words").agg(left.alias("left"))
-            .where((F.col("left") < min_words) | (F.col("left") < min_left * F.col("_q_words")))
-            .select("_q_host", "_q_a", "_q_b").distinct())
+    rows = found.groupBy("_q_row", "_q_host", "_q_a", "_q_b", "_q_words").agg(
+        left.alias("left"), F.collect_set("line").alias("_q_common"))
+    gone = (F.col("left") < min_words) | (F.col("left") < min_left * F.col("_q_words"))
+    # Rows of one identity have the same lines.
+    return rows.groupBy("_q_host", "_q_a", "_q_b").agg(F.max(gone).alias("_q_gone"), F.first("_q_common").alias("_q_common"))
+
+
+def depleted(documents: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """Identities of the texts of which too little remains without the common lines."""
+    return stripped(documents, host, **limits).where("_q_gone").select("_q_host", "_q_a", "_q_b")
 
 
 def verdicts(documents: DataFrame, host: str = "source", **limits: float) -> DataFrame:
@@ -170,10 +180,25 @@ def verdicts(documents: DataFrame, host: str = "source", **limits: float) -> Dat
             .drop("_q_host", "_q_a", "_q_b", "_q_gone"))
 
 
+def _without(text: Column, common: Column) -> Column:
+    """A text without the lines whose hashes are given; blank lines stay."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: (_normalised(line) == "")
+                                 | ~F.array_contains(common, F.xxhash64(_normalised(line)))), "\n")
+
+
 def keep(documents: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    gone = materialize(depleted(documents, host, **limits), "depleted")
+    """The documents that are kept, with their own columns, their texts without the common lines.
+
+    Texts without such lines stay as they are; where a text changes, so does ``n_chars``.
+    """
+    found = materialize(stripped(documents, host, **limits), "stripped")
     # Through a generator, as a filter on computed columns would be pushed down and computed again and again.
     fine = (measures(documents).select(*documents.columns, *_content(host),
                                        F.explode(F.array(~F.col("base_failed"))).alias("_q_fine")).where("_q_fine"))
-    return fine.join(gone, ["_q_host", "_q_a", "_q_b"], "left_anti").select(*documents.columns)
+    kept = fine.join(found, ["_q_host", "_q_a", "_q_b"], "left").where(~F.coalesce("_q_gone", F.lit(False)))
+    changed = F.col("_q_common").isNotNull()
+    kept = kept.withColumn("text", F.when(changed, _without(F.col("text"), F.col("_q_common"))).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType))
+                               .otherwise(F.col("n_chars")))
+    return kept.select(*documents.columns)

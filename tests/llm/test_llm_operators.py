@@ -254,6 +254,18 @@ def test_quality_limits_count_distinct_texts(spark):
         assert kept == set(range(40, 400))
 
 
+def test_quality_cuts_common_lines(spark):
+    line, own = "The  same footer\tin all of them ", " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{own} {i}\n\n{line if i % 2 else line.lower()}\n tail {i}", None if i < 30 else "h", -1) for i in range(60)]
+    rows += [(i, f"{own} {i}\n{line}\nb", "rare", -1) for i in range(60, 70)] + [(70, f"{own} alone", "h", -1)]
+    frame = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, source string, n_chars int")
+    kept = quality.keep(frame)
+    assert kept.schema["n_chars"].dataType == frame.schema["n_chars"].dataType
+    found = sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect())
+    cut = [(i, f"{own} {i}\n\n tail {i}") for i in range(60)]
+    assert found == sorted([(i, t, len(t)) for i, t in cut + cut[:2]] + [r[:2] + (-1,) for r in rows[60:]])
+
+
 def test_quality_rejects_depleted_documents(spark, odd, none):
     line = "this very line stands in almost all documents of the host here"
     own = " ".join(f"w{i}" for i in range(12))
