@@ -12,7 +12,6 @@ decided later per file (:func:`utf8_text`, :func:`is_utf8`), so both encodings c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,7 +32,6 @@ NULL_TEXTS = (
 
 _CSV_FILES = "*.[cC][sS][vV]"
 _EXCEL_FILES = "*.[xX][lL][sS][xX]"
-_LISTED_FILES = 1000
 
 # a cell: quoted (doubled quotes inside, text after the closing quote kept) or not quoted
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^,]*+'
@@ -174,13 +172,9 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of all ``*.csv`` files below ``path``, stored in the scratch folder."""
     lines = materialize(_split_lines(_lines(spark, path)), "lines")
     broken = materialize(lines.where("open").select("file").distinct(), "broken")
-    few = broken.limit(_LISTED_FILES + 1).collect()
-    if not few:
+    if broken.isEmpty():
         return lines.drop("open")
-    if len(few) <= _LISTED_FILES:  # read again just these
-        again = _lines(spark, [unquote(r.file) for r in few])
-    else:
-        again = _lines(spark, path).join(broken, "file", "left_semi")
+    again = _lines(spark, path).join(broken, "file", "left_semi")
     records = materialize(
         _split_lines(_join_open_lines(materialize(again, "reread"))).drop("open"), "records")
     intact = lines.drop("open").join(broken, "file", "left_anti")

@@ -182,6 +182,14 @@ def test_workbook(spark, tmp_path):
     assert noon == dt.datetime(2026, 1, 3, 12)
 
 
+def test_open_quotes_in_files_named_like_globs(spark, tmp_path):
+    for i, name in enumerate(("stmt [2026].csv", "a{b,c}?*.csv", "plain.csv")):
+        write(tmp_path, name, f'Date,Description,Amount\n2026-01-02,"x\ny",{i}\n')
+    found = statements.read_statements(spark, str(tmp_path))
+    for i, name in enumerate(("stmt [2026].csv", "a{b,c}?*.csv", "plain.csv")):
+        assert rows(found, name) == [(DAY, "x\ny", i)]
+
+
 def test_unclosed_quote_is_an_error(spark, tmp_path):
     write(tmp_path, "bad.csv", 'Date,Description,Amount\n2026-01-02,"a,5\n2026-01-03,b,6\n')
     with pytest.raises(ValueError, match="bad.csv"):
