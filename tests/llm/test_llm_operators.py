@@ -322,6 +322,19 @@ def test_linked_sets_in_blocks(monkeypatch, spark):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def test_language_model_chunks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    rows = [(i, "w" * 99 + str(i % 10)) for i in range(400)] + [(1000 + i, "x" * (2001 + i)) for i in range(3)]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    for times in (1, 5):
+        more = functools.reduce(lambda a, b: a.union(b), [source.withColumn("doc_id", source.doc_id + 10000 * k) for k in range(times)])
+        found = lm.chunked(more).selectExpr("chunk", "length(text) AS n").groupBy("chunk").agg({"n": "sum", "*": "count"}).collect()
+        assert sum(r["count(1)"] for r in found) == 403 * times
+        assert [r["count(1)"] for r in found if r.chunk < 0] == [1] * 3 * times
+        assert max(r["sum(n)"] for r in found if r.chunk >= 0) <= 3 * 2000
+
+
 def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
     monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=120))
     rng = random.Random(2)
