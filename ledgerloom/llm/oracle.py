@@ -121,7 +121,77 @@ SELECT doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM d LEFT JOIN cut USING (r) LEFT JOIN front USING (r)
 """
 
+OP12 = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents),
+l AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(folded) || ':' || folded, '-')) AS other FROM f),
+crcs AS (
+  SELECT r, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+        count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (
+  SELECT source, 0 AS lvl, i, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16
+  FROM up WHERE n > 1 GROUP BY source, lvl, i // 16, n),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, i, h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, i // 16, n),
+height AS (SELECT source, max(lvl) AS top FROM up GROUP BY source),
+sib AS (
+  SELECT p.r, up.lvl, up.i, up.h, up.i < p.i // CAST(pow(16, up.lvl) AS BIGINT) AS before
+  FROM p JOIN up ON p.source IS NOT DISTINCT FROM up.source AND up.n > 1
+    AND up.i // 16 = p.i // CAST(pow(16, up.lvl + 1) AS BIGINT) AND up.i <> p.i // CAST(pow(16, up.lvl) AS BIGINT)
+  UNION ALL
+  SELECT p.r, height.top + top.lvl, top.i, top.h, top.i < s.i // CAST(pow(16, top.lvl) AS BIGINT)
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN height ON p.source IS NOT DISTINCT FROM height.source
+    JOIN top ON top.n > 1 AND top.i // 16 = s.i // CAST(pow(16, top.lvl + 1) AS BIGINT)
+      AND top.i <> s.i // CAST(pow(16, top.lvl) AS BIGINT)),
+step AS (SELECT r, lvl, coalesce(string_agg(h, '' ORDER BY i) FILTER (before), '') AS lft,
+           coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT before), '') AS rgt FROM sib GROUP BY r, lvl),
+rooted AS (SELECT max(h) FILTER (n = 1) AS root, max(lvl) AS top FROM top),
+fold AS (
+  SELECT p.r, 0 AS lvl, CASE WHEN k.crc % 5 = 0 THEN p.other ELSE p.leaf END AS h, height.top + rooted.top AS last
+  FROM p JOIN height ON p.source IS NOT DISTINCT FROM height.source CROSS JOIN rooted JOIN crcs k ON k.r = p.r
+  UNION ALL
+  SELECT fold.r, fold.lvl + 1, sha256(coalesce(lft, '') || h || coalesce(rgt, '')), last
+  FROM fold LEFT JOIN step ON step.r = fold.r AND step.lvl = fold.lvl WHERE fold.lvl < last),
+proofs AS (SELECT r, sha256(string_agg(lft || rgt, '' ORDER BY lvl)) AS proof_sha256 FROM step GROUP BY r)
+SELECT p.doc_id, p.leaf, s.h AS subroot, rooted.root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  fold.h AS folded_root, fold.h = rooted.root AS verified
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source CROSS JOIN rooted
+  JOIN fold ON fold.r = p.r AND fold.lvl = fold.last LEFT JOIN proofs ON proofs.r = p.r
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+s AS (SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term, N),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * N) // L AS m FROM d, s WHERE len(w) > 0),
+asked AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+scored AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN t USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_suffix_dedup": OP5, "op6_chat_windows": OP6, "op8_decontaminate": OP8, "op9_line_quality": OP9,
-            "op10_jaccard_join": OP10}
+            "op10_jaccard_join": OP10, "op12_manifest": OP12, "op13_lexical_search": OP13}

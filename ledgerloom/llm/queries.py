@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontaminate, jaccard, langid, lm, packing, quality, suffix_dedup, token_files, toxicity
+from ledgerloom.llm import chat, decontaminate, jaccard, langid, lexical, lm, manifest, nearest, packing, quality, suffix_dedup, token_files, toxicity
 from ledgerloom.llm.common import crc_of_id, table
 from ledgerloom.session import scratch_path
 
@@ -76,5 +76,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_lm_score, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_lm_score, op4_token_files, op5_suffix_dedup, op6_chat_windows, op7_language_id, op8_decontaminate, op9_line_quality, op10_jaccard_join,
+                                   op11_nearest, op12_manifest, op13_lexical_search)}
