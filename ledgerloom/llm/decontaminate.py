@@ -160,6 +160,8 @@ def verdicts(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without those that hold a window of an item; ``doc_id`` must be a key."""
-    hit = find(documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"))
-    return documents.join(hit, documents["doc_id"] == hit["hit_id"], "left_anti")
+    """The documents without those that hold a window of an item, told apart by id and text, so null and repeated ids do no harm."""
+    key = F.xxhash64("doc_id", "text")
+    hit = find(documents.select(key.alias("doc_id"), "text"), benchmark, window).where("n_hit > 0")
+    keyed = documents.withColumn("_d_key", key)
+    return keyed.join(hit.select(F.col("doc_id").alias("_d_hit")), F.col("_d_key") == F.col("_d_hit"), "left_anti").select(*documents.columns)

@@ -45,8 +45,8 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, longest: int =
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
                           & (F.octet_length("text") <= longest)).select("lang", "text", F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
-    keys = (rows.select("lang", "h").withColumn("rank", F.dense_rank().over(order))
-            .where(F.col("rank") <= per_language).select("lang", "h").distinct())
+    keys = (rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= per_language).select("lang", "h"))
     chosen = rows.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     return sorted((r["lang"], r["text"]) for r in chosen.collect())
 

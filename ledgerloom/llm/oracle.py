@@ -30,7 +30,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 
 OP9 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (
   SELECT r, i, md5(array_to_string(w[i:i + 4], ' ')) AS h
@@ -42,7 +42,7 @@ full_lines AS (SELECT * FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),
 norm AS (SELECT r, host, text, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM full_lines),
-hosts AS (SELECT host, greatest(20, count(*) * 0.05) AS lim FROM d GROUP BY host),
+hosts AS (SELECT host, greatest(20, count(DISTINCT text) * 0.05) AS lim FROM d GROUP BY host),
 common AS (SELECT host, line FROM norm GROUP BY host, line
            HAVING count(DISTINCT text) > (SELECT lim FROM hosts WHERE hosts.host = norm.host)),
 gone AS (SELECT r, sum(words) AS n FROM norm JOIN common USING (host, line) GROUP BY r),
@@ -117,7 +117,11 @@ cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last F
 front AS (SELECT gaps.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM gaps JOIN d USING (r) GROUP BY gaps.r)
 SELECT doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN last IS NULL THEN d.h ELSE front.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+  sha256(unhex(CASE WHEN last IS NULL THEN d.h ELSE front.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256,
+  decode(unhex(replace(array_to_string(regexp_extract_all(
+    regexp_replace(CASE WHEN last IS NULL THEN d.h ELSE front.h || substr(d.h, 2 * last + 1) END, '(..)', ' \1', 'g'),
+    '( [0-7].| C[2-9A-F] [89AB].| D. [89AB].| E0 [AB]. [89AB].| E[1-9A-CEF] [89AB]. [89AB].| ED [89]. [89AB].'
+    || '| F0 [9AB]. [89AB]. [89AB].| F[1-3] [89AB]. [89AB]. [89AB].| F4 8. [89AB]. [89AB].)'), ''), ' ', ''))) AS text
 FROM d LEFT JOIN cut USING (r) LEFT JOIN front USING (r)
 """
 

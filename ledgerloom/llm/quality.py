@@ -101,7 +101,7 @@ def measures(documents: DataFrame, min_words: int = MIN_WORDS,
 def _content(host: str) -> list[Column]:
     """Identity of host and text: what a verdict depends on."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_q_host"),
+    return [F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_q_host"),
             F.xxhash64(text).alias("_q_a"), F.xxhash64(text, F.lit(1)).alias("_q_b")]
 
 
@@ -171,7 +171,7 @@ def depleted(documents: DataFrame, host: str = "source", **limits: float) -> Dat
 
 
 def verdicts(documents: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """The documents with all measures and ``kept``."""
+    """The documents with all measures and ``kept``; a measure takes the place of a column of its name."""
     gone = depleted(documents, host, **limits).withColumn("_q_gone", F.lit(True))
     measured = measures(documents)
     identity = measured.select("*", *_content(host)).drop("text")
@@ -193,8 +193,9 @@ def keep(documents: DataFrame, host: str = "source", **limits: float) -> DataFra
     """
     found = materialize(stripped(documents, host, **limits), "stripped")
     # Through a generator, as a filter on computed columns would be pushed down and computed again and again.
-    fine = (measures(documents).select(*documents.columns, *_content(host),
-                                       F.explode(F.array(~F.col("base_failed"))).alias("_q_fine")).where("_q_fine"))
+    whole = documents.select(F.struct(*documents.columns).alias("_q_own"), *_content(host), "text")
+    fine = (measures(whole).select("_q_own.*", "_q_host", "_q_a", "_q_b",
+                                   F.explode(F.array(~F.col("base_failed"))).alias("_q_fine")).where("_q_fine"))
     kept = fine.join(found, ["_q_host", "_q_a", "_q_b"], "left").where(~F.coalesce("_q_gone", F.lit(False)))
     changed = F.col("_q_common").isNotNull()
     kept = kept.withColumn("text", F.when(changed, _without(F.col("text"), F.col("_q_common"))).otherwise(F.col("text")))

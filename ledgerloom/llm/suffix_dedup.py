@@ -377,7 +377,10 @@ def _with_intervals(documents: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: bytes, bytes removed, removed runs, SHA-256 of the rest."""
+    """Per document: bytes, bytes removed, removed runs, SHA-256 of the rest, and the rest as text.
+
+    A character that is cut in two is missing in the text, not in the bytes that the digest is of.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")),
@@ -388,13 +391,13 @@ def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 runs = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum())
             else:
                 rest, runs = text, 0
-            rows.append((doc, len(text), len(text) - len(rest), runs, hashlib.sha256(rest).hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
+            rows.append((doc, len(text), len(text) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
     return map_batches(_with_intervals(documents, length, gram), run,
-                       "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", rows=200)
+                       "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string", rows=200)
 
 
 def rewrite(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:

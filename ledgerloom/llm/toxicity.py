@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_batches, smallest, texts_of
 from ledgerloom.llm.decontaminate import FOLD
 from ledgerloom.llm.recurrent import Arrays, Layer, sigmoid
+from ledgerloom.session import materialize
 
 WINDOW = 32
 STRIDE = 24
@@ -267,20 +268,22 @@ def fit(rows: list[tuple[bytes, int]], steps: int = STEPS, seed: int = 4) -> Net
 
 def sample(documents: DataFrame, labels: DataFrame, learn: Column, positive: int = POSITIVE, negative: int = NEGATIVE,
            longest: int = LONGEST) -> list[tuple[bytes, int]]:
-    """A bounded, repeatable choice of labelled texts; texts with both labels are left out."""
+    """A bounded, repeatable choice of labelled texts; texts with both labels are left out.
+
+    Only ids and hashes meet the labels; the texts of the chosen hashes come from one more scan.
+    """
     marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("l_doc"), F.col("toxic").cast("int").alias("toxic"))
     rows = (documents.where(learn & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-            .select("doc_id", "text", F.xxhash64("text").alias("h"))
-            .join(marked, F.col("doc_id") == F.col("l_doc")).select("h", "text", "toxic"))
-    keys = rows.groupBy("h").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    chosen = []
-    for label, most in ((1, positive), (0, negative)):
-        own = smallest(keys.where(F.col("toxic") == label).select("h"), most)
-        spark = documents.sparkSession
-        asked = F.broadcast(spark.createDataFrame([(h,) for h in own], "h bigint"))
-        found = rows.join(asked, "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
-        chosen.extend((r["text"].encode(), label) for r in found)
-    return chosen
+            .select("doc_id", "text", F.xxhash64("text").alias("h")))
+    known = materialize(rows.select("doc_id", "h").join(marked, F.col("doc_id") == F.col("l_doc")).select("h", "toxic"), "labelled")
+    keys = known.groupBy("h").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    own = {h: label for label, most in ((1, positive), (0, negative))
+           for h in smallest(keys.where(F.col("toxic") == label).select("h"), most)}
+    if not own:
+        return []
+    asked = F.broadcast(documents.sparkSession.createDataFrame([(h,) for h in own], "h bigint"))  # at most positive + negative
+    found = rows.join(asked, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).collect()
+    return [(r["text"].encode(), own[r["h"]]) for r in sorted(found, key=lambda r: (-own[r["h"]], r["h"]))]
 
 
 def score(documents: DataFrame, network: Network | None, *carry: Column) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -159,7 +160,7 @@ def test_repeated_strings_equal_brute_force(spark):
             for d, i in places:
                 cut[d][i:i + length] = True
     want = sorted((min(d, 7), len(t), int(c.sum()), int(c[:1].sum()) + int((c[1:] & ~c[:-1]).sum()),
-                   hashlib.sha256(np.frombuffer(t, np.uint8)[~c].tobytes()).hexdigest()) for d, (t, c) in enumerate(zip(raw, cut, strict=True)))
+                   hashlib.sha256(rest := np.frombuffer(t, np.uint8)[~c].tobytes()).hexdigest(), rest.decode("utf-8", "ignore")) for d, (t, c) in enumerate(zip(raw, cut, strict=True)))
     assert sorted(tuple(r) for r in suffix_dedup.remove(rows, length, gram).collect()) == want
     left = {r.doc_id: r.text for r in suffix_dedup.rewrite(rows.where("doc_id < 7"), length, gram).collect()}
     assert left[3] is None and left[4] == "" and len(left[2].encode()) < 120
@@ -239,6 +240,8 @@ def test_decontamination_spans_and_blocks(spark, odd):
         assert [text[s.start:s.start + s.length].lower().split()[-1] for s in found[1].spans][-1] == "one"
         assert found[2].n_words == found[3].n_words == found[4].n_hit == 0
     assert decontaminate.remove(rows, items).count() == 3
+    unnamed = spark.createDataFrame([(None, text), (None, "clean"), (None, None), (1, "clean")], "doc_id long, text string")
+    assert {r.text for r in decontaminate.remove(unnamed, items).collect()} == {"clean", None}
     assert decontaminate.verdicts(odd, items.limit(0)).where("contaminated").count() == 0
 
 
@@ -278,6 +281,16 @@ def test_quality_rejects_depleted_documents(spark, odd, none):
     judged = quality.verdicts(odd)
     assert judged.count() == 13 and judged.where("kept").count() == 0 and quality.verdicts(none).count() == 0
     assert quality.keep(odd).columns == odd.columns
+    own = frame.withColumn("n_words", F.lit(777)).withColumn("base_failed", F.lit("mine"))
+    assert {(r.n_words, r.base_failed) for r in quality.keep(own).collect()} == {(777, "mine")}
+
+
+def test_quality_tells_null_and_empty_hosts_apart(spark):
+    line = "one line that many of the documents of both these hosts have got in common"
+    rows = [(i, f"{line}\nw{i} x{i}", None if i % 2 else "") for i in range(24)]  # 12 a host: below the limit of 20
+    rows += [(100 + i, " ".join(f"y{i}z{j}" for j in range(12)), None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.verdicts(frame).where("kept").count() == 29
 
 
 def test_jaccard_equals_brute_force(spark, odd, none):
