@@ -10,67 +10,110 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import sqltext as sql
 from ledgerloom.functions.text import WHITESPACE
 
-# --- fixed values: accepted date shapes and their formats, month-first before day-first --
-_FORMATS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", ("yyyy-M-d['T'][ ]H:mm:ss",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}\.\d{1,6}$",
-     ("yyyy-M-d['T'][ ]H:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}$", ("yyyy-M-d['T'][ ]H:mm",)),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [APap][Mm]$",
-     ("M/d/yyyy h:mm a", "d/M/yyyy h:mm a")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
-     ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [APap][Mm]$",
-     ("M/d/yyyy h:mm:ss a", "d/M/yyyy h:mm:ss a")),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", ("M-d-yy", "d-M-yy")),
-    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ("MMM d[','] yyyy",)),
-    (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ("MMMM d[','] yyyy",)),
-    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ("d[ ]['-']MMM[ ]['-']yyyy",)),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ("d MMMM yyyy",)),
-    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$", ("d[ ]['-']MMM[ ]['-']yy",)),
-    (r"^[A-Za-z]{3}-\d{1,2}-\d{4}$", ("MMM-d-yyyy",)),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
-    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ("yyyy.M.d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2} [APap][Mm]$", ("yyyy-M-d h:mm a",)),
-    (r"^\d{4}-\d{2}$", ("yyyy-MM",)),
-    (r"^\d{1,2}/\d{4}$", ("M/yyyy",)),
-    (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
-    (r"^[A-Za-z]{4,9} \d{4}$", ("MMMM yyyy",)),
-    (r"^\d{8}$", ("yyyyMMdd",)),
-)
-
-
-def _try_format(fmt: str) -> str:
-    parsed = f"cast(try_to_timestamp(t, {sql.pattern(fmt)}) as timestamp_ntz)"
-    if "yyyy" in fmt:
-        return parsed
-    # a two-digit year is read within 50 years of today
-    return (f"if(year({parsed}) >= year(current_date()) + 50, "
-            f"{parsed} - INTERVAL '100' YEAR, {parsed})")
+# --- fixed values: month, weekday and zone names -----------------------------------------
+_MONTH = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+          "sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_WEEKDAY = "(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?"
+_ZONE = r"z|utc|gmt|[ecmp][sd]t|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?"
+
+# A date is two or three parts, each a number or a month's name, or eight digits; a clock may follow it.
+_PART = rf"(?:({_MONTH})\.?|(\d{{1,4}})(?:st|nd|rd|th)?)"
+_BETWEEN = r"(\s*[-/.]\s*|,\s*|\s+|(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z]))"
+_CLOCK = rf"(\d{{1,2}})(?::(\d{{2}})(?::(\d{{2}})(?:[.,](\d{{1,9}}))?)?)?(?:\s*([ap])\.?m\.?)?(?:\s*(?:{_ZONE}))?"
+_TEXT = (rf"(?i)^(?:{_WEEKDAY}\.?,?\s+)?(?:(\d{{4}})(\d{{2}})(\d{{2}})|{_PART}{_BETWEEN}{_PART}(?:{_BETWEEN}{_PART})?)"
+         rf"(?:(?:t|\s+at\s+|,?\s+){_CLOCK})?$")
+_GROUPS = ("y8 m8 d8 name1 number1 between1 name2 number2 between2 name3 number3 hour minute second fraction half").split()
+_SPLIT = "#;" + ";".join(f"${i}" for i in range(1, len(_GROUPS) + 1))
+
+FIRST_YEAR, LAST_YEAR = 1678, 2261
+
+
+def _group(name: str) -> str:
+    return f"g[{_GROUPS.index(name) + 1}]"
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _kind(i: int) -> str:
+    """m: a month's name, y: four digits, d: one or two digits, x: three digits, nothing: no such part."""
+    digits = f"length({_group(f'number{i}')})"
+    return (f"CASE WHEN {_group(f'name{i}')} <> '' THEN 'm' WHEN {digits} = 0 THEN '' WHEN {digits} = 4 THEN 'y' "
+            f"WHEN {digits} <= 2 THEN 'd' ELSE 'x' END")
+
+
+def _value(i: int) -> str:
+    name = _group(f"name{i}")
+    return (f"if({name} <> '', cast((locate(lower(left({name}, 3)), '{_MONTHS}') + 2) / 3 as int), "
+            f"try_cast({_group(f'number{i}')} as int))")
+
+
+def _parts() -> str:
+    """Which part is year, month and day, by the kinds of the parts."""
+    def ymd(y: str, m: str, d: str) -> str:
+        return f"named_struct('y', {y}, 'm', {m}, 'd', {d})"
+
+    def either(y: str, a: str, b: str) -> str:  # month first, unless it can't be one
+        return f"if({a} <= 12, {ymd(y, a, b)}, {ymd(y, b, a)})"
+
+    def near(v: str) -> str:  # a two-digit year is read within 50 years of today
+        return f"{v} + if({v} + 2000 >= year(current_date()) + 50, 1900, 2000)"
+
+    a, b, c = "v[0]", "v[1]", "v[2]"
+    one, two = f"trim({_group('between1')})", f"trim({_group('between2')})"
+    numbers = f"{one} IN ('-', '/', '.') AND {one} = {two}"
+    short = f"{one} IN ('-', '/')"
+    rules = {
+        "mdy": ymd(c, a, b), "dmy": ymd(c, b, a), "ymd": ymd(a, b, c), "ydm": ymd(a, c, b), "myd": ymd(b, a, c),
+        "mdd": ymd(near(c), a, b),
+        "dmd": f"if({a} > 31, {ymd(near(a), b, c)}, {ymd(near(c), b, a)})",
+        "ydd": f"if({numbers}, {either(a, b, c)}, null)",
+        "ddy": f"if({numbers}, {either(c, a, b)}, null)",
+        "ddd": f"if({numbers}, if({a} > 31, {either(near(a), b, c)}, {either(near(c), a, b)}), null)",
+        "my": ymd(b, a, "1"), "ym": ymd(a, b, "1"),
+        "yd": f"if({short}, {ymd(a, b, '1')}, null)", "dy": f"if({short}, {ymd(b, a, '1')}, null)",
+    }
+    return "CASE k " + " ".join(f"WHEN '{kinds}' THEN {rule}" for kinds, rule in rules.items()) + " END"
+
+
+def _clock() -> str:
+    """``h``, ``mi``, ``s``; null hour where the clock has neither minutes nor a half of the day, or no such hour."""
+    hour, half = f"try_cast({_group('hour')} as int)", f"lower({_group('half')})"
+    twelve = f"if({hour} BETWEEN 1 AND 12, {hour} % 12 + if({half} = 'p', 12, 0), null)"
+    h = (f"CASE WHEN {_group('hour')} = '' THEN 0 WHEN {half} <> '' THEN {twelve} "
+         f"WHEN {_group('minute')} <> '' AND {hour} < 24 THEN {hour} END")
+    second = f"try_cast(concat('0', {_group('second')}, '.', left({_group('fraction')}, 6), '0') as decimal(16,6))"
+    return (f"named_struct('h', {h}, 'mi', coalesce(try_cast({_group('minute')} as int), 0), "
+            f"'s', if({second} < 60, {second}, null))")
 
 
 @cache
 def _parse_sql() -> str:
-    return "CASE " + " ".join(
-        f"WHEN t RLIKE {sql.pattern(shape)} THEN coalesce({', '.join(map(_try_format, formats))})"
-        for shape, formats in _FORMATS) + " END"
+    """The text ``t`` is split once into its parts; everything after works on these."""
+    stamp = (f"if(p.y BETWEEN {FIRST_YEAR} AND {LAST_YEAR}, "
+             "try_make_timestamp_ntz(p.y, p.m, p.d, c.h, c.mi, c.s), null)")
+    values = ", ".join(_value(i) for i in (1, 2, 3))
+    kinds = ", ".join(_kind(i) for i in (1, 2, 3))
+    digits = ", ".join(f"'{n}', try_cast({_group(n + '8')} as int)" for n in ("y", "m", "d"))
+    parts = (f"if({_group('y8')} <> '', named_struct({digits}), "
+             + _bind(f"concat({kinds})", "k", _bind(f"array({values})", "v", _parts())) + ")")
+    whole = _bind(parts, "p", _bind(_clock(), "c", stamp))
+    split = f"split(regexp_replace(t, {sql.pattern(_TEXT)}, '{_SPLIT}'), ';', -1)"
+    return _bind(split, "g", f"if(g[0] = '#' AND size(g) = {len(_GROUPS) + 1}, {whole}, null)")
 
 
 def parse_dates(column: str) -> Column:
-    """Array holding the parsed TIMESTAMP_NTZ, empty where no accepted shape matches.
-
-    The shape test picks the formats worth trying, so a row
-    pays for one or two parse attempts, and formats Spark reads more loosely than intended
-    never see the text.  Month names are matched without regard to case.  The one-element
-    array binds the text, so that it is computed once and not spelled out again in every
-    branch; exploding the result drops unreadable rows without parsing a second time in a
-    pushed-down filter.
+    """Array holding the parsed TIMESTAMP_NTZ, empty where the text is no date.
+
+    One regular expression splits the text into numbers, a month's name and a clock; their kinds decide
+    what they are: four digits are a year, of two numbers the first is the month unless it is above 12, a number
+    above 31 in front is a year.  Weekdays, ordinal endings and time zones are read over: the time stays as written.
+    A date needs a year; without a day it is the first of the month.  The one-element
+    array binds the text, so that it is computed once; exploding the result drops unreadable rows
+    without parsing a second time in a pushed-down filter.
     """
     bound = f"array(btrim({column}, {sql.text(WHITESPACE)}))"
     return F.expr(f"filter(transform({bound}, t -> {_parse_sql()}), d -> d IS NOT NULL)")

@@ -13,13 +13,21 @@ LEDGER_MONEY = "decimal(28,4)"
 REPORT_MONEY = "decimal(28,2)"
 
 
-def parse_amount(text: Column) -> Column:
-    """Money text to DECIMAL(28,4), 24 digits before the point; anything unreadable, and null, is 0.
+def read_amount(text: Column) -> Column:
+    """Money text to DECIMAL(28,4), 24 digits before the point; null where it is unreadable.
 
     ``(`` is read as a minus sign, so ``(5.00)`` is -5 and ``-(5)`` is unreadable.
     """
-    cleaned = F.translate(text, "(,$)" + WHITESPACE, "-")
-    return F.coalesce(cleaned.try_cast(LEDGER_MONEY), F.lit(Decimal(0)).cast(LEDGER_MONEY))
+    return F.translate(text, "(,$)" + WHITESPACE, "-").try_cast(LEDGER_MONEY)
+
+
+def or_zero(amount: Column) -> Column:
+    return F.coalesce(amount, F.lit(Decimal(0)).cast(LEDGER_MONEY))
+
+
+def parse_amount(text: Column) -> Column:
+    """Money text to DECIMAL(28,4); anything unreadable, and null, is 0."""
+    return or_zero(read_amount(text))
 
 
 def report_money(value: Column | float | int | Decimal) -> Column:

@@ -1,6 +1,8 @@
 """Scan statement files of any layout into one stored relation.
 
-``raw_cells``: ``file``, ``file_name``, ``block``, ``row_id``, ``cells ARRAY<STRING>``.
+``raw_cells``: ``file``, ``file_name``, ``block``, ``row_id``, ``cells ARRAY<STRING>``.  ``row_id`` counts the rows of a
+file that aren't blank from 0, so it depends on the file alone: not on how it is split, nor on other files.
+A file that can't be read is left out and listed with the reason, see :func:`scan`.
 
 CSV files are read as lines, in splits, so a huge export is spread over many tasks and rows
 may have any number of columns.  Only files with line breaks inside quoted cells are read
@@ -11,7 +13,10 @@ decided later per file (:func:`utf8_text`, :func:`is_utf8`), so both encodings c
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +35,10 @@ NULL_TEXTS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+UNCLOSED, NO_WORKBOOK, OTHER_KIND = "quoted cell never closed", "no readable workbook", "neither csv nor xlsx"
+#: Splits up to this number, at 32 bytes each, are sent to every task to number rows; more are joined by shuffle.
+SENT_SPLITS = 1_000_000
+
 _CSV_FILES = "*.[cC][sS][vV]"
 _EXCEL_FILES = "*.[xX][lL][sS][xX]"
 
@@ -39,6 +48,14 @@ _CELL = rf',({_QUOTED}|[^,]*+)'
 _COMPLETE = rf'^(?:,(?:{_QUOTED}|(?!")[^,]*+))*+$'
 
 
+@dataclass(frozen=True)
+class Scan:
+    """``cells`` of the files that could be read; ``file, file_name, reason`` of those that couldn't."""
+
+    cells: DataFrame
+    skipped: DataFrame
+
+
 def utf8_text(latin: Column) -> Column:
     """The same bytes read as UTF-8."""
     return F.encode(latin, "ISO-8859-1").cast("string")
@@ -77,16 +94,34 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], blank: bool) -> DataFrame:
+    """Lines as they come, numbered through the whole scan; blank ones are left out before that or stay."""
     text = (spark.read.option("recursiveFileLookup", True)
             .option("pathGlobFilter", _CSV_FILES).text(paths))
     line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    if not blank:
+        text = text.where(strip(line) != "")
     return text.select(*_file_columns(), line.alias("line"))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Row ids that count the rows of a file, for rows of a stored scan.
+
+    The rows of a split are numbered without gaps, so a row's place is its distance to the split's first row
+    plus the rows of the file's splits before; only one row a split is aggregated and joined.
+    """
+    splits = lines.groupBy("file", "block").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    shifts = materialize(splits.select(F.xxhash64("file").alias("_file"), F.col("block").alias("_block"),
+                                       (before - F.col("first")).alias("_shift")), "split-rows")
+    if shifts.count() <= SENT_SPLITS:
+        shifts = F.broadcast(shifts)
+    same = (F.xxhash64("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    return lines.join(shifts, same).withColumn("row_id", F.col("row_id") + F.col("_shift")).drop("_file", "_block", "_shift")
+
+
 def _split_lines(lines: DataFrame) -> DataFrame:
-    """One row per line that is not blank."""
-    return lines.where(strip(F.col("line")) != "").select(
+    return lines.select(
         "file", "file_name", "block", "row_id", _split_line(F.col("line")).alias("cells"),
         _is_open(F.col("line")).alias("open"))
 
@@ -95,8 +130,8 @@ def _odd(count: Column) -> Column:
     return count % 2 == 1
 
 
-def _join_open_lines(lines: DataFrame) -> DataFrame:
-    """Join lines that belong to one record because a quoted cell spans them.
+def _join_open_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Join lines that belong to one record because a quoted cell spans them; and the files that end inside one.
 
     Whether a line starts inside a quoted cell depends on everything before it in the file.
     A line either forces the state after it, or keeps it, or flips it, and so does a whole
@@ -137,10 +172,8 @@ def _join_open_lines(lines: DataFrame) -> DataFrame:
     )
     splits = materialize(splits, "splits")
     ends = splits.groupBy("file").agg(F.max_by("after", "block").alias("inside"))
-    unclosed = ends.where("inside").select("file").limit(10).collect()
-    if unclosed:
-        raise ValueError("quoted cell never closed in " + ", ".join(r.file for r in unclosed))
-    splits = splits.drop("after")
+    unclosed = ends.where("inside").select("file")
+    splits = splits.drop("after").join(unclosed, "file", "left_anti")
     states = (
         marked.join(splits, ["file", "block"])
         .withColumn("after", since("last", "flips", F.col("initial")))
@@ -160,37 +193,45 @@ def _join_open_lines(lines: DataFrame) -> DataFrame:
     begins = F.when(F.col("start").isNotNull(), F.struct("block", F.col("start").alias("row_id"))
                     ).otherwise(F.col("carried"))
     parts = F.array_sort(F.collect_list(F.struct("block", "row_id", "line")))
-    return (
+    records = (
         starts.join(carried, ["file", "block"])
         .groupBy("file", "file_name", begins.alias("begins"))
         .agg(F.concat_ws("\n", F.transform(parts, lambda p: p["line"])).alias("line"))
+        .where(strip(F.col("line")) != "")
         .select("file", "file_name", "begins.block", "begins.row_id", "line")
     )
+    own = records.groupBy("file", "block").agg(F.count("*").alias("n")).select(
+        "file", "block", (F.sum("n").over(in_file) - F.col("n")).alias("_before"))
+    placed = records.withColumn("row_id", F.row_number().over(in_split) - 1).join(own, ["file", "block"])
+    return placed.withColumn("row_id", F.col("row_id") + F.col("_before")).drop("_before"), unclosed
 
 
-def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+def csv_cells(spark: SparkSession, path: str) -> Scan:
     """Cells of all ``*.csv`` files below ``path``, stored in the scratch folder."""
-    lines = materialize(_split_lines(_lines(spark, path)), "lines")
-    broken = materialize(lines.where("open").select("file").distinct(), "broken")
+    lines = _numbered(materialize(_split_lines(_lines(spark, path, blank=False)), "lines"))
+    broken = materialize(lines.where("open").select("file", "file_name").distinct(), "broken")
     if broken.isEmpty():
-        return lines.drop("open")
-    again = _lines(spark, path).join(broken, "file", "left_semi")
-    records = materialize(
-        _split_lines(_join_open_lines(materialize(again, "reread"))).drop("open"), "records")
+        return Scan(lines.drop("open"), broken.withColumn("reason", F.lit(UNCLOSED)))
+    again = materialize(_lines(spark, path, blank=True).join(broken, "file", "left_semi"), "reread")
+    joined, unclosed = _join_open_lines(again)
+    records = materialize(_split_lines(joined).drop("open"), "records")
     intact = lines.drop("open").join(broken, "file", "left_anti")
-    return intact.unionByName(records)
+    bad = materialize(broken.join(unclosed, "file", "left_semi").withColumn("reason", F.lit(UNCLOSED)), "unclosed")
+    return Scan(intact.unionByName(records), bad)
 
 
 def _sheet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, name, content in zip(batch["path"], batch["name"], batch["content"]):
-            for start, rows in workbook.first_sheet_batches(content):
-                yield pd.DataFrame({
-                    "file": path, "file_name": name, "block": 0,
-                    "row_id": range(start, start + len(rows)), "cells": rows})
+            own = {"file": path, "file_name": name, "block": 0}
+            try:
+                for start, rows in workbook.first_sheet_batches(content):
+                    yield pd.DataFrame({**own, "row_id": range(start, start + len(rows)), "cells": rows})
+            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError):
+                yield pd.DataFrame({**own, "row_id": [-1], "cells": [None]})
 
 
-def excel_cells(spark: SparkSession, path: str) -> DataFrame | None:
+def excel_cells(spark: SparkSession, path: str) -> Scan | None:
     """Cells of the first sheet of all ``*.xlsx`` files, stored; None without such files.
 
     A sheet holds at most 1,048,576 rows, which bounds the work per file.  ``row_id`` is the
@@ -203,17 +244,39 @@ def excel_cells(spark: SparkSession, path: str) -> DataFrame | None:
     named = files.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "content")
     as_bytes = F.transform("cells", lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
     sheets = named.mapInPandas(_sheet_batches, RAW_SCHEMA).withColumn("cells", as_bytes)
-    return materialize(sheets, "sheets")
+    stored = materialize(sheets, "sheets")
+    bad = stored.where("row_id < 0").select("file", "file_name", F.lit(NO_WORKBOOK).alias("reason"))
+    return Scan(stored.join(bad, "file", "left_anti"), bad)
 
 
-def raw_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All statement files below ``path``, CSV and Excel, as one stored relation.
+def _other_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of other kinds; only their names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    other = files.where(~F.lower(name).rlike(r"\.(csv|xlsx)$"))
+    return other.select(F.col("path").alias("file"), name.alias("file_name"), F.lit(OTHER_KIND).alias("reason"))
+
+
+def scan(spark: SparkSession, path: str) -> Scan:
+    """All statement files below ``path``, CSV and Excel, as one stored relation, and the files left out.
 
-    Stored, because row ids must not change between the detection passes and the final
-    read, and because text is then parsed only once.
+    Stored, because text is then parsed only once.  A file that can't be read doesn't hold up the others.
     """
-    csv, excel = csv_cells(spark, path), excel_cells(spark, path)
-    return csv if excel is None else csv.unionByName(excel)
+    found = [s for s in (csv_cells(spark, path), excel_cells(spark, path)) if s is not None]
+    cells, skipped = found[0].cells, found[0].skipped
+    for more in found[1:]:
+        cells, skipped = cells.unionByName(more.cells), skipped.unionByName(more.skipped)
+    return Scan(cells, skipped.unionByName(_other_files(spark, path)))
+
+
+def raw_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a scan; an error if there are statement files and none can be read."""
+    found = scan(spark, path)
+    if found.cells.isEmpty():
+        bad = found.skipped.where(F.col("reason") != OTHER_KIND).limit(10).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r.reason}: {r.file}" for r in bad))
+    return found.cells
 
 
 def preview(raw: DataFrame, rows: int = 15) -> DataFrame:

@@ -3,7 +3,10 @@
 The result has one row per file: ``file``, ``file_name``, ``utf8``, ``names``,
 ``header_block``, ``header_row`` and 0-based ``date_pos``, ``desc_pos``, ``amount_pos``,
 ``debit_pos``, ``credit_pos``.  No step gathers a file's rows in one place: the first rows
-come from a group-limited window, everything else from map-side combined aggregates.
+are those with the lowest row ids, everything else comes from map-side combined aggregates.
+
+A file is as wide as most of its rows, so single rows with more or fewer cells don't move its header.  A name that
+occurs again is numbered: ``Amount``, ``Amount.1``, ``Amount.2``.
 """
 
 from __future__ import annotations
@@ -56,8 +59,18 @@ def _names(header: Column, columns: Column) -> Column:
         named = strip(F.regexp_replace(cell, "^﻿", ""))
         return F.when(cell.isNull() | (cell == ""), blank).otherwise(named)
 
-    return F.when(columns > 0, F.transform(F.sequence(F.lit(0), columns - 1), name)).otherwise(
+    named = F.when(columns > 0, F.transform(F.sequence(F.lit(0), columns - 1), name)).otherwise(
         F.array().cast("array<string>"))
+    # bound by a lambda, so that the names are made once
+    return F.get(F.transform(F.array(named), _told_apart), F.lit(0))
+
+
+def _told_apart(names: Column) -> Column:
+    """Names that stand further to the left already get the number of times they do."""
+    def numbered(name: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda n: n == name))
+        return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
+    return F.transform(names, numbered)
 
 
 def _role_position(names: Column, pattern: str) -> Column:
@@ -67,15 +80,13 @@ def _role_position(names: Column, pattern: str) -> Column:
 
 def header_rows(raw: DataFrame) -> DataFrame:
     """Header row, column names and encoding per file."""
-    stats = raw.groupBy("file", "file_name").agg(
-        F.max(F.size("cells")).alias("columns"),
-        F.bool_and(is_utf8(F.concat_ws("", "cells"))).alias("utf8"),
-    )
-    in_file = Window.partitionBy("file").orderBy("block", "row_id")
+    widths = raw.groupBy("file", "file_name", F.size("cells").alias("width")).agg(
+        F.count("*").alias("n"), F.bool_and(is_utf8(F.concat_ws("", "cells"))).alias("utf8"))
+    stats = widths.groupBy("file", "file_name").agg(
+        F.max_by("width", F.struct("n", "width")).alias("columns"), F.bool_and("utf8").alias("utf8"))
     first_rows = (
-        raw.select("file", "block", "row_id", "cells",
-                   F.row_number().over(in_file).alias("rn"))
-        .where(F.col("rn") <= HEADER_SEARCH_ROWS + 1)
+        raw.where(F.col("row_id") <= HEADER_SEARCH_ROWS)
+        .select("file", "block", "row_id", "cells", (F.col("row_id") + 1).cast("int").alias("rn"))
         .groupBy("file")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "block", "row_id", "cells"))).alias("rows"))
     )
@@ -97,16 +108,14 @@ def header_rows(raw: DataFrame) -> DataFrame:
         .select("file", "file_name", "utf8",
                 F.col("header.block").alias("header_block"),
                 F.col("header.row_id").alias("header_row"),
-                _names(F.col("header"), F.col("columns")).alias("names"))
+                _names(F.col("header"), F.greatest("columns", F.size("header.cells"))).alias("names"))
     )
 
 
 def data_rows(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows below each file's header, with that file's mapping columns."""
     joined = raw.drop("file_name").join(mapping, "file")
-    return joined.where(
-        (F.col("block") > F.col("header_block"))
-        | ((F.col("block") == F.col("header_block")) & (F.col("row_id") > F.col("header_row"))))
+    return joined.where(F.col("row_id") > F.col("header_row"))
 
 
 def _filled_cells(raw: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -159,14 +168,20 @@ def detect_columns(raw: DataFrame) -> DataFrame:
 
 
 def override_columns(mapping: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Apply user choices: ``file_name`` plus column names per role.
+    """Apply user choices: ``file`` (the whole path) or ``file_name``, plus column names per role.
 
     ``overrides`` has any of the columns ``date desc amount debit credit``; null keeps the
-    detected column, ``(none)`` unmaps the role.
+    detected column, ``(none)`` unmaps the role.  A name that the file doesn't have is an error.
     """
     roles = [r for r in ROLE_PATTERNS if r in overrides.columns]
-    chosen = overrides.select("file_name", *(F.col(r).alias(f"_{r}") for r in roles))
-    joined = mapping.join(chosen, "file_name", "left")
+    key = "file" if "file" in overrides.columns else "file_name"
+    chosen = overrides.select(key, *(F.col(r).alias(f"_{r}") for r in roles))
+    joined = mapping.join(chosen, key, "left")
+    wanted = F.array_compact(F.array(*(F.col(f"_{r}") for r in roles), F.lit(None).cast("string")))
+    unknown = F.filter(wanted, lambda n: (n != NO_COLUMN) & ~F.array_contains("names", n))
+    wrong = joined.where(F.size(unknown) > 0).select("file", unknown.alias("n"), "names").limit(10).collect()  # one row a file
+    if wrong:
+        raise ValueError("; ".join(f"no column {', '.join(r.n)} in {r.file}, only {', '.join(r.names)}" for r in wrong))
     for role in roles:
         wanted = F.col(f"_{role}")
         position = F.array_position("names", wanted).cast("int")
