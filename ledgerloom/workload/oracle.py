@@ -7,6 +7,7 @@ summary.  Only names and rule texts come from the dimension data.
 from __future__ import annotations
 
 from ledgerloom import dims
+from ledgerloom.workload import intake
 from ledgerloom.workload.ledger import ledger_sql
 from ledgerloom.workload.queries import amount_text_sql
 
@@ -552,4 +553,4 @@ UNION ALL SELECT account, 'change_in_net_assets', CAST(tr - te + nt AS DOUBLE) F
         "stream_accumulate": f"{CLASSIFIED}, once AS (SELECT DISTINCT account, txn_ts, description, "
                              "amount, category FROM classified) SELECT account, category, COUNT(*) AS "
                              f"n, {money('SUM(amount)')} AS net FROM once GROUP BY account, category",
-    }
+    } | intake.oracle_sql(CLASSIFIED)

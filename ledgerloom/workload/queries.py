@@ -17,6 +17,7 @@ from ledgerloom.session import scratch_path
 from ledgerloom.sources import archive
 from ledgerloom.sources.statements import read_statements
 from ledgerloom.streaming.accumulate import DELIVERY_SCHEMA, accumulate
+from ledgerloom.workload import intake
 from ledgerloom.workload.ledger import deposits, ledger, table, withdrawals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,4 +313,4 @@ def queries() -> dict[str, Query]:
         "default_accounts": default_accounts,
         "ingest_csv_mixed": ingest_csv_mixed,
         "stream_accumulate": stream_accumulate,
-    }
+    } | intake.queries()
