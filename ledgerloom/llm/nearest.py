@@ -12,9 +12,11 @@ Inner products become distances by one more coordinate: vectors are lifted to th
 (largest inner product then means smallest distance).  Scores are inner products of the original vectors in double precision.
 
 At scale: equal vectors are one class, of which the ``k + 1`` smallest ids can be in a result, and queries with equal
-vectors are searched once.  Lists and their queries are cut into blocks of at most ``BLOCK_BYTES`` a side before they meet,
-so a list that holds a third of all rows is many groups of bounded size; each keeps its best ``k + 1`` a query.  What
-every task holds are the centroids, at most ``SAMPLE_BYTES / LEAF_SAMPLE`` bytes, whatever the size of the table.
+vectors are searched once.  The lists, one after the other, are cut into as many shelves of equal size as there are shuffle
+partitions, so a list that holds a third of all rows is spread over a third of the shelves.  A query goes once to each shelf
+with lists that it visits; the queries of a shelf are cut into blocks of at most ``BLOCK_BYTES``, which a task holds while the
+shelf's rows stream by, and of which it keeps the best ``k + 1`` a query.  What every task holds besides are the centroids, at most
+``SAMPLE_BYTES / LEAF_SAMPLE`` bytes, whatever the size of the table.
 
 The sample is bounded: at most ``SAMPLE_BYTES`` of vectors, those with the smallest hashes of their id and values; all rows
 are indexed.  Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows without id and
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import ragged_ranges
 from ledgerloom.session import materialize
 
 LIST_ROWS = 1024
@@ -42,14 +45,15 @@ LEAF_SAMPLE = 16
 REPLICAS = 4
 BORDER = 0.02
 COVER = 0.98
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+PENDING = 1 << 19
 BRANCHES = 8
 DEGREE = 16
 WIDTH = 32
 
 FOUND = "query_id bigint, rank int, vec_id bigint, score double"
 _POSTED = "list int, c bigint, v array<double>"
-_PROBES = "list int, qc bigint, v array<double>"
+_PROBES = "shelf int, qc bigint, v array<double>, lists array<int>"
 _BEST = "qc bigint, c bigint, score double"
 
 
@@ -213,21 +217,59 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
-def _spread(frame: DataFrame, key: str, index: Index, schema: str, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """One row for every list of a vector, or, with the sizes of the lists, of a query."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
+def _posted(frame: DataFrame, index: Index) -> DataFrame:
+    """One row for every list of a vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                points = index.lift(_matrix(part.column("v")), queries=sizes is not None)
-                rows, lists = index.homes(points) if sizes is None else index.visits(points, sizes, least)
-                for cut in range(0, len(rows), 4096):
-                    own = pa.array(rows[cut:cut + 4096])
-                    columns = [pa.array(lists[cut:cut + 4096], pa.int32()), part.column(key).take(own), part.column("v").take(own)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-    return frame.select(key, "v").mapInArrow(run, schema)
+                rows, lists = index.homes(index.lift(_matrix(part.column("v")), queries=False))
+                own = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column("c").take(own), part.column("v").take(own)],
+                                                 names=["list", "c", "v"])
+    return frame.select("c", "v").mapInArrow(run, _POSTED)
+
+
+@dataclass(frozen=True)
+class Shelves:
+    """Where the rows of each list stand when all lists follow one another on shelves of ``size`` rows."""
+
+    before: np.ndarray
+    held: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, held: np.ndarray, count: int) -> Shelves:
+        return cls(np.cumsum(held) - held, held, max(1, math.ceil(int(held.sum()) / count)))
+
+    def of_lists(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last shelf of lists; none where a list is empty."""
+        return self.before[lists] // self.size, (self.before[lists] + self.held[lists] - 1) // self.size
+
+    def of_rows(self) -> Column:
+        """A row's shelf, from its list's ``before`` and ``held``."""
+        return F.floor((F.col("before") + F.pmod(F.xxhash64("c"), "held")) / F.lit(self.size)).cast("int")
+
+
+def _probing(frame: DataFrame, index: Index, shelves: Shelves, least: int) -> DataFrame:
+    """One row for every shelf of a query, with the lists that it visits there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows, lists = index.visits(index.lift(_matrix(part.column("v")), queries=True), shelves.held, least)
+                first, last = shelves.of_lists(lists)
+                times = np.maximum(0, last - first + 1)
+                rows, lists, shelf = np.repeat(rows, times), np.repeat(lists, times), ragged_ranges(first, times)
+                order = np.lexsort((lists, shelf, rows))
+                rows, lists, shelf = rows[order], lists[order], shelf[order]
+                new = np.flatnonzero(np.diff(rows, prepend=-1) | np.diff(shelf, prepend=-1))
+                own = pa.array(rows[new])
+                ends = pa.array(np.append(new, len(rows)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shelf[new], pa.int32()), part.column("qc").take(own), part.column("v").take(own),
+                     pa.ListArray.from_arrays(ends, pa.array(lists, pa.int32()))], names=["shelf", "qc", "v", "lists"])
+    return frame.select("qc", "v").mapInArrow(run, _PROBES)
 
 
 def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -252,14 +294,71 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, keep: int
         yield at + rows[chosen], ids[cols[chosen]], exact[chosen]
 
 
-def _met(left: pa.Table, right: pa.Table, keep: int) -> pa.Table:
-    """Scores of one block of a list with one block of its queries."""
-    empty = pa.table({"qc": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not left.num_rows or not right.num_rows:
-        return empty
-    asked = right.column("qc").to_numpy()
-    found = best_of(left.column("c").to_numpy(), _matrix(left.column("v")), _matrix(right.column("v")), keep)
-    return pa.concat_tables([pa.table({"qc": asked[q], "c": c, "score": s}) for q, c, s in found])
+class _Block:
+    """The queries of a shelf that a task holds, and the best that it has found for them."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+        self.parts: list[pa.RecordBatch] = []
+        self.asking: dict[int, np.ndarray] | None = None
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def meet(self, number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Rows of one list go past the queries that visit it."""
+        if self.asking is None:
+            lists = [p.column("lists") for p in self.parts]
+            owner = np.repeat(np.arange(sum(map(len, lists))), [len(own) for part in lists for own in part.to_pylist()])
+            flat = np.concatenate([part.flatten().to_numpy() for part in lists] or [owner])
+            order = np.argsort(flat, kind="stable")
+            names, starts = np.unique(flat[order], return_index=True)
+            self.asking = dict(zip(names.tolist(), np.split(owner[order], starts[1:]), strict=True)) if len(names) else {}
+            self.vectors = np.concatenate([_matrix(p.column("v")) for p in self.parts] or [vectors[:0]])
+            self.ids = np.concatenate([p.column("id").to_numpy() for p in self.parts] or [ids[:0]])
+            self.parts = []
+        rows = self.asking.get(number)
+        if rows is not None:
+            for q, c, score in best_of(ids, vectors, self.vectors[rows], self.keep):
+                self.found.append((rows[q], c, score))
+                self.pending += len(q)
+                if self.pending > PENDING + len(self.ids) * self.keep:
+                    self.found = [self.best()]
+                    self.pending = len(self.found[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's best so far, each vector once."""
+        q, c, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((c, -score, q))
+        q, c, score = q[order], c[order], score[order]
+        once = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]))
+        q, c, score = q[once], c[once], score[once]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < self.keep
+        return q[kept], c[kept], score[kept]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            q, c, score = self.best()
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(c), pa.array(score)], names=["qc", "c", "score"])
+
+
+def _searched(both: DataFrame, keep: int) -> DataFrame:
+    """Best of each shelf and query; rows come by shelf and block, queries first, then the lists one after the other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = _Block(keep), None
+        for batch in batches:
+            shelf, turn, number = (batch.column(c).to_numpy() for c in ("shelf", "turn", "list"))
+            edges = np.flatnonzero(np.diff(shelf) | np.diff(turn) | np.diff(number)) + 1
+            for a, b in zip(np.append(0, edges), np.append(edges, len(shelf)), strict=True):
+                part = batch.slice(a, b - a)
+                if at != (shelf[a], turn[a]):
+                    yield from block.rows()
+                    block, at = _Block(keep), (shelf[a], turn[a])
+                if number[a] < 0:
+                    block.parts.append(part)
+                else:
+                    block.meet(int(number[a]), part.column("id").to_numpy(), _matrix(part.column("v")))
+        yield from block.rows()
+    return both.mapInArrow(run, _BEST)
 
 
 def usable(frame: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -282,14 +381,6 @@ def _sample(rows: DataFrame, count: int) -> np.ndarray:
     return _matrix(picked.column("v"))
 
 
-def _blocks(frame: DataFrame, sizes: DataFrame, own: str, other: str, key: str) -> DataFrame:
-    """Rows with their own block number, once for every block of the other side."""
-    return (frame.join(F.broadcast(sizes), "list")  # one row a list
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
-            .select("list", "part", "turn", key, "v"))
-
-
 def search(frame: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
            list_rows: int = LIST_ROWS) -> DataFrame:
     """``k`` nearest rows found for each row where ``is_query`` (a condition on ``vec_id``): see ``FOUND``."""
@@ -309,19 +400,25 @@ def search(frame: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     asking = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qc"))
     asking = materialize(asking, "query-classes")
 
-    postings = materialize(_spread(members.where("v is not null"), "c", index, _POSTED), "postings")
-    most = max(256, BLOCK_BYTES // (8 * len(index.centroids[0])))
-    cut = [F.count("*").alias("n"), F.ceil(F.count("*") / most).cast("int").alias("n_part")]
-    lists = postings.groupBy("list").agg(*cut).collect()  # one row a list
+    postings = materialize(_posted(members.where("v is not null"), index), "postings")
     held = np.zeros(len(index.centroids), np.int64)
-    for row in lists:
-        held[row["list"]] = row["n"]
-    probes = materialize(_spread(asking, "qc", index, _PROBES, held, REPLICAS * (k + 1)), "probes")
-    turns = probes.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias("n_turn"))
-    sizes = spark.createDataFrame([(r["list"], r["n_part"]) for r in lists], "list int, n_part int").join(turns, "list")
-    left = _blocks(postings, sizes, "part", "turn", "c").groupBy("list", "part", "turn")
-    right = _blocks(probes, sizes, "turn", "part", "qc").groupBy("list", "part", "turn")
-    best = left.cogroup(right).applyInArrow(lambda a, b: _met(a, b, k + 1), _BEST)
+    for row in postings.groupBy("list").count().collect():  # one row a list
+        held[row["list"]] = row["count"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shelves = Shelves.of(held, parts)
+    probes = materialize(_probing(asking, index, shelves, REPLICAS * (k + 1)), "probes")
+    most = max(256, BLOCK_BYTES // (8 * len(index.centroids[0])))
+    turns = probes.groupBy("shelf").agg(F.ceil(F.count("*") / most).cast("int").alias("turns"))
+    turns = F.broadcast(materialize(turns, "turns"))  # one row a shelf
+    places = F.broadcast(spark.createDataFrame(
+        [(i, int(b), int(h)) for i, (b, h) in enumerate(zip(shelves.before, held, strict=True))], "list int, before bigint, held bigint"))
+    shelved = postings.join(places, "list").withColumn("shelf", shelves.of_rows()).join(turns, "shelf")
+    left = shelved.select("shelf", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "list", F.col("c").alias("id"), "v",
+                          F.lit(None).cast("array<int>").alias("lists"))
+    right = probes.join(turns, "shelf").select("shelf", F.pmod(F.xxhash64("qc"), "turns").cast("int").alias("turn"),
+                                               F.lit(-1).alias("list"), F.col("qc").alias("id"), "v", "lists")
+    both = left.unionByName(right).repartition(parts, "shelf", "turn").sortWithinPartitions("shelf", "turn", "list")
+    best = _searched(both, k + 1)
 
     once = best.groupBy("qc", "c").agg(F.max("score").alias("score"))  # a class in several lists
     first = Window.partitionBy("qc").orderBy(F.desc("score"), "c")
