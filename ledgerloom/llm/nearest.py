@@ -40,7 +40,7 @@ from ledgerloom.llm.common import ragged_ranges
 from ledgerloom.session import materialize
 
 LIST_ROWS = 1024
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 LEAF_SAMPLE = 16
 REPLICAS = 4
 BORDER = 0.02
@@ -195,19 +195,21 @@ def fit(sample: np.ndarray, rows: int, norm: float, k: int, list_rows: int = LIS
     lists = max(1, min(math.ceil(rows / list_rows), len(points) // LEAF_SAMPLE))
     centroids = _leaves(points, lists)
     index = Index(centroids, _linked(centroids), norm, 0.0)
-    own, homes = index.homes(points)
     member = np.zeros((len(points), len(centroids)), bool)
-    member[own, homes] = True
-    asked = np.random.default_rng(11).choice(len(points), min(256, len(points)), replace=False)
-    queries = index.lift(sample[asked], queries=True)
-    score = queries @ points.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    nearest = np.argsort(-score, axis=1)[:, :min(k, len(points) - 1)]
-    far = np.linalg.norm(queries[:, None, :] - centroids[None], axis=2) if len(centroids) <= 512 else np.stack(
-        [np.linalg.norm(centroids - q, axis=1) for q in queries])
-    least = far.min(1)
-    needed = [np.where(member[n], far[i] / max(least[i], 1e-9), np.inf).min(1) for i, n in enumerate(nearest)]
-    ratio = float(np.quantile(np.concatenate(needed), COVER)) - 1 if nearest.size else 0.0
+    for at in range(0, len(points), 512):
+        own, homes = index.homes(points[at:at + 512])
+        member[at + own, homes] = True
+    needed = []
+    for asked in np.random.default_rng(11).choice(len(points), min(256, len(points)), replace=False):
+        query = index.lift(sample[asked:asked + 1], queries=True)
+        score = points @ query[0]
+        score[asked] = -np.inf
+        most = min(k, len(points) - 1)
+        nearest = np.argpartition(-score, most)[:most]
+        far = np.linalg.norm(centroids - query, axis=1)
+        needed.append(np.where(member[nearest], far / max(far.min(), 1e-9), np.inf).min(1))
+    found = np.concatenate(needed)
+    ratio = float(np.quantile(found, COVER)) - 1 if len(found) else 0.0
     return Index(centroids, index.graph, norm, max(0.0, ratio))
 
 
