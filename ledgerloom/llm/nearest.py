@@ -20,9 +20,8 @@ shelf's rows stream by, and of which it keeps the best ``k + 1`` a query.  What
 
 The sample is bounded: at most ``SAMPLE_BYTES`` of vectors, those with the smallest hashes of their id and values; all rows
 are indexed.  Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows without id and
-vectors of another length than the most frequent one (of equally frequent ones the shortest).  Rows with equal id and equal vector
-count once; rows with equal id and different vectors are queries of their own and candidates of each other.  Other columns
-are ignored.  An empty table gives an empty result.
+vectors of another length than the most frequent one (of equally frequent ones the shortest).  Rows with equal id count
+once, with the smallest of their vectors.  Other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -370,7 +369,7 @@ def usable(frame: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
             .where("vec_id is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0)))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.where(F.size("v") == (length[0]["n"] if length else 0))
-    return rows.select("vec_id", "v", F.xxhash64("v").alias("h")).dropDuplicates(["vec_id", "h", "v"])
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v"))
 
 
 def _sample(rows: DataFrame, count: int) -> np.ndarray:
@@ -397,7 +396,7 @@ def search(frame: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     alike = Window.partitionBy("h", "v").orderBy("vec_id")
     members = rows.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1)
     members = members.withColumn("c", F.first("vec_id").over(alike))
-    members = materialize(members.select("c", "vec_id", "h", F.expr("if(place = 1, v, null)").alias("v")), "vector-classes")
+    members = materialize(members.select("c", "vec_id", F.expr("if(place = 1, v, null)").alias("v")), "vector-classes")
     asked = rows.where(is_query)
     asking = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qc"))
     asking = materialize(asking, "query-classes")
@@ -425,11 +424,11 @@ def search(frame: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     once = best.groupBy("qc", "c").agg(F.max("score").alias("score"))  # a class in several lists
     first = Window.partitionBy("qc").orderBy(F.desc("score"), "c")
     classes = once.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    near = classes.join(members.select("c", "vec_id", "h"), "c")
+    near = classes.join(members.select("c", "vec_id"), "c")
     order = Window.partitionBy("qc").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    found = near.groupBy("qc").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "h", "score"))).alias("near"))
-    queries = asked.join(asking, ["h", "v"]).select("qc", "h", F.col("vec_id").alias("query_id"))
-    others = F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["h"] != F.col("h")))
+    found = near.groupBy("qc").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+    queries = asked.join(asking, ["h", "v"]).select("qc", F.col("vec_id").alias("query_id"))
+    others = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
     return (queries.join(found, "qc").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "x"))
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score"))
