@@ -12,7 +12,7 @@ from ledgerloom.functions import dates
 from ledgerloom.functions.classify import classify
 from ledgerloom.operators import edits
 from ledgerloom.session import scratch_path
-from ledgerloom.sources import cells, detect, statements
+from ledgerloom.sources import archive, cells, detect, statements
 from ledgerloom.workload.ledger import deposits, ledger_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,8 +185,28 @@ def overrides_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("txn_ts").cast("date").alias("txn_date"), "description", F.col("amount").cast("double").alias("amount"), "category")
 
 
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One archive a year and account group; one deleted, one saved again, some loaded by their metadata, one alone."""
+    root = scratch_path(spark, "archives")
+    rows = classify(deposits(spark, sf_dir))
+    made = {}
+    for year in (1996, 1997, 1998, 1999):
+        made[year] = archive.save(rows.where(F.year("txn_ts") == year), root, f"Year {year}", organization="Test League")
+    archive.delete(spark, root, made[1997])
+    edited = archive.load(spark, root, made[1998])[0]
+    archive.save(edited.where("account <> 'ACCT-0'"), root, "Year 1998", archive=made[1998])
+    listed = archive.list_archives(spark, root).where("transaction_count > 0 and label <> 'Year 1999'")
+    found = archive.load_many(spark, root, [r["id"] for r in listed.select("id").collect()], ordered=False)
+    alone, meta = archive.load(spark, root, made[1999])
+    alone = alone.where("account = 'ACCT-1'").withColumn("label", F.lit(meta.label))
+    whole = found.withColumn("label", F.concat(F.lit("Year "), F.year("txn_ts").cast("string"))).unionByName(alone)
+    names = archive.account_names(spark, root, [made[1998], made[1999]]).select("account").distinct()
+    return whole.join(names, "account", "left_semi").select(
+        "label", F.col("txn_ts").cast("date").alias("txn_date"), "description", F.col("amount").cast("double").alias("amount"), "category")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (parse_date_shapes, ingest_report, ingest_header_recovery, ingest_overrides, overrides_ingested)}
+    return {f.__name__: f for f in (archive_roundtrip, parse_date_shapes, ingest_report, ingest_header_recovery, ingest_overrides, overrides_ingested)}
 
 
 def oracle_sql(classified: str) -> dict[str, str]:
@@ -210,6 +230,11 @@ def oracle_sql(classified: str) -> dict[str, str]:
             skipped("open", cells.UNCLOSED), skipped("other", cells.OTHER_KIND))),
         "ingest_header_recovery": rows,
         "ingest_overrides": f"{rows} AND account <> 'ACCT-0'",
+        "archive_roundtrip": f"{classified}, once AS (SELECT DISTINCT account, txn_ts, description, amount, category FROM classified "
+                             "WHERE source_file = 'orders' AND (year(txn_ts) = 1996 OR (year(txn_ts) = 1998 AND account <> 'ACCT-0'))), "
+                             "alone AS (SELECT account, txn_ts, description, amount, category FROM classified WHERE source_file = 'orders' "
+                             "AND year(txn_ts) = 1999 AND account = 'ACCT-1') SELECT CONCAT('Year ', CAST(year(txn_ts) AS VARCHAR)) AS label, "
+                             f"{day}, category FROM (SELECT * FROM once UNION ALL SELECT * FROM alone)",
         "overrides_ingested": f"{classified} SELECT {day}, CASE WHEN account = 'ACCT-1' AND description = 'Gala ticket sale' "
                               "THEN 'Supplies & Materials' ELSE category END AS category FROM classified "
                               "WHERE source_file = 'orders' AND account <> 'ACCT-2'",

@@ -127,3 +127,53 @@ def test_one_edit_of_a_row_counts(spark, make_ledger):
     ledger = make_ledger([("2026-01-01", "x", 1), ("2026-01-01", "y", 1)]).withColumn("category", F.lit("old"))
     edits = spark.createDataFrame([("test", 0, "b", 2), ("test", 0, "z", 1)], "source_file string, row_id long, category string, edited_at int")
     assert sorted((r.row_id, r.category) for r in override_categories(ledger, edits).collect()) == [(0, "b"), (1, "old")]
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["describe", "_commit", "_put"])
+def test_a_save_that_stops_leaves_the_old_archive(spark, root, make_ledger, monkeypatch, step):
+    saved = archive.save(make_ledger([("2026-01-01", "old", 1)]), root, "x")
+
+    def stop(*_):
+        raise Stop
+    with monkeypatch.context() as patch:
+        patch.setattr(archive, step, stop)
+        with pytest.raises(Stop):
+            archive.save(make_ledger([("2026-01-01", "new", 2)]), root, "x", archive=saved)
+        if step != "describe":
+            with pytest.raises(Stop):
+                archive.delete(spark, root, saved)
+    rows, meta = archive.load(spark, root, saved)
+    assert [r.description for r in rows.collect()] == ["old"] and meta.total_revenue == 1
+    with open(archive._manifest_path(root, saved, 2), "w") as f:  # a manifest of which only a part was written
+        f.write('{"id": "' + saved)
+    assert archive.load(spark, root, saved)[0].count() == 1
+    archive.save(make_ledger([("2026-01-01", "new", 2)]), root, "x", archive=saved)
+    assert [r.description for r in archive.load(spark, root, saved)[0].collect()] == ["new"]
+    assert archive.vacuum(spark, root) == 0 and archive.vacuum(spark, root, hours=-1) >= 2
+    assert archive.load_many(spark, root, [saved]).count() == 1
+
+
+def test_two_saves_at_once(spark, root, make_ledger, monkeypatch):
+    saved = archive.save(make_ledger([("2026-01-01", "old", 1)]), root, "x")
+    first = archive._last_number(spark, root, saved)
+    archive.save(make_ledger([("2026-01-01", "other", 1)]), root, "x", archive=saved)
+    monkeypatch.setattr(archive, "_last_number", lambda *_: first)  # as seen before the other save
+    with pytest.raises(FileExistsError):
+        archive.save(make_ledger([("2026-01-01", "late", 1)]), root, "x", archive=saved)
+    assert archive.load(spark, root, saved)[0].first().description == "other"
+    moment = dt.datetime(2026, 1, 1)
+    monkeypatch.setattr(archive, "_new_id", lambda *_: "same")
+    ids = {archive.save(make_ledger([("2026-01-01", n, 1)]), root, "y", created_at=moment) for n in "ab"}
+    assert len(ids) == 2 and archive.load_many(spark, root, sorted(ids)).count() == 2
+
+
+def test_other_archives_are_pruned(spark, root, make_ledger):
+    ids = [archive.save(make_ledger([("2026-01-01", n, 1)]), root, n) for n in "abc"]
+    plan = archive.load_many(spark, root, ids[:1], ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "archive_version" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    with pytest.raises(FileNotFoundError, match="nothing"):
+        archive.load_many(spark, root, [ids[0], "nothing"])
