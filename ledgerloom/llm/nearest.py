@@ -12,8 +12,8 @@ Inner products become distances by one more coordinate: vectors are lifted to th
 (largest inner product then means smallest distance).  Scores are inner products of the original vectors in double precision.
 
 At scale: equal vectors are one class, of which the ``k + 1`` smallest ids can be in a result, and queries with equal
-vectors are searched once.  The lists, one after the other, are cut into as many shelves of equal size as there are shuffle
-partitions, so a list that holds a third of all rows is spread over a third of the shelves.  A query goes once to each shelf
+vectors are searched once.  The lists, one after the other, are cut into shelves of equal size, ``SHELVES`` of them, or more of at most
+``SHELF_ROWS`` rows, so a list that holds a third of all rows is spread over a third of the shelves.  A query goes once to each shelf
 with lists that it visits; the queries of a shelf are cut into blocks of at most ``BLOCK_BYTES``, which a task holds while the
 shelf's rows stream by, and of which it keeps the best ``k + 1`` a query.  What every task holds besides are the centroids, at most
 ``SAMPLE_BYTES / LEAF_SAMPLE`` bytes, whatever the size of the table.
@@ -46,6 +46,8 @@ BORDER = 0.02
 COVER = 0.98
 BLOCK_BYTES = 16 << 20
 PENDING = 1 << 19
+SHELVES = 32
+SHELF_ROWS = 1 << 18
 BRANCHES = 8
 DEGREE = 16
 WIDTH = 32
@@ -406,7 +408,7 @@ def search(frame: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     for row in postings.groupBy("list").count().collect():  # one row a list
         held[row["list"]] = row["count"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shelves = Shelves.of(held, parts)
+    shelves = Shelves.of(held, max(SHELVES, math.ceil(int(held.sum()) / SHELF_ROWS)))
     probes = materialize(_probing(asking, index, shelves, REPLICAS * (k + 1)), "probes")
     most = max(256, BLOCK_BYTES // (8 * len(index.centroids[0])))
     turns = probes.groupBy("shelf").agg(F.ceil(F.count("*") / most).cast("int").alias("turns"))
