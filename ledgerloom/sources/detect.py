@@ -31,6 +31,8 @@ ROLE_PATTERNS = {
 
 HEADER_SEARCH_ROWS = 5
 SAMPLE_ROWS = 10
+#: Rows whose filled cells are counted together.
+RUN_ROWS = 1024
 NO_COLUMN = "(none)"
 
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
@@ -118,30 +120,46 @@ def data_rows(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.where(F.col("row_id") > F.col("header_row"))
 
 
-def _filled_cells(raw: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Non-null data cells: ``file, block, row_id, pos, cell``."""
-    return data_rows(raw, mapping.drop("names")).select(
-        "file", "block", "row_id",
+def _filled_cells(rows: DataFrame) -> DataFrame:
+    """Non-null cells of rows: ``file, row_id, pos, cell``."""
+    return rows.select(
+        "file", "row_id",
         F.posexplode(null_texts_to_null(decoded(F.col("cells"), F.col("utf8")))).alias("pos", "cell"),
     ).where(F.col("cell").isNotNull())
 
 
+def _column_kinds(raw: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Per file and column: ``textual`` (any cell is no number), ``dates`` and ``mean_length`` of the first filled cells.
+
+    One pass counts the filled cells of every run of rows, combined inside its tasks.  The counts tell in which run a column's
+    last sample cell lies, so that a second pass takes rows up to there only and a column hands on no more cells than the
+    sample and one run have, however many rows its file has and however late its cells begin.
+    """
+    rows = data_rows(raw, mapping.drop("names"))
+    run = F.floor(F.col("row_id") / RUN_ROWS)
+    runs = materialize(_filled_cells(rows).groupBy("file", "pos", run.alias("run")).agg(
+        F.count("*").alias("n"), F.bool_or(~F.col("cell").rlike(_NUMBER)).alias("textual")), "runs")
+    in_column = Window.partitionBy("file", "pos").orderBy("run")
+    # a column's sample lies in its first SAMPLE_ROWS runs, so tasks keep that many of each before they are put in order
+    first_runs = runs.withColumn("rn", F.row_number().over(in_column)).where(F.col("rn") <= SAMPLE_ROWS)
+    before = F.sum("n").over(in_column.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    last_runs = first_runs.withColumn("before", before).where(F.col("before") < SAMPLE_ROWS).groupBy("file", "pos").agg(
+        F.max("run").alias("last_run"))
+    last_rows = last_runs.groupBy("file").agg(F.max("last_run").alias("stop"))
+    near = rows.join(last_rows, "file").where(run <= F.col("stop"))
+    cells = _filled_cells(near).join(last_runs, ["file", "pos"]).where(run <= F.col("last_run"))
+    first_cells = cells.groupBy("file", "pos").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("row_id", "cell"))), 1, SAMPLE_ROWS).alias("sample"))
+    sample = first_cells.select("file", "pos", F.explode("sample.cell").alias("cell")).groupBy("file", "pos").agg(
+        F.bool_and(parse_date("cell").isNotNull()).alias("dates"), F.avg(F.length("cell")).alias("mean_length"))
+    return sample.join(runs.groupBy("file", "pos").agg(F.bool_or("textual").alias("textual")), ["file", "pos"])
+
+
 def _fill_date_and_description(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     """Fallbacks from the data of files whose column names did not give both roles."""
     missing = mapping.where(F.col("date_pos").isNull() | F.col("desc_pos").isNull())
-    cells = _filled_cells(raw, missing)
-    in_column = Window.partitionBy("file", "pos").orderBy("block", "row_id")
-    sample = (
-        cells.withColumn("rn", F.row_number().over(in_column))
-        .where(F.col("rn") <= SAMPLE_ROWS)
-        .groupBy("file", "pos")
-        .agg(F.bool_and(parse_date("cell").isNotNull()).alias("dates"),
-             F.avg(F.length("cell")).alias("mean_length"))
-    )
-    kinds = cells.groupBy("file", "pos").agg(
-        F.bool_or(~F.col("cell").rlike(_NUMBER)).alias("textual"))
     per_file = (
-        sample.join(kinds, ["file", "pos"]).groupBy("file")
+        _column_kinds(raw, missing).groupBy("file")
         .agg(F.collect_set(F.when(~F.col("dates"), F.col("pos"))).alias("not_dates"),
              F.collect_set(F.when(F.col("textual") & (F.col("mean_length") > 5), F.col("pos")))
              .alias("texts"))
@@ -199,7 +217,7 @@ def fill_amounts(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     if without.isEmpty():
         return mapping.withColumn("value_pos", F.lit(None).cast("int"))
     found = (
-        _filled_cells(raw, without).groupBy("file", "pos")
+        _filled_cells(data_rows(raw, without.drop("names"))).groupBy("file", "pos")
         .agg(F.sum(F.abs(parse_amount(F.col("cell")))).alias("total"))
         .where(F.col("total") > 0)
         .groupBy("file").agg(F.min("pos").alias("value_pos"))

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates
 from ledgerloom.functions.classify import classify
+from ledgerloom.functions.money import LEDGER_MONEY
 from ledgerloom.operators import edits
+from ledgerloom.operators.dedup import union_ledgers
 from ledgerloom.session import scratch_path
-from ledgerloom.sources import archive, cells, detect, statements
-from ledgerloom.workload.ledger import deposits, ledger_sql, table
+from ledgerloom.sources import archive, cells, detect, export, statements
+from ledgerloom.streaming.accumulate import DELIVERY_SCHEMA, accumulate
+from ledgerloom.workload.ledger import deposits, ledger, ledger_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,8 +208,57 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label", F.col("txn_ts").cast("date").alias("txn_date"), "description", F.col("amount").cast("double").alias("amount"), "category")
 
 
+def ingest_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose names give no roles: columns without names for date and text, none for money, and a date named value."""
+    folder = scratch_path(spark, "statements")
+    rows = deposits(spark, sf_dir)
+    day, amount, key = F.date_format("txn_ts", "yyyy-MM-dd"), F.col("amount").cast("string"), F.col("row_id")
+    account = F.col("account")
+    lines = rows.select(account.alias("f"), key.alias("place"), F.when(account == "ACCT-0", _line(
+        # a column that is filled late and seldom, and a code too short for a text, come before the text
+        F.when(key % 97 == 0, "mark").otherwise(""), F.concat(F.lit("r"), (key % 100).cast("string")), day, amount, _cell(F.col("description"))))
+        .when(account == "ACCT-1", _line(day, F.lit("none"), _cell(F.col("description")), amount))
+        .otherwise(_line(day, _cell(F.col("description")), amount)).alias("line"))
+    tops = [("ACCT-0", -1, "A,B,When,Amount,What"), ("ACCT-1", -1, "Booked on date,Kind,Payee,Paid"),
+            ("ACCT-2", -1, "Value Date,Narrative,Amount")]
+    _write_lines(lines.unionByName(_tops(spark, tops)), folder)
+    found = statements.read_statements(spark, folder)
+    return found.groupBy(F.regexp_extract("source_path", "f=([^/]*)/", 1).alias("folder"), "description").agg(
+        F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"),
+        F.min("txn_ts").cast("date").alias("first_day"), F.max("txn_ts").cast("date").alias("last_day"))
+
+
+#: The derived row ids occur more than once, so what a row says settles ties; rows equal in all of it are the same.
+EXPORT_ORDER = (*export.LEDGER_ORDER, "account", "description", "amount")
+
+
+def ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole classified ledger as files in date order, read back with every row's place."""
+    path = scratch_path(spark, "export")
+    export.write_ordered(classify(ledger(spark, sf_dir)), path, EXPORT_ORDER, rows_per_file=20_000,
+                         columns=["txn_ts", "account", "description", "amount", "category", "functional"])
+    return export.read_ordered(spark, path).select(
+        "place", F.col("txn_ts").cast("date").alias("txn_date"), "account", "description",
+        F.col("amount").cast("double").alias("amount"), "category")
+
+
+def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries that overlap by half, the last after a restart; what the archives hold isn't combined any more."""
+    landing, root, checkpoint = (scratch_path(spark, name) for name in ("landing", "archives", "stream"))
+    fields = [f.split()[0] for f in DELIVERY_SCHEMA.split(", ")]
+    rows = ledger(spark, sf_dir).withColumn("amount", F.col("amount").cast(LEDGER_MONEY)).select(*fields)
+    for number in range(3):
+        rows.where((F.col("row_id") % 4).isin(number, number + 1)).write.mode("append").parquet(landing)
+        if number:
+            accumulate(spark, landing, root, checkpoint, once=True).awaitTermination()
+    ids = [r["id"] for r in archive.list_archives(spark, root).select("id").collect()]  # two
+    stored = [archive.load(spark, root, i)[0] for i in ids]
+    return union_ledgers(*stored).groupBy("account", "category").agg(
+        F.count("*").alias("n"), F.sum("amount").cast("double").alias("net"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (archive_roundtrip, parse_date_shapes, ingest_report, ingest_header_recovery, ingest_overrides, overrides_ingested)}
+    return {f.__name__: f for f in (ingest_fallbacks, ordered_export, stream_first_sightings, archive_roundtrip, parse_date_shapes, ingest_report, ingest_header_recovery, ingest_overrides, overrides_ingested)}
 
 
 def oracle_sql(classified: str) -> dict[str, str]:
@@ -229,6 +281,14 @@ def oracle_sql(classified: str) -> dict[str, str]:
             folder("unpaid", "ACCT-2", "row_id % 11 = 0", "row_id % 7 = 0"),
             skipped("open", cells.UNCLOSED), skipped("other", cells.OTHER_KIND))),
         "ingest_header_recovery": rows,
+        "ingest_fallbacks": f"WITH ledger AS ({ledger_sql()}) SELECT account AS folder, description, count(*) AS n, "
+                            "CAST(sum(CASE WHEN account = 'ACCT-2' THEN 0 ELSE amount END) AS DOUBLE) AS amount, "
+                            "CAST(min(txn_ts) AS DATE) AS first_day, CAST(max(txn_ts) AS DATE) AS last_day "
+                            "FROM ledger WHERE source_file = 'orders' GROUP BY account, description",
+        "ordered_export": f"{classified} SELECT row_number() OVER (ORDER BY {', '.join(EXPORT_ORDER)}) AS place, CAST(txn_ts AS DATE) AS txn_date, "
+                          "account, description, CAST(amount AS DOUBLE) AS amount, category FROM classified",
+        "stream_first_sightings": f"{classified}, once AS (SELECT DISTINCT account, txn_ts, description, amount, category FROM classified) "
+                                  "SELECT account, category, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS net FROM once GROUP BY account, category",
         "ingest_overrides": f"{rows} AND account <> 'ACCT-0'",
         "archive_roundtrip": f"{classified}, once AS (SELECT DISTINCT account, txn_ts, description, amount, category FROM classified "
                              "WHERE source_file = 'orders' AND (year(txn_ts) = 1996 OR (year(txn_ts) = 1998 AND account <> 'ACCT-0'))), "

@@ -46,8 +46,9 @@ def compare(spark, con, sf_dir, query, sql) -> str | None:
     if ours[0] != theirs[0]:
         return f"columns {ours[0]} / {theirs[0]}"
     if ours[1] != theirs[1]:
-        left = [r for r in ours[1] if r not in set(theirs[1])][:3]
-        right = [r for r in theirs[1] if r not in set(ours[1])][:3]
+        in_ours, in_theirs = set(ours[1]), set(theirs[1])
+        left = [r for r in ours[1] if r not in in_theirs][:3]
+        right = [r for r in theirs[1] if r not in in_ours][:3]
         return f"{len(ours[1])} / {len(theirs[1])} rows; only ours {left}; only SQL {right}"
     return None
 

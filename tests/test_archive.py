@@ -105,6 +105,27 @@ def test_stream(spark, root, make_ledger, tmp_path):
         ("gift", "Donations & Contributions")]
 
 
+def test_stream_keeps_first_sightings(spark, root, make_ledger, tmp_path):
+    """Overlapping deliveries, a restart and a batch that runs twice: every transaction is stored once."""
+    landing, checkpoint = str(tmp_path / "landing"), tmp_path / "checkpoint"
+    days = [("2026-01-01", "gift", 1), ("2026-01-02T08:30:00", "rent", -1), ("2026-01-02", "rent", -1), ("2026-01-03", None, 4)]
+
+    def deliver(rows):
+        make_ledger(rows).coalesce(1).write.mode("append").parquet(landing)
+        accumulate(spark, landing, root, str(checkpoint), once=True).awaitTermination()
+
+    deliver(days[:3])
+    deliver(days[1:] + [("2026-02-01", "gift", 5)])
+    for commit in (checkpoint / "commits").glob("*1*"):  # the second batch didn't get to its commit
+        commit.unlink()
+    deliver(days + [("2026-02-01", "gift", 5)] * 3 + [("2026-02-02", "fee", -2)])
+    ids = [r.id for r in archive.list_archives(spark, root).orderBy("id").collect()]
+    stored = [[(r.txn_ts.isoformat()[:10], r.description, r.row_id) for r in archive.load(spark, root, i)[0].orderBy("txn_ts").collect()]
+              for i in ids]
+    assert stored == [[("2026-01-01", "gift", 0), ("2026-01-02", "rent", 1)], [("2026-01-03", None, 2), ("2026-02-01", "gift", 3)],
+                      [("2026-02-02", "fee", 7)]]
+
+
 def test_ids_that_look_like_numbers(spark, root, make_ledger):
     for name, category in (("0007", "a"), ("0003", "b")):
         archive.save(make_ledger([("2026-01-01", "x", 1)]).withColumn("category", F.lit(category)), root, "l", archive=name)

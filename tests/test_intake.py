@@ -117,3 +117,28 @@ def test_rows_keep_their_names(spark, tmp_path):
     two = spark.createDataFrame([(path, 1, "Grants"), (path, 1, "Travel")], "source_path string, row_id bigint, category string")
     with pytest.raises(Exception, match="two edits"):
         override_categories(ledger, two).collect()
+
+
+def test_samples_of_late_and_rare_columns(spark, tmp_path, monkeypatch):
+    """A column's sample is its first ten filled cells, wherever they lie and however rows are counted together."""
+    lines = ["A,B,C,D,E"]
+    for i in range(200):
+        late = f"2026-03-{1 + i % 28:02}" if i >= 150 else ""
+        rare = ("no day" if i == 190 else "2026-01-05") if i % 19 == 0 else ""
+        lines.append(f"x{i},{rare},{late},words of row {i},{i}")
+    write(tmp_path, "a.csv", "\n".join(lines) + "\n")
+    raw = cells.raw_cells(spark, str(tmp_path))
+    for run_rows in (1, 3, 64, 1024):
+        monkeypatch.setattr(detect, "RUN_ROWS", run_rows)
+        found = {r.pos: (r.dates, r.textual, r.mean_length) for r in detect._column_kinds(raw, detect.header_rows(raw)).collect()}
+        assert found == {0: (False, True, 2.0), 1: (True, True, 10.0), 2: (True, True, 10.0), 3: (False, True, 14.0), 4: (False, False, 1.0)}
+        mapping = detect.detect_columns(raw).first()
+        assert (mapping.date_pos, mapping.desc_pos) == (1, 2)
+
+
+def test_no_cells_are_sorted_for_samples(spark, tmp_path):
+    write(tmp_path, "a.csv", f"A,B,C\n{DAY},words and words,5\n")
+    raw = cells.raw_cells(spark, str(tmp_path))
+    plan = detect._column_kinds(raw, detect.header_rows(raw))._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line or "Window [" in line]
+    assert all("cell" not in line for line in sorts)
