@@ -12,6 +12,7 @@ from ledgerloom.functions.classify import functional_class
 from ledgerloom.functions.dates import month_of
 from ledgerloom.functions.money import report_money
 from ledgerloom.operators.filters import ALL_DATES, CUSTOM_RANGE
+from ledgerloom.operators.periods import KINDS, YEAR_TO_DATE
 from ledgerloom.operators.totals import category_totals, sum_when
 
 
@@ -108,28 +109,18 @@ def period_options(ledger: DataFrame) -> DataFrame:
     All choices follow from the distinct months, so the ledger is reduced to those first.
     """
     months = ledger.select(month_of(F.col("txn_ts")).alias("month")).distinct()
-    year = F.trunc("month", "year")
-    quarter = F.trunc("month", "quarter")
     always = F.lit("0001-01-01").cast("date")
+    starts = [*(F.trunc("month", kind.unit) for kind in KINDS), always]
     choices = months.select("month", F.inline(F.array(*(
-        F.struct(F.lit(i).alias("kind"), start.alias("start"))
-        for i, start in enumerate((F.col("month"), quarter, year, year, always), start=1)))))
+        F.struct(F.lit(i).alias("kind"), start.alias("start")) for i, start in enumerate(starts, start=1)))))
     listed = choices.groupBy("kind", "start").agg(F.max("month").alias("last"))
-    year_text = F.year("start").cast("string")
-    label = (
-        F.when(F.col("kind") == 1, F.date_format("start", "MMMM yyyy"))
-        .when(F.col("kind") == 2, F.concat(
-            F.lit("Q"), F.quarter("start").cast("string"), F.lit(" "), year_text))
-        .when(F.col("kind") == 3, F.concat(
-            F.lit("YTD "), year_text, F.lit(" (through "), F.date_format("last", "MMMM"), F.lit(")")))
-        .when(F.col("kind") == 4, F.concat(F.lit("Full Year "), year_text))
-        .otherwise(CUSTOM_RANGE))
-    # --- fixed values: headings of the choice groups --------------------------------------
-    heading = F.get(F.array(*map(F.lit, (
-        "", "---Months---", "---Quarters---", "---Year to Date---", "---Full Year---", ""))),
-        F.col("kind"))
+    label, heading = F.lit(CUSTOM_RANGE), F.lit("")
+    for i, kind in enumerate(KINDS, start=1):
+        label = F.when(F.col("kind") == i, kind.write(F.col("start"), F.col("last"))).otherwise(label)
+        heading = F.when(F.col("kind") == i, kind.heading).otherwise(heading)
+    to_date = KINDS.index(YEAR_TO_DATE) + 1
     found = (
-        listed.where((F.col("kind") != 3) | (F.month("last") > 1))
+        listed.where((F.col("kind") != to_date) | (F.month("last") > 1))
         .select("kind", "start", heading.alias("heading"), label.alias("label"))
     )
     first = ledger.sparkSession.range(1).select(

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from ledgerloom.operators import filters
+from ledgerloom.operators import filters, periods
 from ledgerloom.plans import dashboard
 
 
@@ -17,7 +17,8 @@ def ledger(make_ledger):
 @pytest.mark.parametrize("label, kept", [
     ("January 2026", "bc"), ("Jan 2026", "bc"), ("Q1 2026", "bcdef"), ("Q4 2026", ""),
     ("YTD 2026 (through December)", "bcdefgh"), ("Full Year 2026", "bcdefgh"),
-    ("Full Year 1999", ""), ("All Dates", "abcdefghi"), ("---Months---", "abcdefghi"),
+    ("Full Year 1999", ""), ("All Dates", "abcdefghi"), ("---Months---", "abcdefghi"), ("2026-01", "bc"), ("2026-01-15", "bc"), ("1/15/2026", "bc"), ("january 2026", "bc"), ("YTD 2026", "bcdefgh"),
+    ("2026-13", "abcdefghi"), ("2026", "abcdefghi"), ("Mayor 2026", "abcdefghi"), ("", "abcdefghi"),
     ("whatever", "abcdefghi"), (None, "abcdefghi"), ("Custom Range", "abcdefghi")])
 def test_periods(ledger, label, kept):
     found = filters.period(ledger, label)
@@ -60,6 +61,13 @@ def test_options(spark, ledger, make_ledger):
     assert [r.label for r in dashboard.period_options(empty).collect()] == ["All Dates"]
 
 
+def test_labels_are_read_as_they_are_written(ledger):
+    """A label of the list names the period that it was written for."""
+    listed = dashboard.period_options(ledger).where("heading <> ''").collect()
+    heads = [(kind.heading, start) for kind, start in (periods.named(o.label) for o in listed)]
+    assert heads == [(o.heading, dt.date(o.ord // 10_000 % 10_000, o.ord // 100 % 100, 1)) for o in listed]
+
+
 def test_every_option_filters(ledger):
     everything = {r.description for r in ledger.collect()}
     for kind in ("---Full Year---", "---Year to Date---"):
