@@ -51,7 +51,18 @@ def test_pieces_give_the_tokenizers_ids():
         assert tokens.encode([t.encode() for t in texts]) == want
 
 
-
+@pytest.mark.parametrize("kind, path", [(ByteTokens, BYTE), (WordTokens, WORD)])
+@pytest.mark.parametrize("joined", [1, 2, 64])
+def test_pieces_joined_by_what_they_may_hold(monkeypatch, kind, path, joined):
+    """Texts that hold the separators themselves, or white space beside them, get the tokenizer's ids, in any grouping."""
+    monkeypatch.setattr("ledgerloom.llm.tokens.JOINED", joined)
+    rng = random.Random(11)
+    parts = ["a", "Erly", "é", " ", "\n", "|", " | ", "||", "a|b", "\t", ",", "\x0b", "7", "'s"]
+    texts = ["", "|", " ", "\n", "word ", " word", "x\t", "\ty", "a\n"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    tokens = kind(path)
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokens.encode([t.encode() for t in texts]) == want
+    assert tokens.separator_id is not None
 
 
 def test_packing_covers_every_id_once(odd, none):
@@ -79,6 +90,26 @@ def test_packing_covers_every_id_once(odd, none):
     assert packing.pack_documents(none, BYTE).count() == 0
 
 
+def test_instruction_data_keeps_all_limits(spark):
+    """Examples with a loss mask of their own: each id lies in one piece, and the limit of loss-bearing tokens binds."""
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(50_000) for _ in range(rng.randrange(40))]) for i in range(150)]
+    rows = [(i, ids, [rng.random() < 0.7 for _ in ids]) for i, ids in rows] + [(900, None, None), (901, [5, 6, 7], [True]), (902, [8], None)]
+    examples = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, loss array<boolean>").repartition(3)
+    limits = packing.Limits(tokens=64, segments=4, loss=20)
+    found = packing.pack_tokens(examples, limits, pool=40).collect()
+    pieces, bins = {}, {}
+    for r in found:
+        pieces.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append(r)
+    for i, ids, loss in rows:
+        own = sorted(pieces.get(i, []), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in own) == np.array(ids or [], "<u4").tobytes()
+        assert sum(r.loss_tokens for r in own) == sum(loss or [])
+    assert max(sum(r.loss_tokens for r in b) for b in bins.values()) == 20
+    assert all(sum(r.length for r in b) <= 64 and len(b) <= 4 and sum(r.loss_tokens for r in b) <= 20 for b in bins.values())
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_bins_keep_all_limits(cut):
     rng = np.random.default_rng(2)
