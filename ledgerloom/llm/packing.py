@@ -20,6 +20,7 @@ of its own.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,24 +60,34 @@ class Example:
     loss: np.ndarray
     start: int = 0
     total: int = 0
+    loss_tokens: int = -1
 
     def __post_init__(self) -> None:
         self.total = self.total or len(self.loss)
+        if self.loss_tokens < 0:
+            self.loss_tokens = int(np.count_nonzero(self.loss))
 
     def __len__(self) -> int:
         return len(self.loss)
 
     def split(self, at: int) -> tuple[Example, Example]:
-        return (Example(self.key, self.ids[:4 * at], self.loss[:at], self.start, self.total),
-                Example(self.key, self.ids[4 * at:], self.loss[at:], self.start + at, self.total))
+        front = Example(self.key, self.ids[:4 * at], self.loss[:at], self.start, self.total)
+        return front, Example(self.key, self.ids[4 * at:], self.loss[at:], self.start + at, self.total,
+                              self.loss_tokens - front.loss_tokens)
 
 
 @dataclass
 class Packer:
-    """Takes examples, gives full bins; ``finish`` gives the rest."""
+    """Takes examples, gives full bins; ``finish`` gives the rest.
+
+    The pool is kept by falling length, so the examples that fit a bin's tokens are its end, and their
+    dot products can only fall along it but for the loss: a search stops where even an example that bears
+    loss in all its tokens would score less than the best one so far.
+    """
     limits: Limits
     pool_size: int = POOL
-    pool: list[Example] = field(default_factory=list)
+    pool: list[tuple[int, int, Example]] = field(default_factory=list)
+    _added: int = 0
 
     def add(self, example: Example) -> Iterator[list[Example]]:
         if self.limits.cut:
@@ -87,49 +98,60 @@ class Packer:
                 whole, example = example.split(room)
                 yield [whole]
         if len(example):
-            self.pool.append(example)
+            self._put(example)
         if len(self.pool) >= self.pool_size:
             yield from self._pack(self.pool_size // 8)
 
     def finish(self) -> Iterator[list[Example]]:
         yield from self._pack(0)
 
+    def _put(self, example: Example) -> None:
+        self._added += 1
+        insort(self.pool, (-len(example), self._added, example))
+
     def _fits(self, example: Example, tokens: int, loss: int) -> int:
         """Longest front of an example within so many tokens and loss-bearing tokens."""
-        front = np.cumsum(example.loss[:tokens])
-        return int(np.searchsorted(front, loss, side="right"))
+        longest = min(tokens, len(example))
+        if longest <= loss:
+            return longest
+        return int(np.searchsorted(np.cumsum(example.loss[:tokens]), loss, side="right"))
+
+    def _best(self, tokens: int, loss: int) -> int | None:
+        """Place in the pool of the example that fits and has the largest dot product, the longest and then
+        the earliest of equal ones.  An example is one segment, so that part is the same for all."""
+        by_token = tokens * max(self.limits.loss, 1) ** 2
+        by_loss = loss * max(self.limits.tokens, 1) ** 2
+        best, most = None, -1
+        for at in range(bisect_left(self.pool, (-tokens,)), len(self.pool)):
+            size, _, example = self.pool[at]
+            if by_token * -size + by_loss * min(-size, loss) <= most:
+                break
+            score = by_token * -size + by_loss * example.loss_tokens
+            if example.loss_tokens <= loss and score > most:
+                best, most = at, score
+        return best
 
     def _pack(self, leave: int) -> Iterator[list[Example]]:
-        limits = self.limits
-        demand = np.array([[len(e), 1, int(e.loss.sum())] for e in self.pool], np.float64).reshape(-1, 3)
-        free, pool = np.ones(len(self.pool), bool), self.pool
-        most = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
-        scaled = demand / np.maximum(most, 1)
-        left = len(pool)
-        while left > leave:
-            room, own, taken = most.copy(), [], 0
-            while True:
-                fits = free & (demand <= room).all(axis=1)
-                if not fits.any():
-                    break
-                at = int(np.argmax(np.where(fits, scaled @ (room / np.maximum(most, 1)), -1.0)))
-                own.append(pool[at])
-                free[at], room, taken = False, room - demand[at], taken + 1
-            left -= taken
-            if limits.cut and room[0] and room[1] and room[2] and free.any():
-                at = int(np.argmax(np.where(free, demand[:, 0], -1.0)))
-                fit = self._fits(pool[at], int(room[0]), int(room[2]))
+        limits, pool = self.limits, self.pool
+        while len(pool) > leave:
+            tokens, segments, loss = limits.tokens, limits.segments, limits.loss
+            own: list[Example] = []
+            while segments and (at := self._best(tokens, loss)) is not None:
+                example = pool.pop(at)[2]
+                own.append(example)
+                tokens, segments, loss = tokens - len(example), segments - 1, loss - example.loss_tokens
+            if limits.cut and tokens and segments and loss and pool:
+                example = pool[0][2]
+                fit = self._fits(example, tokens, loss)
                 if fit:
-                    front, rest = pool[at].split(fit)
+                    front, rest = example.split(fit)
+                    del pool[0]
                     own.append(front)
-                    pool[at] = rest
-                    demand[at] = [len(rest), 1, int(rest.loss.sum())]
-                    scaled[at] = demand[at] / np.maximum(most, 1)
+                    if len(rest):
+                        self._put(rest)
             elif not own:  # larger than a bin and not to be cut
-                at = int(np.flatnonzero(free)[0])
-                own, free[at], left = [pool[at]], False, left - 1
+                own = [pool.pop(0)[2]]
             yield own
-        self.pool = [e for e, f in zip(pool, free, strict=True) if f]
 
 
 def power_of_two_bins(bin_: list[Example]) -> Iterator[list[Example]]:
@@ -167,7 +189,7 @@ def _rows(bins: Iterator[list[Example]], partition: int, with_ids: bool) -> Iter
         size = sum(len(e) for e in bin_)
         for e in bin_:
             rows.append((e.key, e.start, len(e), zlib.crc32(e.ids), e.total, sequence, offset,
-                         int(e.loss.sum()), len(bin_), size, e.ids if with_ids else None))
+                         e.loss_tokens, len(bin_), size, e.ids if with_ids else None))
             offset += len(e)
         if len(rows) >= 5000:
             yield _batch(rows)
