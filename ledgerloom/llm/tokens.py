@@ -6,7 +6,7 @@ before a space, around a line feed, and before a comma or full stop that follows
 texts where these places are no cuts of the tokenizer (two white-space characters in a row, signs
 before a comma) are encoded as they are.  Pieces are numbered by a dictionary; new ones are encoded in one call, a group of
 them joined by a separator of one id, which costs less than a call's work for each.  A group whose ids hold another number of
-separators than were put in is encoded piece by piece.
+separators than were put in is halved, and encoded piece by piece when it is small.
 Beyond ``MAX_PIECES`` pieces the rare ones go, so memory is bounded.
 Special tokens' strings inside a text are ordinary text.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +25,10 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import ragged_ranges
 
 #: About 250 bytes each; a worker keeps the most used third when it has more.
-MAX_PIECES = 450_000
+MAX_PIECES = 900_000
 
 #: New pieces that are encoded as one text.
-JOINED = 64
+JOINED = 256
 
 _MARK = 0
 #: White space as a space, letters, digits and all bytes above 0x7F as a letter, other signs as one sign.
@@ -80,27 +81,27 @@ class _Pieces:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [array("I", e.ids) for e in found]
 
-    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces side by side, and the number of ids of each."""
-        groups = [pieces[at:at + JOINED] for at in range(0, len(pieces), JOINED)]
+    def _joined(self, groups: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each group ids of its pieces side by side, and the number of ids of each."""
         joined = [self.separator.join(own) for own in groups]
         found = self.tokenizer.encode_batch_fast([t.decode() for t in joined], add_special_tokens=False)
-        ids, sizes = [], []
         for own, text, encoding in zip(groups, joined, found, strict=True):
             together = np.array(encoding.ids, np.uint32)
-            apart = together == self.separator_id
-            ends = np.append(np.flatnonzero(apart), len(together))
+            ends = np.append(np.flatnonzero(together == self.separator_id), len(together))
             if len(ends) == len(own) and not (self.inseparable and self.inseparable.search(text)):
-                ids.append(together[~apart])
-                sizes.append(np.diff(ends, prepend=-1) - 1)
+                yield np.delete(together, ends[:-1]), np.diff(ends, prepend=-1) - 1
+            elif len(own) > 16:
+                half = len(own) // 2
+                yield from self._joined([own[:half], own[half:]])
             else:
                 single = self._encoded(own)
-                ids.append(np.frombuffer(b"".join(s.tobytes() for s in single), np.uint32))
-                sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
-        return np.concatenate(ids), np.concatenate(sizes)
+                yield (np.frombuffer(b"".join(s.tobytes() for s in single), np.uint32),
+                       np.fromiter(map(len, single), np.int64, len(single)))
 
     def _learn(self) -> None:
-        ids, sizes = self._joined(self.index.new)
+        new = self.index.new
+        ids, sizes = map(np.concatenate, zip(*self._joined(
+            [new[at:at + JOINED] for at in range(0, len(new), JOINED)]), strict=True))
         first, count = len(self.index) - len(sizes), len(self.index)
         while count > len(self.start):
             self.start, self.size, self.times = (np.pad(x, (0, len(x))) for x in (self.start, self.size, self.times))
@@ -169,7 +170,7 @@ class ByteTokens(_Pieces):
         cut = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0")
         if not any(pair in kinds for pair in (*_SIGN_BEFORE_STOP, b" ,", b" .")):
             cut = cut.replace(b",", b"\0,").replace(b".", b"\0.")
-        return [p for p in cut.split(b"\0") if p]
+        return list(filter(None, cut.split(b"\0")))
 
     @staticmethod
     @lru_cache(maxsize=1)
