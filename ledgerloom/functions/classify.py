@@ -23,6 +23,7 @@ from ledgerloom.functions import sqltext as sql
 
 _SPLIT = re.compile(r"\|(?![^(]*\))")
 _WORD = re.compile(r"[a-z0-9]+")
+_FIRST_WORDS = re.compile(r"\(\?:([a-z0-9|]+)\)(?![?*])")
 
 
 def _parts(rule: str) -> tuple[list[str], list[str], list[str] | None]:
@@ -32,6 +33,9 @@ def _parts(rule: str) -> tuple[list[str], list[str], list[str] | None]:
     pattern = [a for a in alternatives if not _WORD.fullmatch(a)]
     guards: set[str] = set()
     for alternative in pattern:
+        if choice := _FIRST_WORDS.match(alternative):
+            guards.update(choice.group(1).split("|"))
+            continue
         word = _WORD.match(alternative)
         if word is None:
             return literal, pattern, None
