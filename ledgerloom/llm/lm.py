@@ -10,15 +10,20 @@ of a word given what comes before is a mixture of three distributions:
 
 Ids that begin a word and ids that go on with one are different.  The most frequent ``SYMBOLS`` of either kind
 are symbols; the rest of a kind shares one symbol, within which an id has its smoothed share among all
-training ids.  How words go on is counted over all training words.  The
-mixture weights, one set for each range of places in a text, are fitted on the sample by expectation
-maximisation, leaving out each document's own counts.
+training ids.  How words go on is counted over all training words.
+
+The network learns from every word of every training text.  It begins with the ``SAMPLE`` texts of at most
+``LONGEST`` bytes with the smallest hash; then each task goes once over all texts of its rows, whatever their
+length, and the mean of the tasks' networks, weighted by their words, is the model.  The same pass notes, for every
+word, the logarithms of its share and of its copies against its spelling's chance, before the network learned from it;
+sums of these notes over all tasks give the mixture weights, one set for each range of places in a text, by
+expectation maximisation.  A word's own document is left out of its count there; words that aren't among the
+``FREQUENT`` most frequent ones count as the rest does on average.
 
 Over the whole corpus, with Spark: token counts (exact, by word), ids of all distinct words, and for
 scoring every chunk of documents asks the table of counts only for its own words: chunks of documents and
 their words' counts meet by chunk.  A chunk has about ``CHUNK_BYTES`` of texts whatever the size of the corpus, and a
-longer text is a chunk by itself.  No task and no driver holds the vocabulary.  The network is trained on
-the ``SAMPLE`` training texts of at most ``LONGEST`` bytes with the smallest hash, whole.
+longer text is a chunk by itself.  No task and no driver holds the vocabulary.
 
 Null texts are empty: one end.  Without training texts every word is unknown and the network untrained.
 Repeated rows each get their score.  Extra columns are carried only if asked for.
@@ -26,17 +31,18 @@ Repeated rows each get their score.  Extra columns are carried only if asked for
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.attention import BLOCK, STEPS, Attention, blocks_of
-from ledgerloom.llm.common import ragged_ranges, smallest, texts_of
+from ledgerloom.llm.attention import BLOCK, RATE, STEPS, Attention, Learner, blocks_of
+from ledgerloom.llm.common import ragged_ranges, smallest
 from ledgerloom.llm.tokens import ByteTokens
 from ledgerloom.session import materialize
 
@@ -45,7 +51,13 @@ LEADS = 63
 SAMPLE = 1500
 LONGEST = 20_000
 MAX_WORDS = 400_000
-SCORE_BLOCKS = 128
+SCORE_BLOCKS = 512
+#: Blocks a task learns from in its first step, and at most.
+LEAST_BLOCKS, LEARN_BLOCKS = 32, 512
+#: Words whose exact counts go to every task that learns.
+FREQUENT = 65_536
+#: Bytes of texts whose words are looked at together.
+SLICE_BYTES = 1_500_000
 #: Bytes of texts that meet their words' counts at once.
 CHUNK_BYTES = 8_000_000
 END = b"\n"  # white space, so never a word
@@ -54,28 +66,50 @@ SMOOTHING = 0.1
 PLACES = (1, 8, 32, 128, 512, 2048)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts side by side, and the number of words of each."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    # White space at the ends of a text leaves empty words.
+    some = pc.binary_length(words).to_numpy() > 0
+    if not some.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        words = words.filter(pa.array(some))
+    return words.cast(pa.binary()), sizes
 
 
-def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                                      names=["word", "n"])
+def _slices(batch: pa.RecordBatch | pa.Table, size: int = SLICE_BYTES) -> Iterator:
+    """Rows of about ``size`` bytes of texts together, or one."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    part = np.cumsum(sizes, dtype=np.int64) // size
+    bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for low, high in zip(bounds, [*bounds[1:], batch.num_rows], strict=True):
+        yield batch.slice(low, high - low)
 
 
 def token_counts(training: DataFrame) -> DataFrame:
     """Occurrences of every token, the end included; summed up inside each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in batches:
-            counts[END] += batch.num_rows
-            for text in texts_of(batch.column("text")):
-                counts.update(words_of(text))
-            if len(counts) > MAX_WORDS:
-                yield _counted(counts)
-                counts.clear()
-        if counts:
-            yield _counted(counts)
+            for part in _slices(batch):
+                found = _words(part.column("text"))[0].value_counts()
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([part.num_rows], pa.int64())}))
+                size += len(found)
+                if size > 3 * MAX_WORDS:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    if size > MAX_WORDS:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
     return (training.select("text").mapInArrow(run, "word binary, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -212,27 +246,15 @@ class Model:
     def spelled(self, three: np.ndarray, chance: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log10 probability of every word of several texts: ``at`` its number among the distinct words whose
         symbols and chances are given, ``ends`` the number of words up to each text's end."""
-        lengths = np.diff(np.concatenate(([0], ends)))
         vectors = np.concatenate([self.network.vectors(three), self.network.vectors(np.zeros((1, 3), np.int64))])
-        n, place, first = blocks_of(lengths)
-        read = np.empty(len(at), np.int64)  # the word before; before the first one an end
-        read[1:] = at[:-1]
-        read[np.concatenate(([0], ends[:-1]))] = len(three)
-        own = np.full(n * BLOCK, len(three), np.int64)
-        own[place] = read
-        own = own.reshape(n, BLOCK)
+        n, place, first, own = read_blocks(at, ends, len(three))
         target = np.zeros(n * BLOCK, np.int64)
         target[place] = three[at, 0]
         out = np.empty(n * BLOCK, np.float32)
         for low in range(0, n, SCORE_BLOCKS):
             high = min(n, low + SCORE_BLOCKS)
-            x = vectors[own[max(0, low - 1):high]]
-            before = x[:-1] if low else np.concatenate([x[:1], x[:-1]])
-            z = self.network.logits(x[1:] if low else x, before, first[low:high])
-            here = z[np.arange(len(z)), target[low * BLOCK:high * BLOCK]]
-            np.minimum(z, 60, out=z)
-            np.exp(z, out=z)
-            out[low * BLOCK:high * BLOCK] = np.minimum(here, 60) - np.log(z.sum(axis=1))
+            out[low * BLOCK:high * BLOCK] = self.network.chances(
+                vectors[own[low:high + 1]], first[low:high], target[low * BLOCK:high * BLOCK])
         return out[place] / np.log(10) + chance[at]
 
     def parts(self, count: np.ndarray, spelled: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -243,31 +265,66 @@ class Model:
         """log10 probability of every word."""
         return np.log10((parts * self.shares[np.searchsorted(PLACES, place, side="right")]).sum(axis=1))
 
-    def fit_shares(self, parts: np.ndarray, place: np.ndarray, rounds: int = 30) -> None:
-        """Expectation maximisation of the weights of each range of places."""
-        kind = np.searchsorted(PLACES, place, side="right")
+    def fit_shares(self, notes: Notes, rounds: int = 100) -> None:
+        """Expectation maximisation of the weights of each range of places, from notes of all words."""
+        words, copies, n = notes.cells()
         for _ in range(rounds):
-            own = parts * self.shares[kind] + 1e-300
-            own /= own.sum(axis=1, keepdims=True)
-            for k in range(len(self.shares)):
-                mine = own[kind == k]
-                # A little of every part, and never none of the spelling, which alone knows new words.
-                total = mine.sum(axis=0) + (1.0, 0.1, 1.0)
-                self.shares[k] = total / total.sum()
+            own = np.stack([words, copies, np.ones_like(words)], axis=-1) * self.shares[:, None, None, :]
+            own *= (n / np.maximum(own.sum(axis=-1), 1e-300))[..., None]
+            # A little of every part, and never none of the spelling, which alone knows new words.
+            total = own.sum(axis=(1, 2)) + (1.0, 0.1, 1.0)
+            self.shares = total / total.sum(axis=1, keepdims=True)
+
+
+class Notes:
+    """Numbers of words by range of places and by the chances of the other parts of the mixture against the spelling's,
+    as logarithms in steps of an eighth: all that its weights depend on."""
+
+    STEP, LEAST, CELLS = 0.125, -5.0, 122  # ratios from 1e-5 to 1e10, and none
+
+    def __init__(self) -> None:
+        self.n = np.zeros((len(PLACES) + 1, self.CELLS, self.CELLS), np.int64)
+
+    def add(self, parts: np.ndarray, place: np.ndarray) -> None:
+        with np.errstate(divide="ignore"):
+            ratio = np.log10(parts[:, :2]) - np.log10(np.maximum(parts[:, 2:], 1e-300))
+        cell = np.clip((ratio - self.LEAST) / self.STEP, -1, self.CELLS - 2).astype(np.int64) + 1
+        cell[~(ratio > self.LEAST)] = 0
+        kind = np.searchsorted(PLACES, place, side="right")
+        self.n += np.bincount((kind * self.CELLS + cell[:, 0]) * self.CELLS + cell[:, 1], minlength=self.n.size).reshape(self.n.shape)
 
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ratios of words' shares and of copies, and numbers of words, of all cells."""
+        value = np.concatenate(([0.0], 10 ** (self.LEAST + self.STEP * (np.arange(self.CELLS - 1) + 0.5))))
+        return (np.broadcast_to(value[None, :, None], self.n.shape), np.broadcast_to(value[None, None, :], self.n.shape), self.n)
 
-def occurrences(word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in its text and earlier occurrences there of every word given by index."""
+
+def read_blocks(at: np.ndarray, ends: np.ndarray, nothing: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of texts of words given by number: how many, place of every word, which begin a text, and the word read at
+    each place, the one before; before the first one an end (``nothing``).  One block to read from goes before them."""
+    n, place, first = blocks_of(np.diff(np.concatenate(([0], ends))))
+    read = np.empty(len(at), np.int64)
+    read[1:] = at[:-1]
+    read[np.concatenate(([0], ends[:-1]))] = nothing
+    own = np.full((n + 1) * BLOCK, nothing, np.int64)
+    own[place + BLOCK] = read
+    return n, place, first, own.reshape(n + 1, BLOCK)
+
+
+def occurrences(word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in its text, earlier occurrences there and all occurrences there of every word given by index."""
     sizes = np.diff(np.concatenate(([0], ends)))
     text = np.repeat(np.arange(len(ends)), sizes)
     place = ragged_ranges(np.zeros(len(ends), np.int64), sizes)
-    order = np.lexsort((word, text))  # stable: places stay in order
-    new = np.ones(len(order), bool)
-    new[1:] = (word[order][1:] != word[order][:-1]) | (text[order][1:] != text[order][:-1])
-    head = np.flatnonzero(new)
-    before = np.empty(len(order), np.int64)
-    before[order] = ragged_ranges(np.zeros(len(head), np.int64), np.diff(np.append(head, len(order))))
-    return place, before
+    key = (text * (int(word.max(initial=0)) + 1) + word)
+    order = np.argsort(key, kind="stable")  # places stay in order
+    key = key[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times = np.diff(np.append(head, len(order)))
+    before, again = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    before[order] = ragged_ranges(np.zeros(len(head), np.int64), times)
+    again[order] = np.repeat(times, times)
+    return place, before, again
 
 
 def sample(training: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> list[bytes]:
@@ -278,18 +335,54 @@ def sample(training: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> l
     return [r["text"].encode() for r in found]
 
 
+def coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words and the end, number of every word (an end after each text), number of words up to each end."""
+    words, sizes = _words(column)
+    found = words.dictionary_encode()
+    ends = np.cumsum(sizes + 1)
+    at = np.full(len(words) + len(sizes), len(found.dictionary), np.int64)
+    inner = np.ones(len(at), bool)
+    inner[ends - 1] = False
+    at[inner] = found.indices.to_numpy()
+    return pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())]), at, ends
+
+
 def streams(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, number of every word (an end after each text), number of words up to each end."""
-    words = [[*words_of(t), END] for t in texts]
-    flat = [w for own in words for w in own]
-    distinct = list(dict.fromkeys(flat))
-    index = dict(zip(distinct, range(len(distinct)), strict=True))
-    at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-    return distinct, at, np.cumsum([len(w) for w in words])
+    distinct, at, ends = coded(pa.array(texts, pa.binary()))
+    return distinct.to_pylist(), at, ends
+
+
+def counts_of(words: pa.Array, table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Count of every word in a table of words and counts, -1 for others."""
+    found = pc.index_in(words, value_set=_whole(table.column("word")))
+    n = np.append(_whole(table.column("n")).to_numpy(), -1)
+    return n[pc.fill_null(found, -1).to_numpy()].astype(np.int64)
+
+
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, float]:
+    """The most frequent words with their counts, and what another occurrence of the rest has on average besides itself."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(
+        F.count("*").alias("c"), F.sum("n").cast("double").alias("n"),
+        F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("others")).orderBy(F.desc("step")).collect()  # 16 a doubling
+    lowest, held, n, others = 2**31 - 1, 0, 0.0, 0.0
+    for row in sizes:
+        held += row["c"]
+        if held <= most:
+            lowest = row["step"]
+        else:
+            n, others = n + row["n"], others + row["others"]
+    rows = counts.where(step >= lowest).collect()
+    table = pa.table({"word": pa.array([bytes(r["word"]) for r in rows], pa.binary()), "n": pa.array([r["n"] for r in rows], pa.int64())})
+    return table, others / max(1.0, n)
 
 
 def fit(training: DataFrame, counts: DataFrame, path: str, size: int = SAMPLE) -> Model:
-    """Symbols and continuations from all training words, the network and the mixture from the sample."""
+    """Symbols, continuations, network and mixture from all training words; ``size``: texts the network begins with."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     first = begins(path)
     used = _summed(counts, path, len(first), lambda ids, sizes: (ids, np.repeat(np.arange(len(sizes)), sizes)))
@@ -298,34 +391,85 @@ def fit(training: DataFrame, counts: DataFrame, path: str, size: int = SAMPLE) -
     network = Attention.new(1 + spelling.fronts + spelling.backs, 1 + spelling.fronts)
     model = Model(network, spelling, int(totals["n"]), int(totals["v"]), np.tile([0.8, 0.1, 0.1], (len(PLACES) + 1, 1)))
     texts = sample(training, size)
-    if not texts:
-        return model
-    words, at, ends = streams(texts)
-    three, chance = spelling.words(*Subwords(path).of(words))
-    learn(model, three, at, ends)
-    asked = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
-    found = {bytes(r["word"]): r["n"] for r in counts.join(F.broadcast(asked), "word").collect()}  # the sample's words
-    text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-    _, again, own = np.unique(text * len(words) + at, return_inverse=True, return_counts=True)
-    count = np.array([found.get(w, 0) for w in words])[at] - own[again]
-    place, before = occurrences(at, ends)
-    model.fit_shares(model.parts(np.maximum(count, 0), model.spelled(three, chance, at, ends), place, before), place)
+    if texts:
+        words, at, ends = streams(texts)
+        learn(model, spelling.words(*Subwords(path).of(words))[0], at, ends)
+    learn_all(training, model, path, *frequent_words(counts))
     return model
 
 
+def learn_all(training: DataFrame, model: Model, path: str, frequent: pa.Table, rest: float) -> None:
+    """The network goes over every training text, in as many copies as there are tasks, whose mean it becomes; then the
+    mixture's weights."""
+    shape = Notes().n.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, notes, n = Subwords(path), Notes(), 0
+        own = Model(Attention(model.network.flat.copy(), model.network.shapes), model.spelling, model.tokens, model.distinct, model.shares)
+        learner = Learner(own.network)
+        for batch in batches:
+            for part in _slices(batch, CHUNK_BYTES):
+                words, at, ends = coded(part.column("text"))
+                three, chance = own.spelling.words(*subwords.of(words.to_pylist()))
+                spelled = _learned(learner, three, at, ends) / np.log(10) + chance[at]
+                place, before, again = occurrences(at, ends)
+                count = counts_of(words, frequent)[at]
+                count = np.where(count < 0, rest, np.maximum(count - again, 0))
+                notes.add(own.parts(count, spelled, place, before), place)
+                n += len(at)
+        if n:
+            yield sums(TaskContext.get().partitionId() % 16, n, own.network.flat * np.float64(n), notes.n)
+
+    def sums(slot: int, n: int, flat: np.ndarray, noted: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([noted.tobytes()], pa.binary())],
+            names=["slot", "n", "flat", "notes"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, flat, noted = 0, 0.0, np.zeros(shape, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                n += row["n"]
+                flat = flat + np.frombuffer(row["flat"])
+                noted += np.frombuffer(row["notes"], np.int64).reshape(shape)
+        if n:
+            yield sums(0, n, flat, noted)
+
+    schema = "slot int, n bigint, flat binary, notes binary"
+    found = training.select("text").mapInArrow(run, schema).repartition("slot").mapInArrow(add, schema).collect()  # 16 rows at most
+    if found:
+        model.network.flat = (sum(np.frombuffer(r["flat"]) for r in found) / sum(r["n"] for r in found)).astype(np.float32)
+        notes = Notes()
+        notes.n = sum(np.frombuffer(r["notes"], np.int64).reshape(shape) for r in found)
+        model.fit_shares(notes)
+
+
+def _learned(learner: Learner, three: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the chance of every word's first symbol, each before the network learns from it."""
+    n, place, first, own = read_blocks(at, ends, len(three))
+    symbols = np.concatenate([three, np.zeros((1, 3), np.int64)])
+    target = np.full(n * BLOCK, -1, np.int64)
+    target[place] = three[at, 0]
+    target = target.reshape(n, BLOCK)
+    found = np.empty(n * BLOCK, np.float32)
+    low = 0
+    while low < n:
+        high = min(n, low + min(LEARN_BLOCKS, LEAST_BLOCKS + 2 * learner.steps))
+        rate = 0.2 * RATE * min(1.0, (learner.steps + 1) / 20) / (1 + learner.steps / 500) ** 0.5
+        found[low * BLOCK:high * BLOCK][target[low:high].ravel() >= 0] = learner.step(
+            symbols[own[low:high + 1]], first[low:high], target[low:high], rate)
+        low = high
+    return found[place]
+
+
 def learn(model: Model, three: np.ndarray, at: np.ndarray, ends: np.ndarray, steps: int = STEPS) -> list[float]:
     """Train the network on texts of words given by number."""
-    n, place, first = blocks_of(np.diff(np.concatenate(([0], ends))))
-    read = np.empty((len(at), 3), np.int64)
-    read[1:] = three[at[:-1]]
-    read[np.concatenate(([0], ends[:-1]))] = 0
-    own = np.zeros((n * BLOCK, 3), np.int64)
-    own[place] = read
+    n, place, first, own = read_blocks(at, ends, len(three))
     target = np.full(n * BLOCK, -1, np.int64)
     target[place] = three[at, 0]
-    share = np.bincount(three[at, 0], minlength=len(model.network.weights["prior"])) + 0.5
-    model.network.weights["prior"] = np.log(share / share.sum()).astype(np.float32)
-    return model.network.train(own.reshape(n, BLOCK, 3), first, target.reshape(n, BLOCK), steps)
+    model.network.set_prior(np.bincount(three[at, 0], minlength=1 + model.spelling.fronts) + 0.5)
+    symbols = np.concatenate([three, np.zeros((1, 3), np.int64)])[own[1:]]
+    return model.network.train(symbols, first, target.reshape(n, BLOCK), steps)
 
 
 def chunked(source: DataFrame) -> DataFrame:
@@ -346,20 +490,29 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
     dealt = source.repartition("chunk").sortWithinPartitions("chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, {END}
+        now, found, size = None, [], 0
         for batch in batches:
-            for chunk, own in zip(batch.column("chunk").to_pylist(), texts_of(batch.column("text")), strict=True):
-                if now is not None and (chunk != now or len(found) > MAX_WORDS):
+            if not batch.num_rows:
+                continue
+            chunks = batch.column("chunk").to_numpy()
+            bounds = np.flatnonzero(np.concatenate(([True], chunks[1:] != chunks[:-1]))).tolist()
+            for low, high in zip(bounds, [*bounds[1:], len(chunks)], strict=True):
+                if now is not None and (chunks[low] != now or size > MAX_WORDS):
                     yield asked(now, found)
-                    found = {END}
-                now = chunk
-                found.update(words_of(own))
+                    found, size = [], 0
+                now = int(chunks[low])
+                for part in _slices(batch.slice(low, high - low)):
+                    found.append(_words(part.column("text"))[0].unique())
+                    size += len(found[-1])
+                if size > MAX_WORDS:
+                    found = [pa.concat_arrays(found).unique()]
+                    size = len(found[0])
         if now is not None:
             yield asked(now, found)
 
-    def asked(chunk: int, words: set[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(words), pa.binary()), pa.array(np.full(len(words), chunk, np.int64))], names=["word", "chunk"])
+    def asked(chunk: int, found: list[pa.Array]) -> pa.RecordBatch:
+        words = pa.concat_arrays([*found, pa.array([END], pa.binary())]).unique()
+        return pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), chunk, np.int64))], names=["word", "chunk"])
 
     answers = dealt.select("chunk", "text").mapInArrow(ask, "word binary, chunk bigint").join(counts, "word").select(
         "chunk", "word", "n")
@@ -368,16 +521,18 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
               + "".join(f", {c} {kinds[c]}" for c in extra))
 
     def score(own: pa.Table, answer: pa.Table) -> pa.Table:
-        known = dict(zip(answer.column("word").to_pylist(), answer.column("n").to_pylist(), strict=True))
-        subwords, parts = Subwords(path), []
-        for at in range(0, own.num_rows, 100):
-            part = own.slice(at, 100)
-            texts = texts_of(part.column("text").combine_chunks())
-            words, at_word, ends = streams(texts)
-            three, chance = model.spelling.words(*subwords.of(words))
-            count = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))[at_word]
+        if not own.num_rows:
+            return None
+        words, every, stops = coded(_whole(own.column("text")))
+        three, chance = model.spelling.words(*Subwords(path).of(words.to_pylist()))
+        counted, parts, row, low = np.maximum(counts_of(words, answer), 0), [], 0, 0
+        for part in _slices(own):
+            ends = stops[row:row + part.num_rows] - low
+            at_word = every[low:low + ends[-1]]
+            row, low = row + part.num_rows, low + ends[-1]
+            count = counted[at_word]
             first = np.concatenate(([0], ends[:-1]))
-            place, before = occurrences(at_word, ends)
+            place, before, _ = occurrences(at_word, ends)
             parts_of = model.parts(count, model.spelled(three, chance, at_word, ends), place, before)
             mixed = np.add.reduceat(model.mixed(parts_of, place), first)
             parts.append([part.column("doc_id").combine_chunks(), pa.array(ends - first),
@@ -385,7 +540,7 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
                           pa.array(np.add.reduceat(model.base(count), first)), pa.array(mixed),
                           *(part.column(c).combine_chunks() for c in extra)])
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score", *extra]
-        return pa.table([pa.chunked_array(c) for c in zip(*parts, strict=True)], names=names) if parts else None
+        return pa.table([pa.chunked_array(c) for c in zip(*parts, strict=True)], names=names)
 
     def run(key: tuple, own: pa.Table, answer: pa.Table) -> pa.Table:
         found = score(own, answer)

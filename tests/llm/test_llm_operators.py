@@ -15,6 +15,7 @@ import corpus_pipeline
 from ledgerloom.llm import (
     chat, decontaminate, jaccard, langid, lm, packing, quality, rans, suffix_dedup, token_files, toxicity,
 )
+from ledgerloom.llm.attention import Attention
 from ledgerloom.llm.induced import suffix_order
 from ledgerloom.llm.tokens import ByteTokens, WordTokens
 
@@ -400,6 +401,41 @@ def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
     assert lm.score_documents(none, none["n"] == 1, BYTE).count() == 0
 
 
+def test_lm_learns_from_all_training_texts(spark):
+    """Longer texts than those the network begins with, and texts beyond their number, change its chances and weights."""
+    rng = random.Random(4)
+    few = [(i, " ".join(rng.choice(["qab", "zot"]) for _ in range(60))) for i in range(8)]
+    long = [(100 + i, "qab zot " * (lm.LONGEST // 2)) for i in range(12)]  # one always after the other
+    model = {}
+    for name, rows in (("few", few), ("all", few + long)):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        model[name] = lm.fit(frame, lm.token_counts(frame), BYTE, size=4)
+        assert [len(t) for t in lm.sample(frame, 4)] == [239] * 4
+        words, at, ends = lm.streams([b"qab zot " * 20])
+        three, chance = model[name].spelling.words(*lm.Subwords(BYTE).of(words))
+        model[name, "score"] = model[name].spelled(three, chance, at, ends)[5:35].mean()
+    assert model["all", "score"] > model["few", "score"] + 0.1  # the rest of the texts counts
+    assert not np.allclose(model["all"].shares, model["few"].shares)
+
+
+def test_attention_gradients_are_differences():
+    rng = np.random.default_rng(1)
+    network = Attention.new(30, 37)
+    network.flat = network.flat.astype(np.float64)
+    own, first = rng.integers(0, 30, (6, 16, 3)), np.array([1, 0, 0, 1, 0], bool)
+    target = rng.integers(-1, 37, (5, 16))
+    found, gradient = network.gradients(own, first, target)
+    every = network.chances(network.vectors(own), first, np.maximum(target.ravel(), 0))
+    assert np.allclose(every[target.ravel() >= 0], found, atol=1e-4)
+    for i in np.argsort(-np.abs(gradient))[:40:4]:
+        loss = []
+        for step in (1e-3, -2e-3):
+            network.flat[i] += step
+            loss.append(-network.gradients(own, first, target)[0].mean())
+        network.flat[i] += 1e-3
+        assert abs((loss[0] - loss[1]) / 2e-3 - gradient[i]) < 1e-3 + 0.02 * abs(gradient[i])
+
+
 def test_toxicity_learns_words_and_parts(spark, odd):
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 7))) for _ in range(300)]
