@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,19 +173,6 @@ def _short(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
 
 
-def signatures(documents: DataFrame, k: int, frequent: tuple[bytes, bytes]) -> DataFrame:
-    """``doc_id``, size and class (hash of the set, and its first 64 bits) of every document."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingles(texts_of(batch.column("text")), k, _words(*frequent))
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(digests, pa.binary()), pa.array(signed(_short(digests)))],
-            names=["doc_id", "n", "class", "short"])
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(source, run, "doc_id bigint, n bigint, class binary, short bigint", rows=500)
-
-
 _ENTRY = np.dtype([("s", "<u8"), ("c", "<u8"), ("n", "<i8")])
 
 
@@ -205,9 +193,10 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _postings(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes], parts: int) -> DataFrame:
-    """Prefix entries (shingle, class, twice the size plus whether in the index prefix) in packed runs.
+    """Size and class (hash of the set, and its first 64 bits) of every document, and prefix entries (shingle, class, twice
+    the size plus whether in the index prefix) in packed runs; both from one making of the shingles.
 
-    A task drops entries it has already and packs what goes to the same of ``parts`` hash ranges.
+    A task drops entries it has already and packs what goes to the same of ``parts`` hash ranges; documents go around.
     """
     def flush(found: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(found)
@@ -218,22 +207,32 @@ def _postings(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes,
         new[1:] = (rows["s"][1:] != rows["s"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
         rows, part = rows[new], part[new]
         bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[bounds[:-1]].astype(np.int32)),
-             pa.array([_pack(rows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-            names=["part", "entries"])
+        packed = [_pack(rows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        none = [pa.nulls(len(packed), kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(packed, pa.binary()), *none], names=names)
+
+    names = ["part", "entries", "doc_id", "n", "class", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found, held = _words(*frequent), [], 0
+        words, found, held, given = _words(*frequent), [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                sets = [s for s in shingles(texts_of(batch.column("text").slice(at, 500)), k, words) if len(s)]
+                own = batch.slice(at, 500)
+                every = shingles(texts_of(own.column("text")), k, words)
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in every]
+                short = _short(digests)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(((given + np.arange(len(every))) % parts).astype(np.int32)), pa.nulls(len(every), pa.binary()), own.column("doc_id"),
+                     pa.array([len(s) for s in every], pa.int64()), pa.array(digests, pa.binary()), pa.array(signed(short))], names=names)
+                given += len(every)
+                some = [i for i, s in enumerate(every) if len(s)]
+                sets = [every[i] for i in some]
                 lengths = [prefix_length(len(s), percent) for s in sets]
                 rows = np.empty(sum(lengths), _ENTRY)
                 if not len(rows):
                     continue
                 rows["s"] = np.concatenate([s[:p] for s, p in zip(sets, lengths, strict=True)])
-                rows["c"] = np.repeat(_short([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), lengths)
+                rows["c"] = np.repeat(short[some], lengths)
                 size, place = np.repeat([len(s) for s in sets], lengths), ragged_ranges(np.zeros(len(sets), np.int64), np.array(lengths))
                 # The smaller of two that link has its first shared shingle among n * (1 - t) / (1 + t).
                 rows["n"] = 2 * size + (place * (100 + percent) <= size * (100 - percent))
@@ -245,7 +244,8 @@ def _postings(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes,
         if found:
             yield flush(found)
 
-    return documents.select("text").mapInArrow(run, "part int, entries binary")
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return source.mapInArrow(run, "part int, entries binary, doc_id bigint, n bigint, class binary, short bigint")
 
 
 def gathered(rows: np.ndarray, percent: int) -> np.ndarray:
@@ -273,12 +273,20 @@ def gathered(rows: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.stack([np.repeat(rows["c"][first], size)[good], rows["c"][good]], axis=1), axis=0)
 
 
-def _members(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
-    """Distinct ``leader`` and ``short`` of classes that are compared with each other."""
+def signatures(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
+    """``doc_id``, size ``n`` and class of every document, and, in rows with a ``leader``, ``short`` of the classes that are
+    compared with each other."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, []
         for batch in batches:
-            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            documents = batch.filter(pc.is_null(batch.column("entries")))
+            if documents.num_rows:
+                own = [documents.column(c) for c in ("doc_id", "n", "class", "short")]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(documents.num_rows, pa.int64())], names=names)
+            packed = batch.filter(pc.is_valid(batch.column("entries")))
+            for part, entries in zip(packed.column("part").to_pylist(), packed.column("entries").to_pylist(), strict=True):
                 if part != now:
                     if found:
                         yield pairs(found)
@@ -287,15 +295,17 @@ def _members(documents: DataFrame, k: int, percent: int, frequent: tuple[bytes,
         if found:
             yield pairs(found)
 
+    names = ["doc_id", "n", "class", "short", "leader"]
+
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
         out = gathered(np.concatenate(found), percent)
-        return pa.RecordBatch.from_arrays([pa.array(signed(out[:, 0])), pa.array(signed(out[:, 1]))],
-                                          names=["leader", "short"])
+        none = [pa.nulls(len(out), kind) for kind in kinds[:3]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(signed(out[:, 1])), pa.array(signed(out[:, 0]))], names=names)
 
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _postings(documents, k, percent, frequent, 4 * n)
     return (packed.repartition("part").sortWithinPartitions("part")
-            .mapInArrow(run, "leader bigint, short bigint").distinct())
+            .mapInArrow(run, "doc_id bigint, n bigint, class binary, short bigint, leader bigint"))
 
 
 def _dealt(candidates: DataFrame, classes: DataFrame) -> DataFrame:
@@ -339,9 +349,10 @@ def _linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
                 yield int(order[i]), int(order[j])
 
 
-def links(documents: DataFrame, classes: DataFrame, k: int, percent: int, frequent: tuple[bytes, bytes]) -> DataFrame:
-    """Links between classes that connect all that link: ``a`` and ``b``."""
-    dealt = _dealt(_members(documents, k, percent, frequent), classes)
+def links(documents: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int,
+          frequent: tuple[bytes, bytes]) -> DataFrame:
+    """Links between classes that connect all that link: ``a`` and ``b``; ``members``: which classes are compared."""
+    dealt = _dealt(members, classes)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = (dealt.join(source, F.col("rep").eqNullSafe(F.col("doc_id")))
             .select("leader", "low", "high", "class", "text")
@@ -387,9 +398,11 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def groups(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest connected id) of every row."""
     frequent = word_counts(documents)
-    every = materialize(signatures(documents, k, frequent), "signatures")
+    both = materialize(signatures(documents, k, percent, frequent), "signatures")
+    every = both.where("leader IS NULL").drop("leader")
+    members = both.where("leader IS NOT NULL").select("leader", "short").distinct()
     classes = materialize(every.where("n > 0").groupBy("class", "short", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(materialize(links(documents, classes, k, percent, frequent), "links"), "a", "b")
+    found = components(materialize(links(documents, classes, members, k, percent, frequent), "links"), "a", "b")
     rooted = (classes.select("class", "rep").join(found, F.col("class") == F.col("node"), "left")
               .select("class", "rep", F.coalesce("root", "class").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
