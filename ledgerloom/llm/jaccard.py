@@ -26,7 +26,6 @@ null id take part like others; the smallest id of a group leaves nulls out.  Ext
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_batches, ragged_ranges, signed, texts_of
+from ledgerloom.llm.common import ragged_ranges, signed, slices_of, texts_of, words_in
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialize
 
 SHINGLE = 5
 PERCENT = 80
 FREQUENT = 65_536
+#: Bytes of texts whose words are counted together.
+SLICE_BYTES = 4_000_000
 BLOCK_CLASSES = 2048
 BLOCK_SHINGLES = 2_000_000
 BUCKETS = 64
@@ -103,20 +104,28 @@ def _words(hashes: bytes, logs: bytes) -> _Words:
 def word_counts(documents: DataFrame, most: int = FREQUENT) -> tuple[bytes, bytes]:
     """Hashes and log counts of the most frequent words; all words of all documents are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                counts.update(text.lower().split())
-            if len(counts) > MAX_WORDS:
-                yield given(counts)
-                counts.clear()
-        if counts:
-            yield given(counts)
-
-    def given(counts: Counter[bytes]) -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
+            for part in slices_of(batch, SLICE_BYTES):
+                found = words_in(part.column("text"))[0].value_counts()
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                size += len(found)
+                if size > 3 * MAX_WORDS:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    if size > MAX_WORDS:
+                        yield given(held[0])
+                        held, size = [], 0
+        if size:
+            yield given(summed(held))
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+
+    def given(counts: pa.Table) -> pa.RecordBatch:
+        hashes = [xxhash.xxh3_64_intdigest(w) for w in counts.column("word").to_numpy().tolist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(hashes)), pa.array(list(counts.values()), pa.int64())], names=["h", "n"])
+            [pa.array(signed(np.array(hashes, np.uint64))), counts.column("n_sum").combine_chunks()], names=["h", "n"])
 
     counted = materialize(documents.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h")
                           .agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
@@ -137,9 +146,9 @@ def word_counts(documents: DataFrame, most: int = FREQUENT) -> tuple[bytes, byte
 
 def shingles(texts: list[bytes], k: int, words: _Words) -> list[np.ndarray]:
     """Sorted distinct keys of each text's shingles: 8 bits of rank, rare first, above 56 of hash."""
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    h, log = words.look_up([w for own in split for w in own])
+    flat, sizes = words_in(pa.array(texts, pa.binary()))
+    coded = flat.dictionary_encode()
+    h, log = (x[coded.indices.to_numpy()] for x in words.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
     total = len(h)
     if total >= k:
         x, rank = np.zeros(total - k + 1, np.uint64), np.zeros(total - k + 1, np.float32)
@@ -149,14 +158,14 @@ def shingles(texts: list[bytes], k: int, words: _Words) -> list[np.ndarray]:
         x = _mix(x)
         keys = (np.minimum(rank * (8 / k), 255).astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
     out, at = [], 0
-    for size, own in zip(sizes.tolist(), split, strict=True):
+    for size, own in zip(sizes.tolist(), texts, strict=True):
         if size >= k:
             found = np.sort(keys[at:at + size - k + 1])
             if len(found) > 1:
                 found = found[np.concatenate(([True], found[1:] != found[:-1]))]
             out.append(found)
         elif size:
-            whole = xxhash.xxh3_64_intdigest(b" ".join(own), seed=size)
+            whole = xxhash.xxh3_64_intdigest(b" ".join(own.lower().split()), seed=size)
             out.append(np.array([whole >> 8], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.attention import BLOCK, RATE, STEPS, Attention, Learner, blocks_of
-from ledgerloom.llm.common import ragged_ranges, smallest
+from ledgerloom.llm.common import ragged_ranges, slices_of, smallest, words_in
 from ledgerloom.llm.tokens import ByteTokens
 from ledgerloom.session import materialize
 
@@ -66,36 +66,13 @@ SMOOTHING = 0.1
 PLACES = (1, 8, 32, 128, 512, 2048)
 
 
-def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of all texts side by side, and the number of words of each."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
-    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
-    # White space at the ends of a text leaves empty words.
-    some = pc.binary_length(words).to_numpy() > 0
-    if not some.all():
-        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
-        words = words.filter(pa.array(some))
-    return words.cast(pa.binary()), sizes
-
-
-def _slices(batch: pa.RecordBatch | pa.Table, size: int = SLICE_BYTES) -> Iterator:
-    """Rows of about ``size`` bytes of texts together, or one."""
-    if not batch.num_rows:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
-    part = np.cumsum(sizes, dtype=np.int64) // size
-    bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-    for low, high in zip(bounds, [*bounds[1:], batch.num_rows], strict=True):
-        yield batch.slice(low, high - low)
-
-
 def token_counts(training: DataFrame) -> DataFrame:
     """Occurrences of every token, the end included; summed up inside each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in _slices(batch):
-                found = _words(part.column("text"))[0].value_counts()
+            for part in slices_of(batch, SLICE_BYTES):
+                found = words_in(part.column("text"))[0].value_counts()
                 held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
                 held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([part.num_rows], pa.int64())}))
                 size += len(found)
@@ -337,7 +314,7 @@ def sample(training: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> l
 
 def coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words and the end, number of every word (an end after each text), number of words up to each end."""
-    words, sizes = _words(column)
+    words, sizes = words_in(column)
     found = words.dictionary_encode()
     ends = np.cumsum(sizes + 1)
     at = np.full(len(words) + len(sizes), len(found.dictionary), np.int64)
@@ -408,9 +385,9 @@ def learn_all(training: DataFrame, model: Model, path: str, frequent: pa.Table,
         own = Model(Attention(model.network.flat.copy(), model.network.shapes), model.spelling, model.tokens, model.distinct, model.shares)
         learner = Learner(own.network)
         for batch in batches:
-            for part in _slices(batch, CHUNK_BYTES):
+            for part in slices_of(batch, CHUNK_BYTES):
                 words, at, ends = coded(part.column("text"))
-                three, chance = own.spelling.words(*subwords.of(words.to_pylist()))
+                three, chance = own.spelling.words(*subwords.of(words.to_numpy(zero_copy_only=False).tolist()))
                 spelled = _learned(learner, three, at, ends) / np.log(10) + chance[at]
                 place, before, again = occurrences(at, ends)
                 count = counts_of(words, frequent)[at]
@@ -501,8 +478,8 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
                     yield asked(now, found)
                     found, size = [], 0
                 now = int(chunks[low])
-                for part in _slices(batch.slice(low, high - low)):
-                    found.append(_words(part.column("text"))[0].unique())
+                for part in slices_of(batch.slice(low, high - low), SLICE_BYTES):
+                    found.append(words_in(part.column("text"))[0].unique())
                     size += len(found[-1])
                 if size > MAX_WORDS:
                     found = [pa.concat_arrays(found).unique()]
@@ -524,9 +501,9 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
         if not own.num_rows:
             return None
         words, every, stops = coded(_whole(own.column("text")))
-        three, chance = model.spelling.words(*Subwords(path).of(words.to_pylist()))
+        three, chance = model.spelling.words(*Subwords(path).of(words.to_numpy(zero_copy_only=False).tolist()))
         counted, parts, row, low = np.maximum(counts_of(words, answer), 0), [], 0, 0
-        for part in _slices(own):
+        for part in slices_of(own, SLICE_BYTES):
             ends = stops[row:row + part.num_rows] - low
             at_word = every[low:low + ends[-1]]
             row, low = row + part.num_rows, low + ends[-1]

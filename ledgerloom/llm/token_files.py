@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import rans
-from ledgerloom.llm.common import map_batches, texts_of
+from ledgerloom.llm.common import map_batches, slices_of, texts_of
 from ledgerloom.llm.tokens import WordTokens
 from ledgerloom.session import scratch_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
+#: Bytes of texts whose words are numbered together.
+SLICE_BYTES = 4_000_000
 BLOCKS = ("file bigint, block bigint, start_in_file bigint, n_ids bigint, doc_ids array<bigint>, "
           "doc_lengths array<bigint>, payload binary")
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
@@ -41,8 +43,7 @@ ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iterator[tuple[int | None, bytes]]:
     tokens, last = WordTokens.shared(tokenizer), np.array([end], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices_of(batch, SLICE_BYTES):
             ids = tokens.encode(texts_of(part.column("text")))
             yield from zip(part.column("doc_id").to_pylist(), (i + last for i in ids), strict=True)
 

@@ -6,7 +6,8 @@ before a space, around a line feed, and before a comma or full stop that follows
 texts where these places are no cuts of the tokenizer (two white-space characters in a row, signs
 before a comma) are encoded as they are.  Pieces are numbered by a dictionary; new ones are encoded in one call, a group of
 them joined by a separator of one id, which costs less than a call's work for each.  A group whose ids hold another number of
-separators than were put in is halved, and encoded piece by piece when it is small.
+separators than were put in is halved, and encoded piece by piece when it is small.  Pieces of ASCII letters alone need no
+separator: their first or last token shows by itself where they begin or end.
 Beyond ``MAX_PIECES`` pieces the rare ones go, so memory is bounded.
 Special tokens' strings inside a text are ordinary text.
 """
@@ -20,9 +21,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.common import ragged_ranges
+from ledgerloom.llm.common import ragged_ranges, words_in
 
 #: About 250 bytes each; a worker keeps the most used third when it has more.
 MAX_PIECES = 900_000
@@ -59,6 +61,9 @@ class _Pieces:
     #: Stands between pieces that are encoded together, and what a joined text may not hold.
     separator = b""
     inseparable: re.Pattern[bytes] | None = None
+    #: Stands between pieces of letters alone; the sign, in a token's text, of the edge of a piece.
+    glue = b""
+    sign = re.compile("")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
@@ -66,6 +71,8 @@ class _Pieces:
         self.tokenizer.encode_special_tokens = True
         alone = self._encoded([self.separator])[0]
         self.separator_id = alone[0] if len(alone) == 1 else None
+        texts = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.edge = np.array([self.sign.search(t) is not None for t in texts])
         self._reset()
 
     def _reset(self) -> None:
@@ -98,10 +105,36 @@ class _Pieces:
                 yield (np.frombuffer(b"".join(s.tobytes() for s in single), np.uint32),
                        np.fromiter(map(len, single), np.int64, len(single)))
 
+    def _glued(self, groups: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``_joined``, for pieces of letters alone, whose borders the tokens show."""
+        joined = [self.glue.join(own).decode() for own in groups]
+        for own, encoding in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            together = np.array(encoding.ids, np.uint32)
+            sizes = self._borders(self.edge[together])
+            if len(sizes) == len(own) and sizes.sum() == len(together):
+                yield together, sizes
+            else:
+                yield from self._joined([own])
+
+    def _alone(self, piece: bytes) -> bool:
+        """Whether a piece is letters of ASCII only, which the tokenizer never cuts before it merges."""
+        raise NotImplementedError
+
+    def _borders(self, edge: np.ndarray) -> np.ndarray:
+        """Number of ids of each piece, from the ids that stand at a piece's edge."""
+        raise NotImplementedError
+
     def _learn(self) -> None:
         new = self.index.new
-        ids, sizes = map(np.concatenate, zip(*self._joined(
-            [new[at:at + JOINED] for at in range(0, len(new), JOINED)]), strict=True))
+        plain = np.fromiter(map(self._alone, new), bool, len(new))
+        order = np.argsort(~plain, kind="stable")
+        put = [new[i] for i in order.tolist()]
+        border = int(plain.sum())
+        groups = [put[at:min(at + JOINED, stop)] for low, stop in ((0, border), (border, len(put))) for at in range(low, stop, JOINED)]
+        found = [*self._glued(groups[:-(-border // JOINED)]), *self._joined(groups[-(-border // JOINED):])]
+        ids, sizes = map(np.concatenate, zip(*found, strict=True))
+        back = np.argsort(order)
+        ids, sizes = ids[ragged_ranges((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
         first, count = len(self.index) - len(sizes), len(self.index)
         while count > len(self.start):
             self.start, self.size, self.times = (np.pad(x, (0, len(x))) for x in (self.start, self.size, self.times))
@@ -113,14 +146,14 @@ class _Pieces:
         self.size[first:count] = sizes
         self.used, self.index.new = total, []
 
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """Number of every piece; numbers hold until the next call."""
+    def numbers(self, pieces: list[bytes], times: np.ndarray | None = None) -> np.ndarray:
+        """Number of every piece; numbers hold until the next call.  ``times``: how often each stands here, if not once."""
         if len(self.index) > MAX_PIECES:
             self._keep_frequent()
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.index.new:
             self._learn()
-        self.times[:len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
+        self.times[:len(self.index)] += np.bincount(at, times, len(self.index)).astype(np.int32)
         return at
 
     def _keep_frequent(self) -> None:
@@ -133,6 +166,12 @@ class _Pieces:
         self.ids, self.used = ids, len(ids)
         self.start, self.size, self.times = np.cumsum(sizes) - sizes, sizes.astype(np.int32), times
 
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray | list[int], list[int]]:
+        """Number of every piece of all texts, the number of pieces of each, and which texts can't be cut."""
+        cut = [self.split(t) for t in texts]
+        at = self.numbers([p for own in cut if own is not None for p in own])
+        return at, [0 if own is None else len(own) for own in cut], [i for i, own in enumerate(cut) if own is None]
+
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces side by side, and the number of ids of each."""
         sizes = self.size[numbers].astype(np.int64)
@@ -140,14 +179,13 @@ class _Pieces:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text as little-endian uint32."""
-        cut = [self.split(t) for t in texts]
-        ids, sizes = self.ids_of(self.numbers([p for own in cut if own is not None for p in own]))
+        at, pieces, whole = self._numbered(texts)
+        ids, sizes = self.ids_of(at)
         total = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.cumsum([0 if own is None else len(own) for own in cut])
+        ends = np.cumsum(pieces)
         bounds = total[np.concatenate(([0], ends))].tolist()
         raw = ids.astype("<u4").tobytes()
         out = [raw[4 * a:4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        whole = [i for i, own in enumerate(cut) if own is None]
         for i, found in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
             out[i] = found.tobytes()
         return out
@@ -162,6 +200,13 @@ class ByteTokens(_Pieces):
     """Byte-level BPE: a space belongs to the word after it, a lone line feed stands alone."""
 
     separator, inseparable = b"\n", re.compile(rb"\s(\n|\Z)")
+    sign = re.compile("^Ġ")
+
+    def _alone(self, piece: bytes) -> bool:
+        return piece[:1] == b" " and piece[1:].isalpha()
+
+    def _borders(self, edge: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(np.flatnonzero(edge), len(edge)))
 
     def split(self, text: bytes) -> list[bytes] | None:
         kinds = text.translate(_KIND)
@@ -181,15 +226,32 @@ class ByteTokens(_Pieces):
 class WordTokens(_Pieces):
     """Lower-casing BPE with word ends: white space only separates, so every word stands alone."""
 
-    separator = b" | "
+    separator, glue = b" | ", b" "
+    sign = re.compile("</w>$")
+
+    def _alone(self, piece: bytes) -> bool:
+        return piece.isalpha()
+
+    def _borders(self, edge: np.ndarray) -> np.ndarray:
+        return np.diff(np.flatnonzero(edge), prepend=-1)
 
     def split(self, text: bytes) -> list[bytes] | None:
+        return self._spaced(text).split()
+
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray | list[int], list[int]]:
+        words, sizes = words_in(pa.array([self._spaced(t) for t in texts], pa.binary()))
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy()
+        return self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(at, minlength=len(coded.dictionary)))[at], sizes, []
+
+    def _spaced(self, text: bytes) -> bytes:
+        """Lower-cased, with a space before commas and full stops where the tokenizer cuts there."""
         text = text.lower()
         kinds = text.translate(_KIND)
         if _plain(text) and not any(
                 pair in kinds for pair in (*_SIGN_BEFORE_STOP, b"\0,", b"\0.")):
             text = text.replace(b",", b" ,").replace(b".", b" .")
-        return text.split()
+        return text
 
     @staticmethod
     @lru_cache(maxsize=1)
