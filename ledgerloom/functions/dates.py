@@ -33,6 +33,11 @@ def _group(name: str) -> str:
     return f"g[{_GROUPS.index(name) + 1}]"
 
 
+def _number(name: str, missing: str = "null") -> str:
+    """Digits of a group as a number.  Groups are digits or nothing, and a ``try_cast`` of nothing costs an exception."""
+    return f"if({_group(name)} = '', {missing}, cast({_group(name)} as int))"
+
+
 def _bind(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` standing for ``value``, which is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -48,7 +53,7 @@ def _kind(i: int) -> str:
 def _value(i: int) -> str:
     name = _group(f"name{i}")
     return (f"if({name} <> '', cast((locate(lower(left({name}, 3)), '{_MONTHS}') + 2) / 3 as int), "
-            f"try_cast({_group(f'number{i}')} as int))")
+            f"{_number(f'number{i}')})")
 
 
 def _parts() -> str:
@@ -81,12 +86,12 @@ def _parts() -> str:
 
 def _clock() -> str:
     """``h``, ``mi``, ``s``; null hour where the clock has neither minutes nor a half of the day, or no such hour."""
-    hour, half = f"try_cast({_group('hour')} as int)", f"lower({_group('half')})"
+    hour, half = _number("hour"), f"lower({_group('half')})"
     twelve = f"if({hour} BETWEEN 1 AND 12, {hour} % 12 + if({half} = 'p', 12, 0), null)"
     h = (f"CASE WHEN {_group('hour')} = '' THEN 0 WHEN {half} <> '' THEN {twelve} "
          f"WHEN {_group('minute')} <> '' AND {hour} < 24 THEN {hour} END")
     second = f"try_cast(concat('0', {_group('second')}, '.', left({_group('fraction')}, 6), '0') as decimal(16,6))"
-    return (f"named_struct('h', {h}, 'mi', coalesce(try_cast({_group('minute')} as int), 0), "
+    return (f"named_struct('h', {h}, 'mi', {_number('minute', '0')}, "
             f"'s', if({second} < 60, {second}, null))")
 
 
@@ -97,7 +102,7 @@ def _parse_sql() -> str:
              "try_make_timestamp_ntz(p.y, p.m, p.d, c.h, c.mi, c.s), null)")
     values = ", ".join(_value(i) for i in (1, 2, 3))
     kinds = ", ".join(_kind(i) for i in (1, 2, 3))
-    digits = ", ".join(f"'{n}', try_cast({_group(n + '8')} as int)" for n in ("y", "m", "d"))
+    digits = ", ".join(f"'{n}', {_number(n + '8')}" for n in ("y", "m", "d"))
     parts = (f"if({_group('y8')} <> '', named_struct({digits}), "
              + _bind(f"concat({kinds})", "k", _bind(f"array({values})", "v", _parts())) + ")")
     whole = _bind(parts, "p", _bind(_clock(), "c", stamp))
@@ -112,13 +117,21 @@ def parse_dates(column: str) -> Column:
     what they are: four digits are a year, of two numbers the first is the month unless it is above 12, a number
     above 31 in front is a year.  Weekdays, ordinal endings and time zones are read over: the time stays as written.
     A date needs a year; without a day it is the first of the month.  The one-element
-    array binds the text, so that it is computed once; exploding the result drops unreadable rows
-    without parsing a second time in a pushed-down filter.
+    array binds the text, so that it is computed once.  ``one_each`` drops unreadable rows without parsing a second time.
     """
     bound = f"array(btrim({column}, {sql.text(WHITESPACE)}))"
     return F.expr(f"filter(transform({bound}, t -> {_parse_sql()}), d -> d IS NOT NULL)")
 
 
+def one_each(days: Column) -> Column:
+    """A row for each date of a ``parse_dates`` column.
+
+    Of a bare column that is exploded Spark infers a filter on its size, which it pushes below the parsing and so parses twice;
+    of an expression it infers none.
+    """
+    return F.explode(F.slice(days, 1, 1))
+
+
 def parse_date(column: str) -> Column:
     """Statement date text to TIMESTAMP_NTZ, null where no accepted shape matches."""
     return F.get(parse_dates(column), F.lit(0))

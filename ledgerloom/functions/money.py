@@ -12,13 +12,17 @@ from ledgerloom.functions.text import WHITESPACE
 LEDGER_MONEY = "decimal(28,4)"
 REPORT_MONEY = "decimal(28,2)"
 
+#: What a decimal can be read from, and little else: any other text, an empty one too, would cost an exception a cell.
+_NUMERIC = r"^[\x00-\x20]*[+-]?[\p{Nd}.]+(?:[eE][+-]?\p{Nd}+)?[\x00-\x20]*$"
+
 
 def read_amount(text: Column) -> Column:
     """Money text to DECIMAL(28,4), 24 digits before the point; null where it is unreadable.
 
     ``(`` is read as a minus sign, so ``(5.00)`` is -5 and ``-(5)`` is unreadable.
     """
-    return F.translate(text, "(,$)" + WHITESPACE, "-").try_cast(LEDGER_MONEY)
+    bare = F.translate(text, "(,$)" + WHITESPACE, "-")
+    return F.when(bare.rlike(_NUMERIC), bare.try_cast(LEDGER_MONEY))
 
 
 def or_zero(amount: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import parse_dates
+from ledgerloom.functions.dates import one_each, parse_dates
 from ledgerloom.functions.money import LEDGER_MONEY, or_zero, read_amount
 from ledgerloom.functions.text import account_from_file, strip
 from ledgerloom.sources.cells import NULL_TEXTS, null_texts_to_null, raw_cells, scan, utf8_text
@@ -88,7 +88,7 @@ def standardize(raw: DataFrame, mapping: DataFrame, accounts: DataFrame | None =
         parsed = parsed.observe(observation, *_figures())
     return parsed.select(
         "account",
-        F.explode("_days").alias("txn_ts"),
+        one_each(F.col("_days")).alias("txn_ts"),
         F.coalesce(strip(F.col("_desc")), F.lit("")).alias("description"),
         _signed_amount().alias("amount"),
         F.col("file_name").alias("source_file"),

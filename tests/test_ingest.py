@@ -194,3 +194,9 @@ def test_unclosed_quote_is_an_error(spark, tmp_path):
     write(tmp_path, "bad.csv", 'Date,Description,Amount\n2026-01-02,"a,5\n2026-01-03,b,6\n')
     with pytest.raises(ValueError, match="bad.csv"):
         statements.read_statements(spark, str(tmp_path))
+
+
+def test_dates_are_parsed_once_a_row(spark, folder):
+    """A filter inferred from exploding the dates, below their parsing, would parse them a second time."""
+    plan = statements.read_statements(spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("make_timestamp_ntz(") == 1, plan
