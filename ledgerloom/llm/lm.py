@@ -491,7 +491,8 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
         words = pa.concat_arrays([*found, pa.array([END], pa.binary())]).unique()
         return pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), chunk, np.int64))], names=["word", "chunk"])
 
-    answers = dealt.select("chunk", "text").mapInArrow(ask, "word binary, chunk bigint").join(counts, "word").select(
+    # All columns, though only two are used, so that the texts are dealt out once for both sides.
+    answers = dealt.mapInArrow(ask, "word binary, chunk bigint").join(counts, "word").select(
         "chunk", "word", "n")
     kinds = dict(source.dtypes)
     schema = ("doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"

@@ -380,6 +380,16 @@ def test_language_model_chunks_are_bounded_by_bytes(spark, monkeypatch):
         assert max(r["sum(n)"] for r in found if r.chunk >= 0) <= 3 * 2000
 
 
+def test_lm_texts_are_dealt_out_once(spark, monkeypatch):
+    """Both sides of a chunk, the words it asks for and the texts it scores, read one shuffle of the texts."""
+    monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=2))
+    frame = spark.createDataFrame([(i, f"word{i % 7} and {i}") for i in range(60)], "doc_id long, text string")
+    counts = lm.materialize(lm.token_counts(frame), "counts")
+    found = lm.scores(frame, counts, lm.fit(frame, counts, BYTE, size=4), BYTE, (F.col("doc_id") % 2 == 0).alias("mark"))
+    assert len(found.collect()) == 60
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
     monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=120))
     rng = random.Random(2)
