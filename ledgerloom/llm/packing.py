@@ -225,6 +225,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, limits: Limits | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = pack(examples(batches), chosen, pool)
         yield from _rows(bins, TaskContext.get().partitionId(), with_ids)
+        # The worker waits for its next task beside steps that need the memory.
+        pa.default_memory_pool().release_unused()
 
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     packed = source.mapInArrow(run, PIECES)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerloom.llm import (
-    chat, decontaminate, jaccard, langid, lm, packing, quality, rans, suffix_dedup, token_files, toxicity,
+    chat, decontaminate, jaccard, langid, lm, packing, quality, rans, suffix_dedup, token_files, tokens, toxicity,
 )
 from ledgerloom.llm.attention import Attention
 from ledgerloom.llm.induced import suffix_order
@@ -390,6 +390,11 @@ def test_lm_texts_are_dealt_out_once(spark, monkeypatch):
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pieces_of_two_workers_leave_an_executor_room():
+    """Workers keep their pieces between steps, beside steps that need the executor's 3000 MB."""
+    assert 2 * 250 * tokens.MAX_PIECES <= 0.1 * 3000e6
+
+
 def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
     monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=120))
     rng = random.Random(2)
