@@ -48,9 +48,19 @@ _AGO = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _SCALE = np.float32(WIDTH ** 0.5)
 
 
+def keep_freed(size: int = 1 << 24) -> None:
+    """Freeing one large array makes glibc hold on to that much: else every step's arrays are given back and their pages made anew."""
+    np.empty(size, np.uint8)
+
+
+def _largest(rows: np.ndarray) -> np.ndarray:
+    """Largest value of every row, by columns, as rows are short."""
+    return np.ascontiguousarray(rows.T).max(axis=0)[:, None]
+
+
 def _chances(z: np.ndarray) -> np.ndarray:
     """Softmax of every row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+    z -= _largest(z)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -117,7 +127,7 @@ class Attention:
         s = q @ k.transpose(0, 2, 1)
         s += _MASK + np.where(_AGO >= 0, w["bias"][np.maximum(_AGO, 0)], 0)
         s[first, :, :BLOCK] = -1e9
-        s -= s.max(axis=2, keepdims=True)
+        s -= _largest(s.reshape(-1, 2 * BLOCK)).reshape(-1, BLOCK, 1)
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True)
         h = np.concatenate([x[1:], s @ v], axis=2).reshape(-1, 2 * WIDTH)
@@ -182,7 +192,8 @@ class Attention:
         g_a = g_h[:, :, WIDTH:]
         g_s = g_a @ v.transpose(0, 2, 1)
         g_v = s.transpose(0, 2, 1) @ g_a
-        g_s = s * (g_s - (g_s * s).sum(axis=2, keepdims=True))
+        g_s -= (g_s * s).sum(axis=2, keepdims=True)
+        g_s *= s
         out["bias"][:] = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO >= 0, g_s.sum(axis=0), 0).ravel(), 2 * BLOCK)
         g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
         g_x = np.zeros_like(x)
@@ -218,6 +229,7 @@ class Learner:
     """Adam's state beside a network."""
 
     def __init__(self, network: Attention) -> None:
+        keep_freed()
         self.network, self.steps = network, 0
         self.mean, self.square = np.zeros_like(network.flat), np.zeros_like(network.flat)
 

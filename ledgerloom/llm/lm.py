@@ -22,7 +22,7 @@ expectation maximisation.  A word's own document is left out of its count there;
 
 Over the whole corpus, with Spark: token counts (exact, by word), ids of all distinct words, and for
 scoring every chunk of documents asks the table of counts only for its own words: chunks of documents and
-their words' counts meet by chunk.  A chunk has about ``CHUNK_BYTES`` of texts whatever the size of the corpus, and a
+their words' counts and spelling meet by chunk.  A chunk has about ``CHUNK_BYTES`` of texts whatever the size of the corpus, and a
 longer text is a chunk by itself.  No task and no driver holds the vocabulary.
 
 Null texts are empty: one end.  Without training texts every word is unknown and the network untrained.
@@ -58,6 +58,8 @@ LEAST_BLOCKS, LEARN_BLOCKS = 32, 512
 FREQUENT = 65_536
 #: Bytes of texts whose words are looked at together.
 SLICE_BYTES = 1_500_000
+#: Words that are encoded together, and encoded words that a worker keeps, about 250 bytes each.
+ENCODED, KEPT = 16_384, 150_000
 #: Bytes of texts that meet their words' counts at once.
 CHUNK_BYTES = 8_000_000
 END = b"\n"  # white space, so never a word
@@ -84,6 +86,8 @@ def token_counts(training: DataFrame) -> DataFrame:
                         held, size = [], 0
         if held:
             yield from summed(held).to_batches()
+        del held
+        pa.default_memory_pool().release_unused()
 
     def summed(held: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
@@ -97,9 +101,14 @@ class Subwords:
     def __init__(self, path: str) -> None:
         self.tokens = ByteTokens.shared(path)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words side by side, and the number of ids of each."""
-        ids, sizes = self.tokens.ids_of(self.tokens.numbers([b" " + w for w in words]))
+    def of(self, words: list[bytes], kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words side by side, and the number of ids of each; ``kept``: words a worker keeps for the next call."""
+        found = [self._of(words[at:at + ENCODED], kept) for at in range(0, max(1, len(words)), ENCODED)]
+        ids, sizes = map(np.concatenate, zip(*found, strict=True))
+        return ids, sizes
+
+    def _of(self, words: list[bytes], kept: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.tokens.ids_of(self.tokens.numbers([b" " + w for w in words], most=kept))
         ends = [i for i, w in enumerate(words) if w == END]
         if ends:
             gone = np.repeat(np.isin(np.arange(len(words)), ends), sizes)
@@ -114,23 +123,45 @@ def begins(path: str) -> np.ndarray:
     return np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
 
 
-def _summed(counts: DataFrame, path: str, keys: int, keys_of: Callable) -> np.ndarray:
-    """Totals of small numbers over all words; ``keys_of``: their numbers, and the word of each.
+def numbered(counts: DataFrame, path: str) -> DataFrame:
+    """The counts with the ids (little-endian uint32) of every word, each encoded once and none kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(at, ENCODED)
+                ids, sizes = subwords.of(part.column("word").to_pylist(), kept=0)
+                ends = np.concatenate(([0], np.cumsum(4 * sizes))).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), raw], names=["word", "n", "ids"])
+    return counts.select("word", "n").mapInArrow(run, "word binary, n bigint, ids binary")
+
+
+def _numbered(counts: DataFrame, path: str) -> DataFrame:
+    return counts if "ids" in counts.columns else materialize(numbered(counts, path), "token-counts")
+
+
+def ids_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of a numbered table side by side, and the number of ids of each."""
+    ids = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64)
+    return ids, pc.binary_length(column).to_numpy().astype(np.int64) // 4
+
+
+def _summed(counts: DataFrame, keys: int, keys_of: Callable) -> np.ndarray:
+    """Totals of small numbers over all words of a numbered table; ``keys_of``: their numbers, and the word of each.
 
     One row for each number comes to the driver: as many as ids, or pairs of symbols.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, total = Subwords(path), np.zeros(keys, np.int64)
+        total = np.zeros(keys, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                key, word = keys_of(*subwords.of(part.column("word").to_pylist()))
-                np.add.at(total, key, part.column("n").to_numpy()[word])
+            key, word = keys_of(*ids_in(batch.column("ids")))
+            np.add.at(total, key, batch.column("n").to_numpy()[word])
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["k", "n"])
+    found = counts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(keys, np.int64)
-    for row in counts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[row["k"]] = row["n"]
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -142,11 +173,12 @@ class Spelling:
     then continuations, again with one for the rest.  After an id comes a continuation or nothing; its chance
     depends on the id before and, as far as that was seen, on the word's first symbol (``LEADS`` and the rest).
     """
-    symbol: np.ndarray
+    symbol: np.ndarray  # fewer than 1024
     inside: np.ndarray  # log10 share of an id among those with its symbol
     fronts: int
     backs: int
-    after: np.ndarray | None = None  # log10 chance of the next continuation (0: none) by symbol
+    row: np.ndarray | None = None  # of ``after``, by first symbol and symbol
+    after: np.ndarray | None = None  # log10 chance of the next continuation (0: none)
 
     @classmethod
     def of(cls, used: np.ndarray, first: np.ndarray, most: int = SYMBOLS) -> Spelling:
@@ -186,19 +218,24 @@ class Spelling:
         return (LEADS + 1) * (1 + self.fronts + self.backs) * (self.backs + 1)
 
     def learn(self, totals: np.ndarray) -> None:
-        exact = totals.reshape(LEADS + 1, -1, self.backs + 1).astype(np.float64)
-        by_id = exact.sum(axis=0)
+        exact = totals.reshape(LEADS + 1, -1, self.backs + 1)
+        by_id = exact.sum(axis=0).astype(np.float64)
         usual = by_id.sum(axis=0) + 0.5
         by_id = by_id + usual / usual.sum()
         by_id /= by_id.sum(axis=1, keepdims=True)
-        exact += 3 * by_id
-        exact /= exact.sum(axis=2, keepdims=True)
-        self.after = np.log10(exact).astype(np.float32)
+        # First symbols that were never seen with a symbol share its row.
+        seen, symbols = exact.any(axis=2), len(by_id)
+        self.row = np.tile(np.arange(symbols, dtype=np.int32), (LEADS + 1, 1))
+        self.row[seen] = symbols + np.arange(seen.sum())
+        found = exact[seen] + 3 * by_id[np.nonzero(seen)[1]]
+        found = np.concatenate([3 * by_id, found])
+        found /= found.sum(axis=1, keepdims=True)
+        self.after = np.log10(found, out=found).astype(np.float32)
 
     def words(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every word three symbols (first, second, last) and log10 chance of all but its first symbol."""
         own, following, word = self.steps(ids, sizes)
-        chance = np.bincount(word, self.after[self._lead(own, sizes), own, following] + self.inside[ids],
+        chance = np.bincount(word, self.after[self.row[self._lead(own, sizes), own], following] + self.inside[ids],
                              minlength=len(sizes))
         three = np.zeros((len(sizes), 3), np.int64)
         some = np.flatnonzero(sizes > 0)
@@ -280,10 +317,10 @@ def read_blocks(at: np.ndarray, ends: np.ndarray, nothing: int) -> tuple[int, np
     """Blocks of texts of words given by number: how many, place of every word, which begin a text, and the word read at
     each place, the one before; before the first one an end (``nothing``).  One block to read from goes before them."""
     n, place, first = blocks_of(np.diff(np.concatenate(([0], ends))))
-    read = np.empty(len(at), np.int64)
+    read = np.empty(len(at), np.int32)
     read[1:] = at[:-1]
     read[np.concatenate(([0], ends[:-1]))] = nothing
-    own = np.full((n + 1) * BLOCK, nothing, np.int64)
+    own = np.full((n + 1) * BLOCK, nothing, np.int32)
     own[place + BLOCK] = read
     return n, place, first, own.reshape(n + 1, BLOCK)
 
@@ -293,7 +330,7 @@ def occurrences(word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     sizes = np.diff(np.concatenate(([0], ends)))
     text = np.repeat(np.arange(len(ends)), sizes)
     place = ragged_ranges(np.zeros(len(ends), np.int64), sizes)
-    key = (text * (int(word.max(initial=0)) + 1) + word)
+    key = text * (int(word.max(initial=0)) + 1) + word
     order = np.argsort(key, kind="stable")  # places stay in order
     key = key[order]
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -317,13 +354,22 @@ def coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words, sizes = words_in(column)
     found = words.dictionary_encode()
     ends = np.cumsum(sizes + 1)
-    at = np.full(len(words) + len(sizes), len(found.dictionary), np.int64)
+    at = np.full(len(words) + len(sizes), len(found.dictionary), np.int32)
     inner = np.ones(len(at), bool)
     inner[ends - 1] = False
     at[inner] = found.indices.to_numpy()
     return pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())]), at, ends
 
 
+def portions(rows: pa.RecordBatch | pa.Table, stops: np.ndarray) -> Iterator[tuple]:
+    """Rows of about ``SLICE_BYTES`` of texts, the number of their words up to each end, and where these lie among all words."""
+    row = low = 0
+    for part in slices_of(rows, SLICE_BYTES):
+        ends = stops[row:row + part.num_rows] - low
+        yield part, ends, slice(low, low + int(ends[-1]))
+        row, low = row + part.num_rows, low + int(ends[-1])
+
+
 def streams(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     distinct, at, ends = coded(pa.array(texts, pa.binary()))
     return distinct.to_pylist(), at, ends
@@ -360,11 +406,12 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, f
 
 def fit(training: DataFrame, counts: DataFrame, path: str, size: int = SAMPLE) -> Model:
     """Symbols, continuations, network and mixture from all training words; ``size``: texts the network begins with."""
+    counts = _numbered(counts, path)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     first = begins(path)
-    used = _summed(counts, path, len(first), lambda ids, sizes: (ids, np.repeat(np.arange(len(sizes)), sizes)))
+    used = _summed(counts, len(first), lambda ids, sizes: (ids, np.repeat(np.arange(len(sizes)), sizes)))
     spelling = Spelling.of(used, first)
-    spelling.learn(_summed(counts, path, spelling.pair_keys(), spelling.pairs))
+    spelling.learn(_summed(counts, spelling.pair_keys(), spelling.pairs))
     network = Attention.new(1 + spelling.fronts + spelling.backs, 1 + spelling.fronts)
     model = Model(network, spelling, int(totals["n"]), int(totals["v"]), np.tile([0.8, 0.1, 0.1], (len(PLACES) + 1, 1)))
     texts = sample(training, size)
@@ -386,16 +433,19 @@ def learn_all(training: DataFrame, model: Model, path: str, frequent: pa.Table,
         learner = Learner(own.network)
         for batch in batches:
             for part in slices_of(batch, CHUNK_BYTES):
-                words, at, ends = coded(part.column("text"))
+                words, every, stops = coded(part.column("text"))
                 three, chance = own.spelling.words(*subwords.of(words.to_numpy(zero_copy_only=False).tolist()))
-                spelled = _learned(learner, three, at, ends) / np.log(10) + chance[at]
-                place, before, again = occurrences(at, ends)
-                count = counts_of(words, frequent)[at]
-                count = np.where(count < 0, rest, np.maximum(count - again, 0))
-                notes.add(own.parts(count, spelled, place, before), place)
-                n += len(at)
+                found, counted = _learned(learner, three, every, stops), counts_of(words, frequent)
+                for _, ends, inner in portions(part, stops):
+                    at = every[inner]
+                    place, before, again = occurrences(at, ends)
+                    count = np.where(counted[at] < 0, rest, np.maximum(counted[at] - again, 0))
+                    notes.add(own.parts(count, found[inner] / np.log(10) + chance[at], place, before), place)
+                n += len(every)
+                del words, every, stops, three, chance, found, counted, at, place, before, again, count
         if n:
             yield sums(TaskContext.get().partitionId() % 16, n, own.network.flat * np.float64(n), notes.n)
+        pa.default_memory_pool().release_unused()
 
     def sums(slot: int, n: int, flat: np.ndarray, noted: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -425,7 +475,7 @@ def _learned(learner: Learner, three: np.ndarray, at: np.ndarray, ends: np.ndarr
     """Natural logarithm of the chance of every word's first symbol, each before the network learns from it."""
     n, place, first, own = read_blocks(at, ends, len(three))
     symbols = np.concatenate([three, np.zeros((1, 3), np.int64)])
-    target = np.full(n * BLOCK, -1, np.int64)
+    target = np.full(n * BLOCK, -1, np.int32)
     target[place] = three[at, 0]
     target = target.reshape(n, BLOCK)
     found = np.empty(n * BLOCK, np.float32)
@@ -491,9 +541,17 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
         words = pa.concat_arrays([*found, pa.array([END], pa.binary())]).unique()
         return pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), chunk, np.int64))], names=["word", "chunk"])
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            three, chance = model.spelling.words(*ids_in(batch.column("ids")))
+            three = three @ (1 << 20, 1 << 10, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(three), pa.array(chance)],
+                                             names=["word", "n", "three", "chance"])
+
     # All columns, though only two are used, so that the texts are dealt out once for both sides.
-    answers = dealt.mapInArrow(ask, "word binary, chunk bigint").join(counts, "word").select(
-        "chunk", "word", "n")
+    known = _numbered(counts, path).mapInArrow(spell, "word binary, n bigint, three bigint, chance double")
+    answers = dealt.mapInArrow(ask, "word binary, chunk bigint").join(known, "word").select(
+        "chunk", "word", "n", "three", "chance")
     kinds = dict(source.dtypes)
     schema = ("doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
               + "".join(f", {c} {kinds[c]}" for c in extra))
@@ -502,12 +560,10 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
         if not own.num_rows:
             return None
         words, every, stops = coded(_whole(own.column("text")))
-        three, chance = model.spelling.words(*Subwords(path).of(words.to_numpy(zero_copy_only=False).tolist()))
-        counted, parts, row, low = np.maximum(counts_of(words, answer), 0), [], 0, 0
-        for part in slices_of(own, SLICE_BYTES):
-            ends = stops[row:row + part.num_rows] - low
-            at_word = every[low:low + ends[-1]]
-            row, low = row + part.num_rows, low + ends[-1]
+        told, three, chance = answered(words, answer)
+        counted, parts = np.maximum(told, 0), []
+        for part, ends, inner in portions(own, stops):
+            at_word = every[inner]
             count = counted[at_word]
             first = np.concatenate(([0], ends[:-1]))
             place, before, _ = occurrences(at_word, ends)
@@ -520,6 +576,16 @@ def scores(documents: DataFrame, counts: DataFrame, model: Model, path: str, *ca
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score", *extra]
         return pa.table([pa.chunked_array(c) for c in zip(*parts, strict=True)], names=names)
 
+    def answered(words: pa.Array, answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, three symbols and chance of every word; those that no training text has are encoded here."""
+        at = pc.fill_null(pc.index_in(words, value_set=_whole(answer.column("word"))), -1).to_numpy()
+        told, packed, chance = (np.append(_whole(answer.column(c)).to_numpy(), -1)[at] for c in ("n", "three", "chance"))
+        three = packed[:, None] >> np.array([20, 10, 0]) & 1023
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            three[new], chance[new] = model.spelling.words(*Subwords(path).of(words.take(pa.array(new)).to_pylist()))
+        return told, three, chance
+
     def run(key: tuple, own: pa.Table, answer: pa.Table) -> pa.Table:
         found = score(own, answer)
         return found if found is not None else pa.Table.from_batches([], schema=_schema(own, extra))
@@ -536,6 +602,6 @@ def _schema(own: pa.Table, extra: list[str]) -> pa.Schema:
 def score_documents(documents: DataFrame, training: Column, path: str, *carry: Column) -> DataFrame:
     """Learn from the rows where ``training`` holds and score all rows."""
     own = documents.where(training)
-    counts = materialize(token_counts(own), "token-counts")
+    counts = materialize(numbered(token_counts(own), path), "token-counts")
     model = fit(own, counts, path)
     return scores(documents, counts, model, path, *carry).withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))

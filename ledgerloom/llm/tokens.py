@@ -146,19 +146,23 @@ class _Pieces:
         self.size[first:count] = sizes
         self.used, self.index.new = total, []
 
-    def numbers(self, pieces: list[bytes], times: np.ndarray | None = None) -> np.ndarray:
-        """Number of every piece; numbers hold until the next call.  ``times``: how often each stands here, if not once."""
-        if len(self.index) > MAX_PIECES:
-            self._keep_frequent()
+    def numbers(self, pieces: list[bytes], times: np.ndarray | None = None, most: int = MAX_PIECES) -> np.ndarray:
+        """Number of every piece; numbers hold until the next call.  ``times``: how often each stands here, if not once;
+        ``most``: pieces that are kept for the next call."""
+        if len(self.index) > most:
+            self._keep_frequent(most // 3)
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.index.new:
             self._learn()
         self.times[:len(self.index)] += np.bincount(at, times, len(self.index)).astype(np.int32)
         return at
 
-    def _keep_frequent(self) -> None:
+    def _keep_frequent(self, size: int) -> None:
+        if not size:
+            self._reset()
+            return
         pieces, times = list(self.index), self.times[:len(self.index)]
-        kept = np.argsort(-times, kind="stable")[:MAX_PIECES // 3]
+        kept = np.argsort(-times, kind="stable")[:size]
         ids, sizes = self.ids_of(kept)
         times = times[kept] // 2
         self._reset()

@@ -395,6 +395,36 @@ def test_pieces_of_two_workers_leave_an_executor_room():
     assert 2 * 250 * tokens.MAX_PIECES <= 0.1 * 3000e6
 
 
+def test_lm_workers_keep_few_words(monkeypatch):
+    """Words are encoded in bounded portions, and a worker that learns or scores keeps few of them."""
+    monkeypatch.setattr(lm, "ENCODED", 50)
+    words = [b"w%dx" % i for i in range(200)] + [lm.END] + [b"q%dz" % i for i in range(200)]
+    whole = ByteTokens(BYTE)
+    ids, sizes = whole.ids_of(whole.numbers([b" " + w for w in words if w != lm.END]))
+    subwords = lm.Subwords(BYTE)
+    for kept in (120, 0):
+        found = subwords.of(words, kept)
+        assert found[0].tolist() == ids.tolist() and found[1].tolist() == np.insert(sizes, 200, 0).tolist()
+        assert len(subwords.tokens.index) <= kept + 50
+    assert 2 * 250 * (lm.KEPT + 16_384) <= 0.05 * 3000e6
+
+
+def test_lm_spelling_holds_seen_rows_only():
+    rng = np.random.default_rng(3)
+    spelling = lm.Spelling(np.zeros(0, np.int64), np.zeros(0), 40, 30)
+    totals = np.zeros((lm.LEADS + 1, 71, 31), np.int64)
+    lead, symbol = rng.integers(0, lm.LEADS + 1, 200), rng.integers(0, 71, 200)
+    totals[lead, symbol, rng.integers(0, 31, 200)] = rng.integers(1, 99, 200)
+    spelling.learn(totals.ravel())
+    by_id = totals.sum(axis=0).astype(float)
+    usual = by_id.sum(axis=0) + 0.5
+    by_id += usual / usual.sum()
+    by_id /= by_id.sum(axis=1, keepdims=True)
+    share = totals + 3 * by_id
+    assert np.allclose(spelling.after[spelling.row], np.log10(share / share.sum(axis=2, keepdims=True)), atol=1e-6)
+    assert len(spelling.after) <= 71 + 200
+
+
 def test_lm_is_a_distribution_and_beats_counts(spark, odd, none, monkeypatch):
     monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, steps=120))
     rng = random.Random(2)
